@@ -1,0 +1,4 @@
+"""Intentionally empty: the job reads closed files to their end, and nothing in it runs continuously.
+
+Every operator in this package is a plain ``DataFrame -> DataFrame`` function over bounded input.
+"""
