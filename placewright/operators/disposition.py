@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from placewright.functions.text import capwords
 
 MATCHED = ("REPLACE", "DELETE", "UPDATE")
-WRITTEN = ("REPLACE", "UPDATE")
 REVIEW = ("ERROR", "ASIS_REVIEW")
 
 
@@ -54,11 +53,11 @@ def run_stats(places: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def diagnostics(places: DataFrame) -> DataFrame:
-    """(input_text, output_text) of the places written: title-cased key in, corrected text out.
-
-    A delete by the replacement table goes straight on to the next line, so it leaves no pair.
-    """
-    return places.where(F.col("disposition").isin(*WRITTEN)).select(capwords(F.col("key")).alias("input_text"), F.col("text").alias("output_text"))
+    """(input_text, output_text) of the places settled: title-cased key in, corrected text or DELETE out."""
+    deleted = F.col("disposition") == "DELETE"
+    return places.where(F.col("disposition").isin(*MATCHED)).select(
+        capwords(F.col("key")).alias("input_text"), F.when(deleted, "DELETE").otherwise(F.col("text")).alias("output_text")
+    )
 
 
 def misses(places: DataFrame) -> DataFrame:

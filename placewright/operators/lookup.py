@@ -14,8 +14,11 @@ SKIP_VALUE = " "
 _PLACE_FIELDS = [f for f in CANDIDATE_FIELDS if f not in ("geoid", "first_year")]
 
 
-def rekey(table: DataFrame, seq: str = "seq") -> DataFrame:
-    """(key, val) under normalised keys; of keys that become equal the last in ``seq`` order wins."""
+def rekey(table: DataFrame, seq: str = "key") -> DataFrame:
+    """(key, val) under normalised keys; of keys that become equal the last in ``seq`` order wins.
+
+    A table without an order of its own goes by its old keys, so that the outcome never depends on how it was read.
+    """
     return table.groupBy(normalize(F.col("key")).alias("key")).agg(F.max_by("val", seq).alias("val"))
 
 

@@ -33,7 +33,7 @@ def first_occurrence(places: DataFrame, order: list[str], keep: list[str]) -> Da
 
 def parse_place(df: DataFrame, text: str = "place_text") -> DataFrame:
     """Add prefix, city, admin2, admin1, country (trimmed) and tier, read from the end of a comma-separated text."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda part: F.trim(part))
     nth = lambda k: F.coalesce(F.try_element_at("_parts", F.lit(-k)), F.lit(""))
     return (
         df.withColumn("_parts", parts)
@@ -164,16 +164,18 @@ def wildcard_match(locations: DataFrame, rows: DataFrame, limit: int = CANDIDATE
     """
     block = ["m_tier", "n_country", "n_admin1", "lead"]
     patterns = locations.where(F.contains("m_name", F.lit("*"))).select(
-        "loc", "m_tier", "n_country", "n_admin1", F.col("m_name").alias("pattern"), F.regexp_extract("m_name", r"^([^*]*)", 1).alias("lead")
+        "loc", "m_tier", "n_country", "n_admin1", F.col("n_admin2").alias("p_admin2"), F.col("m_name").alias("pattern"),
+        F.regexp_extract("m_name", r"^([^*]*)", 1).alias("lead"),
     )
     lengths = patterns.agg(F.collect_set(F.length("lead"))).scalar()
-    leads = rows.withColumn("lead", F.explode(F.transform(
-        F.filter(lengths, lambda n: n <= F.length("m_name")), lambda n: F.substring(F.col("m_name"), F.lit(1), n)
+    leads = rows.withColumn("_lengths", lengths).withColumn("lead", F.explode(F.transform(
+        F.filter("_lengths", lambda n: n <= F.length("m_name")), lambda n: F.substring(F.col("m_name"), F.lit(1), n)
     )))
     pairs = salted_join(leads, patterns, block, spread=["geoid"], how="inner", **salting).where(
         F.rlike("m_name", wildcard_regex(F.col("pattern")))
     )
-    return top_candidates(pairs.select("loc", F.lit(WILDCARD).alias("score"), *CANDIDATE_FIELDS), limit)
+    score = WILDCARD + F.when(F.col("p_admin2") == F.col("n_admin2"), 0.0).otherwise(PER_PART)
+    return top_candidates(pairs.select("loc", score.alias("score"), *CANDIDATE_FIELDS), limit)
 
 
 def soundex_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
