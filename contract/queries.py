@@ -24,8 +24,9 @@ def query(fn):
 # --- inputs ----------------------------------------------------------------------------------------------------------
 
 
-def _lines(spark: SparkSession, d: str, name: str = "gedcom_lines") -> DataFrame:
-    return gedcom.parse(view(spark, d, name))
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed lines as a reader leaves them: staged."""
+    return stage(gedcom.parse(view(spark, d, "gedcom_lines")), "lines")
 
 
 def _gaz(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +38,8 @@ def _gaz(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return match.searchable(_gaz(spark, d), view(spark, d, "validity"))
+    """The gazetteer as lookups read it: a table that is built once."""
+    return stage(match.searchable(_gaz(spark, d), view(spark, d, "validity")), "rows")
 
 
 def _part_rows(spark: SparkSession, d: str, country: str = "country", name: str = "name") -> DataFrame:
@@ -92,7 +94,7 @@ def _countries(spark: SparkSession, d: str) -> DataFrame:
 def _settled(spark: SparkSession, d: str) -> DataFrame:
     """Place lines with disposition and corrected text, exact matching only."""
     return jobs.settle(
-        _keyed(spark, d), _replacements(spark, d), _skips(spark, d), _rows(spark, d), _countries(spark, d), fuzzy=False
+        stage(_keyed(spark, d), "places"), _replacements(spark, d), _skips(spark, d), _rows(spark, d), _countries(spark, d), fuzzy=False
     )
 
 
@@ -101,7 +103,7 @@ def _settled(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gedcom_parse(spark, d):
-    return _lines(spark, d, "rough_lines").select("rec", "pos", "level", "label", "tag", "value")
+    return gedcom.parse(view(spark, d, "rough_lines")).select("rec", "pos", "level", "label", "tag", "value")
 
 
 @query
@@ -113,7 +115,7 @@ def gedcom_events(spark, d):
 
 @query
 def place_count(spark, d):
-    return context.place_count(_lines(spark, d))
+    return context.place_count(gedcom.parse(view(spark, d, "gedcom_lines")))
 
 
 @query
@@ -142,9 +144,9 @@ def place_people(spark, d):
 # --- writing ---------------------------------------------------------------------------------------------------------
 
 
-def _edits(spark, d):
+def _edits(lines):
     order = F.expr("pos div 10")
-    return _lines(spark, d).where("tag = 'PLAC'").select(
+    return lines.where("tag = 'PLAC'").select(
         "file", "rec", "pos", F.when(order % 4 == 0, "UPDATE").when(order % 4 == 1, "DELETE").alias("action"),
         F.concat(F.upper("value"), F.lit(", ")).alias("text"), F.when(F.col("rec") % 7 != 0, F.col("rec") % 90 + 0.25).cast("double").alias("lat"),
         (-(F.col("rec") % 180) - 0.5).cast("double").alias("lon"),
@@ -161,13 +163,14 @@ def map_block_rewrite(spark, d):
 
 @query
 def gedcom_rewrite(spark, d):
-    return rewrite.rewrite(_lines(spark, d), _edits(spark, d)).select("rec", "pos", "sub", "text")
+    lines = _lines(spark, d)
+    return rewrite.rewrite(lines, _edits(lines)).select("rec", "pos", "sub", "text")
 
 
 @query
 def gedcom_roundtrip(spark, d):
-    none = _edits(spark, d).where("false")
-    return rewrite.rewrite(_lines(spark, d), none).select("rec", "pos", "text")
+    lines = _lines(spark, d)
+    return rewrite.rewrite(lines, _edits(lines).where("false")).select("rec", "pos", "text")
 
 
 # --- lookup tables ---------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -160,9 +161,18 @@ def with_views(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v].format(**plain)})" for v in ordered)
 
 
+def _table(spark, sf_dir: str, name: str) -> str:
+    """Name of a temporary view over one Parquet file, made at first use."""
+    alias = f"{name}_{zlib.crc32(sf_dir.encode()):08x}"
+    if not spark.catalog.tableExists(alias):
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(alias)
+    return alias
+
+
 def view(spark, sf_dir: str, name: str):
     """The view as a DataFrame over the Parquet files of a folder."""
-    files = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in TABLES}
+    used = re.findall(r"\{(\w+)\}", " ".join(VIEWS[v] for v in (*_NEEDS[name], name)))
+    files = {t: _table(spark, sf_dir, t) for t in used}
     text = VIEWS[name].format(**files)
     for needed in _NEEDS[name]:
         text = re.sub(rf"\bFROM {needed}\b", f"FROM ({VIEWS[needed].format(**files)}) AS {needed}", text)

@@ -9,6 +9,7 @@ from placewright.functions import hierarchy_key as hk
 from placewright.functions.coordinates import unset_to_null
 from placewright.functions.text import long_name, normalize
 from placewright.operators.skew import salted_join
+from placewright.workspace import stage
 
 PARTS = ["prefix", "city", "admin2_id", "admin1_id", "country_iso"]
 
@@ -116,17 +117,16 @@ def enclose(nodes: DataFrame, **salting) -> DataFrame:
     Most nodes share few parents, so the join is salted.
     """
     parents = nodes.select(F.col("tier").alias("parent_tier"), F.col("key").alias("parent_key"), F.col("place_id").alias("_parent"))
-    tops = nodes.where("tier = 0")
-    below = salted_join(nodes.where("tier > 0"), parents, ["parent_tier", "parent_key"], spread=["key"], **salting)
-    kept = F.rlike("enclosed_by", F.lit(r"^P\d\d\d\d"))
-    joined = below.withColumn("enclosed_by", F.when(kept, F.col("enclosed_by")).otherwise(F.coalesce("_parent", F.lit("")))).drop("_parent")
-    return joined.select(*NODE_COLUMNS).unionByName(tops.select(*NODE_COLUMNS))
+    kept = (F.col("tier") == 0) | F.rlike("enclosed_by", F.lit(r"^P\d\d\d\d"))
+    return salted_join(nodes, parents, ["parent_tier", "parent_key"], spread=["key"], **salting).withColumn(
+        "enclosed_by", F.when(kept, F.col("enclosed_by")).otherwise(F.coalesce("_parent", F.lit("")))
+    ).select(*NODE_COLUMNS)
 
 
 def build_hierarchy(places: DataFrame, gazetteer: DataFrame, **salting) -> DataFrame:
     """All places and everything above them, one row per (tier, key), each with the id of the place around it."""
     all_nodes = nodes(places).unionByName(ancestor_nodes(ancestors(places), gazetteer))
-    return enclose(dedupe(all_nodes), **salting).select(*HIERARCHY_COLUMNS)
+    return enclose(stage(dedupe(all_nodes), "nodes"), **salting).select(*HIERARCHY_COLUMNS)
 
 
 def enclosure_violations(hierarchy: DataFrame) -> DataFrame:

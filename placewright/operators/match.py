@@ -134,17 +134,26 @@ def country_support(locations: DataFrame, countries: DataFrame) -> DataFrame:
     ).drop("supported")
 
 
+def with_exact(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """Add ``cands`` by equality of all parts, else, for cities, of all but a wrong or missing admin2; null if none.
+
+    A location that is settled by the first lookup takes a key of its own into the second.
+    """
+    full = candidate_index(rows, LOCATION).withColumnRenamed("cands", "_full")
+    loose = candidate_index(rows.where(F.col("m_tier") == CITY), LOOSE).withColumnRenamed("cands", "_loose")
+    loose = loose.withColumnRenamed("m_name", "_name")
+    again = F.col("_full").isNull() & (F.col("m_tier") == CITY)
+    tried = locations.join(full, LOCATION, "left").withColumn("_name", F.when(again, F.col("m_name")).otherwise(F.concat(F.lit("="), "loc")))
+    key = [*LOOSE[:3], "_name"]
+    counts = locations.groupBy(*LOOSE[:3], F.col("m_name").alias("_name")).agg(F.count("*").alias("n"))
+    found = salted_join(tried, loose, key, spread=["loc"], counts=counts, **salting)
+    second = add_score(F.col("_loose"), F.lit(PER_PART))
+    return found.select(*locations.columns, F.coalesce("_full", second).alias("cands"))
+
+
 def exact_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
-    """(loc, cands) by equality of all parts, else, for cities, of all but a wrong or missing admin2."""
-    full = candidate_index(rows, LOCATION).withColumnRenamed("cands", "full")
-    tried = locations.select("loc", *LOCATION).join(full, LOCATION, "left")
-    hit = tried.where("full IS NOT NULL").select("loc", F.col("full").alias("cands"))
-    missed = tried.where(f"full IS NULL AND m_tier = {CITY}").select("loc", *LOOSE)
-    loose = candidate_index(rows.where(F.col("m_tier") == CITY), LOOSE)
-    second = salted_join(missed, loose, LOOSE, spread=["loc"], how="inner", **salting).select(
-        "loc", add_score(F.col("cands"), F.lit(PER_PART)).alias("cands")
-    )
-    return hit.unionByName(second)
+    """(loc, cands) of the locations that :func:`with_exact` finds."""
+    return with_exact(locations, rows, **salting).where("cands IS NOT NULL").select("loc", "cands")
 
 
 def exact_result(cands: Column) -> Column:

@@ -66,33 +66,39 @@ def resolve_locations(locations: DataFrame, rows: DataFrame, countries: DataFram
     Cheap equality lookups first; each later stage sees only what the earlier ones left open. What a stage leaves is
     staged, since the next stage and the result both read it.
     """
-    supported = match.country_support(locations, countries)
-    empty = F.lit(None).cast(_NO_CANDIDATES)
-    usable = supported.where("support IS NULL")
-    exact = match.exact_match(usable, rows).withColumn("result", match.exact_result(F.col("cands")))
-    tried = supported.join(exact, "loc", "left")
+    supported = F.col("support").isNull()
+    tried = (
+        match.with_exact(match.country_support(locations, countries), rows)
+        .withColumn("cands", F.when(supported, F.col("cands")))
+        .withColumn("result", F.coalesce("support", match.exact_result(F.col("cands"))))
+    )
     if not fuzzy:
-        return tried.select("loc", F.coalesce("result", "support", F.lit("NO_MATCH")).alias("result"), "cands")
+        return tried.select("loc", F.coalesce("result", F.lit("NO_MATCH")).alias("result"), "cands")
 
     tried = stage(tried, "exact")
-    done = [tried.where("support IS NOT NULL OR result IS NOT NULL").select("loc", F.coalesce("result", "support").alias("result"), "cands")]
-    left = tried.where("support IS NULL AND result IS NULL").select("loc", *match.LOCATION)
+    done = [tried.where("result IS NOT NULL").select("loc", "result", "cands")]
+    left = tried.where("result IS NULL").select("loc", *match.LOCATION)
     wild = F.contains("m_name", F.lit("*"))
-    done.append(match.wildcard_match(left, rows).select("loc", F.lit("WILDCARD_MATCH").alias("result"), "cands"))
     open_ = left.where(~wild)
+    wildcards = left.where(wild)
     stages = [
-        ("WORD_MATCH", match.word_match), ("PARTIAL_MATCH", match.partial_match), ("SOUNDEX_MATCH", match.soundex_match),
-        ("PARTIAL_MATCH", spelling_match),
+        ("WILDCARD_MATCH", match.wildcard_match), ("WORD_MATCH", match.word_match), ("PARTIAL_MATCH", match.partial_match),
+        ("SOUNDEX_MATCH", match.soundex_match), ("PARTIAL_MATCH", spelling_match),
     ]
     for result, find in stages:
-        looked = stage(open_.join(find(open_, rows), "loc", "left"), "stage")
+        asked = wildcards if find is match.wildcard_match else open_
+        looked = stage(asked.join(find(asked, rows), "loc", "left"), "looked")
         done.append(looked.where("cands IS NOT NULL").select("loc", F.lit(result).alias("result"), "cands"))
-        open_ = looked.where("cands IS NULL").select("loc", *match.LOCATION)
-    found = done[0]
-    for part in done[1:]:
+        rest = looked.where("cands IS NULL").select("loc", *match.LOCATION)
+        if asked is wildcards:
+            wildcards = rest
+        else:
+            open_ = rest
+    none = wildcards.unionByName(open_).select("loc", F.lit("NO_MATCH").alias("result"), F.lit(None).cast(_NO_CANDIDATES).alias("cands"))
+    found = none
+    for part in done:
         found = found.unionByName(part)
-    missing = locations.select("loc").join(found.select("loc"), "loc", "left_anti")
-    return found.unionByName(missing.select("loc", F.lit("NO_MATCH").alias("result"), empty.alias("cands")))
+    return found
 
 
 def spelling_match(locations: DataFrame, rows: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def settle(
     """
     keys = match.first_occurrence(places, list(order), ["place_text", "event_year"])
     status = lookup.apply_tables(keys, replacements, skips)
-    parsed = match.with_location(match.parse_place(status, "first_place_text"))
+    parsed = stage(match.with_location(match.parse_place(status, "first_place_text")), "keys")
     wanted = parsed.where("repl_result IS NULL AND NOT skipped AND key != ''")
     found = resolve_locations(wanted.select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
     # Texts that are not looked up join on a location of their own, not all on null.
@@ -145,7 +151,7 @@ def settle(
         name = tx.apply_rules(name, F.col("_rules"))
     written = F.col("disposition").isin("REPLACE", "UPDATE")
     texts = settled_keys.withColumn("long_name", F.when(written, name)).withColumn("text", F.when(written, tx.output_text(F.col("prefix"), F.col("long_name")))).drop("_rules")
-    return salted_join(places, texts, ["key"], spread=list(order), counts=keys, **salting)
+    return salted_join(places, texts, ["key"], spread=list(order), counts=parsed.select("key", "n"), **salting)
 
 
 def review_rows(settled: DataFrame, rules: Column | None = None, order: tuple[str, ...] = ("file", "rec", "pos")) -> DataFrame:
