@@ -11,15 +11,16 @@ from placewright.functions.text import capwords
 HIERARCHY_COLUMNS = ("Place", "Title", "Name", "Type", "latitude", "longitude", "enclosed_by")
 
 
-def in_file_order(lines: DataFrame) -> DataFrame:
-    """Range-partitioned, so that each output part is a run of lines and the parts follow each other by name."""
-    return lines.repartitionByRange("file", "rec", "pos", "sub").sortWithinPartitions("file", "rec", "pos", "sub")
-
-
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Corrected lines: a folder per input file, holding parts in order. Lines end in LF."""
-    out = in_file_order(lines).select(F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), F.md5("file").alias("source"), "text")
-    out.write.partitionBy("name", "source").text(path)
+    """Corrected lines: a folder per input file, holding parts that follow each other by name. Lines end in LF.
+
+    Range partitioning makes each part a run of lines. The folder columns lead the sort, so the writer, which wants rows
+    by folder, has no reason to sort again.
+    """
+    order = ["name", "source", "rec", "pos", "sub"]
+    named = lines.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), F.md5("file").alias("source"), "rec", "pos", "sub", "text")
+    ordered = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("name", "source", "text").write.partitionBy("name", "source").text(path)
 
 
 def hierarchy_csv_rows(hierarchy: DataFrame) -> DataFrame:
