@@ -188,6 +188,19 @@ def review_rows(settled: DataFrame, rules: Column | None = None, order: tuple[st
     )
 
 
+def hierarchy_places(settled: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Settled places (with seq and id) in the form the hierarchy is built from: ids and names of the matched place, the
+    prefix of the text, a missing county filled in where the gazetteer knows but one."""
+    city = F.when(F.col("place.tier") >= CITY, tx.normalize(F.col("place.name"))).otherwise("")
+    title = F.concat(F.when(F.length("prefix") > 0, F.concat("prefix", F.lit(","))).otherwise(""), F.col("long_name"))
+    named = ["admin2_id", "admin2_name", "admin1_id", "admin1_name", "country_iso", "country_name", "feature"]
+    places = settled.select(
+        "seq", "id", "prefix", city.alias("city"), *[F.coalesce(f"place.{c}", F.lit("")).alias(c) for c in named],
+        "place.lat", "place.lon", title.alias("title"), F.lit("").alias("enclosed_by"),
+    )
+    return match.fill_admin2(places, match.searchable(gazetteer))
+
+
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 
@@ -233,15 +246,10 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     )
     # One number for the order over all files: the file's place in the list of files, then the position in it.
     files = objects.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")).cast("long"))
-    prefixed = F.concat(F.when(F.length("prefix") > 0, F.concat("prefix", F.lit(","))).otherwise(""), F.col("long_name"))
-    named = ["admin2_id", "admin2_name", "admin1_id", "admin1_name", "country_iso", "country_name", "feature"]
-    matched = objects.select("file", "pos", "id").join(written, ["file", "pos"]).join(files, "file").select(
-        F.shiftleft("file_no", 42).bitwiseOR(F.col("pos")).alias("seq"), "id", "prefix",
-        F.when(F.col("place.tier") >= CITY, tx.normalize(F.col("place.name"))).otherwise("").alias("city"),
-        *[F.coalesce(f"place.{c}", F.lit("")).alias(c) for c in named], "place.lat", "place.lon", prefixed.alias("title"),
-        F.lit("").alias("enclosed_by"),
+    numbered = objects.select("file", "pos", "id").join(written, ["file", "pos"]).join(files, "file").withColumn(
+        "seq", F.shiftleft("file_no", 42).bitwiseOR(F.col("pos"))
     )
-    tree = hierarchy.build_hierarchy(match.fill_admin2(matched, match.searchable(gazetteer)), gazetteer)
+    tree = hierarchy.build_hierarchy(stage(hierarchy_places(numbered, gazetteer), "matched"), gazetteer)
     return {
         "places": corrected, "hierarchy": tree, "violations": hierarchy.enclosure_violations(tree),
         "stats": disposition.run_stats(settled, objects.groupBy("file").agg(F.count_if(F.col("place_text").isNotNull()).alias("places"))),

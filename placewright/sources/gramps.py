@@ -23,14 +23,15 @@ def placeobj_fragments(spark: SparkSession, paths: str | list[str]) -> DataFrame
     """
     rows = scan(spark, paths, line_sep=">")
     opens = F.rlike("raw", F.lit(r"<placeobj(\s[^<]*)?$"))
-    closes = F.rlike("raw", F.lit(r"(</placeobj\s*|<placeobj(\s[^<]*)?/)$"))
+    whole = F.rlike("raw", F.lit(r"<placeobj(\s[^<]*)?/$"))
+    closes = whole | F.rlike("raw", F.lit(r"</place(obj|s)\s*$"))
     marked = carry_last(rows, {"start": F.when(closes, F.lit(-1)).when(opens, F.col("pos"))})
-    return (
-        marked.where("start >= 0").groupBy("file", F.col("start").alias("pos"))
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda r: r["raw"]), ">").alias("inner"))
-        .select("file", "pos", F.concat(F.regexp_extract("inner", r"(?s)(<placeobj(?:\s.*|>.*|$))", 1),
-                                        F.lit("></placeobj>")).alias("fragment"))
-    )
+    opening = lambda c: F.regexp_extract(c, r"(?s)(<placeobj(?:[\s/].*|>.*|$))", 1)
+    gathered = marked.where("start >= 0").groupBy("file", F.col("start").alias("pos")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda r: r["raw"]), ">").alias("inner")
+    ).select("file", "pos", F.concat(opening("inner"), F.lit("></placeobj>")).alias("fragment"))
+    empty = rows.where(whole).select("file", "pos", F.concat(opening("raw"), F.lit(">")).alias("fragment"))
+    return gathered.unionByName(empty)
 
 
 def parse_placeobj(fragments: DataFrame) -> DataFrame:
