@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contract.views import view
 from placewright.functions import coordinates, hierarchy_key, replacement, text
 from placewright.operators import context, disposition, hierarchy, lookup, match, people, rewrite, spelling
+from placewright.operators.skew import salted_join
 from placewright.plans import jobs
 from placewright.sources import gazetteer as gaz_source
 from placewright.sources import gedcom, gramps, writers
@@ -61,11 +62,16 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
-    return match.first_occurrence(_keyed(spark, d), ["seq"], ["place_text", "event_year"])
+    return match.distinct_keys(match.distinct_texts(view(spark, d, "raw_places")))
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct texts with their locations."""
+    return match.with_location(match.parse_place(match.distinct_texts(view(spark, d, "raw_places"))))
 
 
 def _locations(spark: SparkSession, d: str) -> DataFrame:
-    parsed = match.with_location(match.parse_place(_keyed(spark, d)))
+    parsed = _parsed(spark, d)
     return parsed.select("loc", *match.LOCATION).distinct()
 
 
@@ -91,10 +97,11 @@ def _countries(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "countries").select(text.normalize(F.col("name")).alias("n_country"), "supported")
 
 
-def _settled(spark: SparkSession, d: str) -> DataFrame:
+def _settled(spark: SparkSession, d: str) -> jobs.Settled:
     """Place lines with disposition and corrected text, exact matching only."""
+    places = view(spark, d, "raw_places").select("*", F.lit(0).cast("long").alias("rec"), F.col("seq").alias("pos"))
     return jobs.settle(
-        stage(_keyed(spark, d), "places"), _replacements(spark, d), _skips(spark, d), _rows(spark, d), _countries(spark, d), fuzzy=False
+        stage(places, "places"), _replacements(spark, d), _skips(spark, d), _rows(spark, d), _countries(spark, d), fuzzy=False
     )
 
 
@@ -281,7 +288,7 @@ def admin2_fill(spark, d):
 
 @query
 def first_resolution(spark, d):
-    return _keys(spark, d).select("key", "n", "first_seq", "first_event_year")
+    return match.first_occurrence(_keyed(spark, d), ["seq"], ["event_year"])
 
 
 @query
@@ -298,12 +305,18 @@ def exact_match(spark, d):
     )
 
 
-@query
-def best_match(spark, d):
-    parsed = match.with_location(match.parse_place(_keyed(spark, d)))
+def _best(spark, d):
+    """Place lines with the best candidate of their text."""
+    parsed = stage(_parsed(spark, d), "texts")
     found = match.exact_match(parsed.select("loc", *match.LOCATION).distinct(), _rows(spark, d))
     best = found.select("loc", F.col("cands")[0].alias("best"))
-    return match.salted_join(parsed, best, ["loc"], spread=["seq"], how="inner").select("seq", "best.geoid", "best.lat", "best.lon")
+    by_text = salted_join(parsed.select("place_text", "loc"), best, ["loc"], spread=["place_text"], how="inner")
+    return salted_join(view(spark, d, "raw_places"), by_text, ["place_text"], spread=["seq"], how="inner", counts=parsed)
+
+
+@query
+def best_match(spark, d):
+    return _best(spark, d).select("seq", "best.geoid", "best.lat", "best.lon")
 
 
 def _homonyms(spark, d):
@@ -325,13 +338,8 @@ def multiple_match(spark, d):
 
 @query
 def validity_flag(spark, d):
-    parsed = match.with_location(match.parse_place(_keyed(spark, d)))
-    found = match.exact_match(parsed.select("loc", *match.LOCATION).distinct(), _rows(spark, d))
-    best = found.select("loc", F.col("cands")[0].alias("best"))
     valid = match.valid_year(F.col("event_year"), F.col("best.first_year"))
-    return match.salted_join(parsed, best, ["loc"], spread=["seq"], how="inner").select(
-        "seq", "best.geoid", F.when(valid, "").otherwise("VERIFY DATE").alias("flag")
-    )
+    return _best(spark, d).select("seq", "best.geoid", F.when(valid, "").otherwise("VERIFY DATE").alias("flag"))
 
 
 @query
@@ -368,24 +376,24 @@ def soundex_match(spark, d):
 
 @query
 def place_disposition(spark, d):
-    return _settled(spark, d).select("seq", "disposition", "result", "text")
+    return _settled(spark, d).rows.select("seq", "disposition", "result", "text")
 
 
 @query
 def run_stats(spark, d):
-    settled = _settled(spark, d)
+    settled = _settled(spark, d).rows
     totals = view(spark, d, "raw_places").groupBy("file").agg(F.count("*").alias("places"))
     return disposition.run_stats(settled, totals)
 
 
 @query
 def diagnostics(spark, d):
-    return disposition.diagnostics(_settled(spark, d))
+    return disposition.diagnostics(_settled(spark, d).rows)
 
 
 @query
 def miss_log(spark, d):
-    return disposition.misses(_settled(spark, d))
+    return disposition.misses(_settled(spark, d).rows)
 
 
 @query

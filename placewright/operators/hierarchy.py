@@ -77,18 +77,22 @@ def dedupe(nodes: DataFrame) -> DataFrame:
 def ancestors(places: DataFrame) -> DataFrame:
     """Every place above any place, once: (tier, key, seq, feature, id parts, names, parent), first in ``seq`` order.
 
-    All tiers above come from the place itself, so there is one pass and no iteration; each is reduced on the map side.
+    All tiers above come from the place itself, so there is one pass and no iteration. Equal ancestors are folded by
+    hashing on the map side before the first of each key is picked.
     """
     tier = hk.tier(*[F.col(p) for p in PARTS[:4]])
     carried = ["country_iso", "country_name", "admin1_id", "admin1_name", "admin2_id", "admin2_name", "city"]
+    used_from = {"admin1_id": 1, "admin1_name": 1, "admin2_id": 2, "admin2_name": 2, "city": 3}
     lifted = (
         places.withColumn("from_tier", tier).withColumn("_above", tiers_above(F.col("from_tier")))
         .select("seq", "feature", "from_tier", *PARTS, "country_name", "admin1_name", "admin2_name", F.posexplode("_above").alias("_step", "tier"))
         .withColumn("key", _key_at(F.col("tier"))).withColumn("feature", hk.feature_when_moving_up(F.col("tier") + 1, F.col("feature")))
         .withColumn("parent_tier", F.get(tiers_above(F.col("tier")), F.lit(0))).withColumn("parent_key", _key_at(F.col("parent_tier")))
+        .withColumns({c: F.when(F.col("tier") >= k, F.col(c)).otherwise("") for c, k in used_from.items()})
     )
-    first = F.min(F.struct("seq", "feature", *carried, "parent_tier", "parent_key")).alias("first")
-    return lifted.groupBy("tier", "key").agg(first).select("tier", "key", "first.*")
+    told = ["feature", *carried, "parent_tier", "parent_key"]
+    folded = lifted.groupBy("tier", "key", *told).agg(F.min("seq").alias("seq"))
+    return folded.groupBy("tier", "key").agg(F.min(F.struct("seq", *told)).alias("first")).select("tier", "key", "first.*")
 
 
 def ancestor_nodes(ancestors: DataFrame, gazetteer: DataFrame) -> DataFrame:

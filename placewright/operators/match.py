@@ -31,6 +31,16 @@ def first_occurrence(places: DataFrame, order: list[str], keep: list[str]) -> Da
     ).select("key", "n", *[F.col(f"first.{c}").alias(f"first_{c}") for c in (*order, *keep)])
 
 
+def distinct_texts(places: DataFrame, text: str = "place_text") -> DataFrame:
+    """(place_text, n, key): the distinct texts with their row counts; only these are normalised, not the rows."""
+    return places.groupBy(F.col(text).alias("place_text")).agg(F.count("*").alias("n")).withColumn("key", normalize(F.col("place_text")))
+
+
+def distinct_keys(texts: DataFrame) -> DataFrame:
+    """(key, n, sample): the distinct keys, their row counts and one text each, the least, to read the parts from."""
+    return texts.groupBy("key").agg(F.sum("n").alias("n"), F.min("place_text").alias("sample"))
+
+
 def parse_place(df: DataFrame, text: str = "place_text") -> DataFrame:
     """Add prefix, city, admin2, admin1, country (trimmed) and tier, read from the end of a comma-separated text."""
     parts = F.transform(F.split(text, ","), lambda part: F.trim(part))

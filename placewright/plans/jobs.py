@@ -112,34 +112,42 @@ def spelling_match(locations: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select("loc", match.add_score(F.col("cands"), F.lit(match.SPELLING)).alias("cands"))
 
 
+@dataclass
+class Settled:
+    """``rows``: the place rows with key, disposition, result, corrected text and place. ``keys``: one row per key, with
+    the candidates, which the rows do not carry."""
+
+    rows: DataFrame
+    keys: DataFrame
+
+
 def settle(
     places: DataFrame, replacements: DataFrame, skips: DataFrame, rows: DataFrame, countries: DataFrame,
-    fuzzy: bool = True, rules: Column | None = None, order: tuple[str, ...] = ("file", "rec", "pos"), **salting,
-) -> DataFrame:
-    """Every place row with its disposition, result, candidates, corrected text and coordinates.
+    fuzzy: bool = True, rules: Column | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"), **salting,
+) -> Settled:
+    """Settle every place row of ``places`` (place_text and whatever else it has).
 
-    ``places`` need key, place_text, event_year and the order columns. Each distinct text is worked on once, with the
-    year of its first occurrence, and each distinct location once below that. The way back to the rows meets popular
-    texts, so it is salted by the counts the first step had to take anyway.
+    Work narrows step by step: rows to distinct texts, texts to distinct keys, keys to distinct locations, each counted
+    with a map-side combine. The ways back up meet popular texts, so they are salted by counts already taken.
     """
-    keys = match.first_occurrence(places, list(order), ["place_text", "event_year"])
-    status = lookup.apply_tables(keys, replacements, skips)
-    parsed = stage(match.with_location(match.parse_place(status, "first_place_text")), "keys")
-    wanted = parsed.where("repl_result IS NULL AND NOT skipped AND key != ''")
-    found = resolve_locations(wanted.select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
-    # Texts that are not looked up join on a location of their own, not all on null.
+    texts = stage(match.distinct_texts(places), "texts")
+    status = lookup.apply_tables(match.distinct_keys(texts), replacements, skips)
     looked_up = F.col("repl_result").isNull() & ~F.col("skipped") & (F.col("key") != "")
-    resolved = salted_join(
-        parsed.withColumn("loc", F.when(looked_up, F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), found, ["loc"], spread=["key"], **salting
+    # Texts that are not looked up get a location of their own, so that they do not all join on null.
+    parsed = stage(
+        match.with_location(match.parse_place(status, "sample")).withColumn("looked_up", looked_up)
+        .withColumn("loc", F.when(F.col("looked_up"), F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), "keys"
     )
+    found = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
+    resolved = salted_join(parsed, found, ["loc"], spread=["key"], **salting)
 
     result = F.when(F.col("repl_result").isNotNull(), F.col("repl_result")).when(F.col("key") == "", "DELETE").when(F.col("skipped"), None).otherwise(F.col("result"))
     best = F.get("cands", F.lit(0))
     replaced = F.col("repl_result") == "STRONG_MATCH"
     place = lambda c: F.when(replaced, F.col(f"repl_{c}")).otherwise(best[c])
-    fields = ["name", "lat", "lon", "feature", "tier", "country_iso", "country_name", "admin1_id", "admin1_name", "admin2_id", "admin2_name"]
-    settled_keys = resolved.select(
-        "key", "n", "skipped", result.alias("result"), "cands",
+    fields = [f for f in CANDIDATE_FIELDS if f not in ("geoid", "first_year")]
+    decided = resolved.select(
+        "key", "n", result.alias("result"), "cands",
         F.when(F.col("repl_result").isNotNull(), F.col("repl_prefix")).otherwise(F.col("prefix")).alias("prefix"),
         F.when(F.col("repl_result").isNotNull(), F.col("repl_geoid")).otherwise(best["geoid"]).alias("geoid"),
         disposition.disposition(F.col("repl_result"), F.col("skipped"), result).alias("disposition"),
@@ -147,23 +155,32 @@ def settle(
     )
     name = gazetteer_name("place")
     if rules is not None:
-        settled_keys = settled_keys.withColumn("_rules", rules)
+        decided = decided.withColumn("_rules", rules)
         name = tx.apply_rules(name, F.col("_rules"))
     written = F.col("disposition").isin("REPLACE", "UPDATE")
-    texts = settled_keys.withColumn("long_name", F.when(written, name)).withColumn("text", F.when(written, tx.output_text(F.col("prefix"), F.col("long_name")))).drop("_rules")
-    return salted_join(places, texts, ["key"], spread=list(order), counts=parsed.select("key", "n"), **salting)
+    keys = stage(
+        decided.withColumn("long_name", F.when(written, name))
+        .withColumn("text", F.when(written, tx.output_text(F.col("prefix"), F.col("long_name")))).drop("_rules"), "settled_keys"
+    )
+    by_text = texts.drop("n").join(keys.drop("n", "cands"), "key")
+    return Settled(salted_join(places, by_text, ["place_text"], spread=list(spread), counts=texts, **salting), keys)
 
 
-def review_rows(settled: DataFrame, rules: Column | None = None, order: tuple[str, ...] = ("file", "rec", "pos")) -> DataFrame:
-    """(key, occurrences, result, action, save_allowed, first occurrence's details, listing): what a reviewer works on.
+def review_rows(settled: Settled, rules: Column | None = None, order: tuple[str, ...] = ("file", "rec", "pos")) -> DataFrame:
+    """(key, occurrences, place_text, result, action, save_allowed, first occurrence's details, listing): what a reviewer
+    works on.
 
     The listing ranks the candidates, naming each and flagging names not yet in use in the year of the event; with no
     candidate it is one row that says so.
     """
-    details = [c for c in ("person", "event_name", "date") if c in settled.columns]
-    queue = settled.where(F.col("disposition").isin(*disposition.REVIEW)).groupBy("key").agg(
-        F.count("*").alias("occurrences"), F.min(F.struct(*order, "event_year", *details, "place_text", "result", "disposition", "cands")).alias("f")
+    details = [c for c in ("event_year", "person", "event_name", "date") if c in settled.rows.columns]
+    open_ = F.col("disposition").isin(*disposition.REVIEW)
+    first = settled.rows.where(open_).groupBy("key").agg(
+        F.count("*").alias("occurrences"), F.min(F.struct(*order, "place_text", *details)).alias("f")
     )
+    queue = first.join(settled.keys.where(open_).select("key", "result", "cands"), "key")
+    if rules is not None:
+        queue = queue.withColumn("_rules", rules)
     year = F.col("f.event_year")
 
     def listed(c):
@@ -177,14 +194,12 @@ def review_rows(settled: DataFrame, rules: Column | None = None, order: tuple[st
     nothing = F.array(F.struct(
         F.lit("").alias("geoid"), F.col("f.place_text").alias("name"), F.lit("").alias("flag"), F.lit(NO_MATCH_SCORE).alias("score"), F.lit("").alias("feature")
     ))
-    count = F.coalesce(F.size("f.cands"), F.lit(0))
-    result = F.col("f.result")
-    if rules is not None:
-        queue = queue.withColumn("_rules", rules)
+    count = F.coalesce(F.size("cands"), F.lit(0))
+    result = F.col("result")
     return queue.select(
-        "key", "occurrences", "f.place_text", *[f"f.{c}" for c in ("event_year", *details)], result.alias("result"),
+        "key", "occurrences", "f.place_text", *[f"f.{c}" for c in details], "result",
         disposition.review_action(result, count).alias("action"), disposition.save_allowed(result, count).alias("save_allowed"),
-        F.when(count > 0, F.transform("f.cands", listed)).otherwise(nothing).alias("listing"),
+        F.when(count > 0, F.transform("cands", listed)).otherwise(nothing).alias("listing"),
     )
 
 
@@ -204,14 +219,12 @@ def hierarchy_places(settled: DataFrame, gazetteer: DataFrame) -> DataFrame:
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 
-def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> DataFrame:
-    keyed = places.withColumn("key", tx.normalize(F.col("place_text")))
-    table = lookup.rekey(tables.replacements)
+def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Settled:
     skips = tables.skips.select(tx.normalize(F.col("key")).alias("key"), "val")
-    return stage(settle(
-        keyed, lookup.resolve_replacements(table, gazetteer), skips, match.searchable(gazetteer, tables.validity),
-        tables.countries, rules=rule_list(tables.rules),
-    ), "settled")
+    replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements), gazetteer)
+    rows = stage(match.searchable(gazetteer, tables.validity), "searchable")
+    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules))
+    return Settled(stage(settled.rows, "settled"), settled.keys)
 
 
 def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataFrame, tables: Tables) -> dict[str, DataFrame]:
@@ -220,15 +233,15 @@ def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     found = stage(people.with_person(context.places(lines), people.person_names(lines)), "places")
     settled = _settle_with(found, gazetteer, tables)
     d = F.col("disposition")
-    edits = settled.where(d.isin(*disposition.MATCHED)).select(
+    edits = settled.rows.where(d.isin(*disposition.MATCHED)).select(
         "file", "rec", "pos", F.when(d == "DELETE", "DELETE").otherwise("UPDATE").alias("action"), "text",
         F.col("place.lat").alias("lat"), F.col("place.lon").alias("lon"),
     )
     return {
-        "lines": rewrite.rewrite(lines, edits, numbered=True), "places": settled,
-        "stats": disposition.run_stats(settled, context.place_count(lines)),
-        "review": review_rows(settled, rule_list(tables.rules)), "diagnostics": disposition.diagnostics(settled),
-        "misses": disposition.misses(settled),
+        "lines": rewrite.rewrite(lines, edits, numbered=True), "places": settled.rows,
+        "stats": disposition.run_stats(settled.rows, context.place_count(lines)),
+        "review": review_rows(settled, rule_list(tables.rules)), "diagnostics": disposition.diagnostics(settled.rows),
+        "misses": disposition.misses(settled.rows),
     }
 
 
@@ -239,7 +252,7 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
         "file", F.lit(0).cast("long").alias("rec"), "pos", "place_text", F.lit(0).alias("event_year")
     )
     settled = _settle_with(found, gazetteer, tables)
-    written = settled.where(F.col("disposition").isin("REPLACE", "UPDATE"))
+    written = settled.rows.where(F.col("disposition").isin("REPLACE", "UPDATE"))
     corrected = objects.join(written.select("file", "pos", "text", "place"), ["file", "pos"], "left").select(
         "file", "pos", "handle", "change", "id", "type", "ptitle", "pname", "placerefs", "had_coord",
         F.coalesce("text", "place_text").alias("new_text"), F.coalesce("place.lat", "lat").alias("lat"), F.coalesce("place.lon", "lon").alias("lon"),
@@ -252,7 +265,7 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     tree = hierarchy.build_hierarchy(stage(hierarchy_places(numbered, gazetteer), "matched"), gazetteer)
     return {
         "places": corrected, "hierarchy": tree, "violations": hierarchy.enclosure_violations(tree),
-        "stats": disposition.run_stats(settled, objects.groupBy("file").agg(F.count_if(F.col("place_text").isNotNull()).alias("places"))),
+        "stats": disposition.run_stats(settled.rows, objects.groupBy("file").agg(F.count_if(F.col("place_text").isNotNull()).alias("places"))),
         "review": review_rows(settled, rule_list(tables.rules)),
     }
 

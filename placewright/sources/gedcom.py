@@ -12,6 +12,8 @@ from placewright.workspace import stage
 LINE_FORM = r"^(\d+)\s+(@\S+@)?\s*(\S+)\s+(.*)"
 # Unicode classes, and a dot that stops at LF only.
 JAVA_FLAGS = "(?Ud)"
+# Whatever follows the part of a line that the form covers.
+REST = r"[\s\S]*"
 UNPARSED_LEVEL = 99
 
 
@@ -20,17 +22,17 @@ def parse(lines: DataFrame) -> DataFrame:
 
     The label is null when the line has none; a line of no known form gets level 99 and empty parts.
     """
-    text = F.concat(F.regexp_replace("raw", r"\r+$", ""), F.lit("\n"))
-    part = lambda group: F.regexp_extract(text, JAVA_FLAGS + LINE_FORM, group)
-    matched = F.col("_level") != ""
-    label = F.when(matched, F.when(F.col("_label") != "", F.col("_label"))).otherwise("")
-    return (
-        lines.withColumns({"_level": part(1), "_label": part(2), "tag": part(3), "_value": part(4)})
-        .withColumns({
-            "level": F.when(matched, F.coalesce(F.col("_level").try_cast("int"), F.lit(UNPARSED_LEVEL))).otherwise(UNPARSED_LEVEL),
-            "label": label, "value": F.regexp_replace("_value", r"\\+$", ""),
-        })
-        .select(*lines.columns, "level", "label", "tag", "value")
+    # One pass of the pattern: its parts, which cannot hold a newline, are set apart by newlines.
+    text = F.concat(F.rtrim("raw", F.lit("\r")), F.lit("\n"))
+    parts = F.split(F.regexp_replace(text, JAVA_FLAGS + LINE_FORM + REST, "$1\n$2\n$3\n$4"), "\n")
+    part = lambda n: F.get("_parts", F.lit(n))
+    matched = F.size("_parts") == 4
+    return lines.withColumn("_parts", parts).select(
+        *lines.columns,
+        F.coalesce(F.when(matched, part(0).try_cast("int")), F.lit(UNPARSED_LEVEL)).alias("level"),
+        F.when(matched, F.when(part(1) != "", part(1))).otherwise("").alias("label"),
+        F.when(matched, part(2)).otherwise("").alias("tag"),
+        F.when(matched, F.rtrim(part(3), F.lit("\\"))).otherwise("").alias("value"),
     )
 
 
