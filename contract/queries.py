@@ -51,7 +51,7 @@ def _part_rows(spark: SparkSession, d: str, country: str = "country", name: str
         F.lit("PPL").alias("feature"), F.lit(3).alias("tier"), F.lower("c").alias("country_iso"), F.col("c").alias("country_name"),
         blank.alias("admin1_id"), blank.alias("admin1_name"), blank.alias("admin2_id"), blank.alias("admin2_name"),
     )
-    return match.searchable(gaz)
+    return stage(match.searchable(gaz), "rows")
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     """The distinct texts with their locations."""
-    return match.with_location(match.parse_place(match.distinct_texts(view(spark, d, "raw_places"))))
+    return match.with_location(match.distinct_texts(view(spark, d, "raw_places")))
 
 
 def _locations(spark: SparkSession, d: str) -> DataFrame:
@@ -77,11 +77,8 @@ def _locations(spark: SparkSession, d: str) -> DataFrame:
 
 def _part_locations(entries: DataFrame) -> DataFrame:
     """(country, name) as locations."""
-    return match.with_location(
-        entries.select("country", "name").distinct().select(
-            "country", F.lit("").alias("admin1"), F.lit("").alias("admin2"), F.col("name").alias("city"), F.lit(3).alias("tier")
-        )
-    )
+    texts = entries.select(F.concat_ws(",", "name", F.lit(""), F.lit(""), "country").alias("place_text")).distinct()
+    return match.with_location(texts.withColumn("key", text.normalize(F.col("place_text"))))
 
 
 def _replacements(spark: SparkSession, d: str) -> DataFrame:

@@ -27,15 +27,19 @@ def _tier_name(tier: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in TIER_NAMES]), tier + 1)
 
 
-def _part_at(tier: Column) -> Column:
-    """The id part that belongs to a tier itself, narrowest first in the list."""
-    return F.element_at(F.array(*[F.coalesce(F.trim(p), F.lit("")) for p in reversed(PARTS)]), tier + 1)
+def _has(part: str) -> Column:
+    return F.coalesce(F.trim(part) != "", F.lit(False))
 
 
-def tiers_above(tier: Column) -> Column:
-    """Tiers above ``tier`` that the place has a part for, nearest first; the country always counts."""
-    above = F.when(tier > 0, F.sequence(tier - 1, F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.filter(above, lambda t: (t == 0) | (_part_at(t) != ""))
+def _tiers_above(tier: Column) -> list[Column]:
+    """For each tier, nearest first, its number where it lies above ``tier`` and the place has a part for it, else null.
+    The country always counts."""
+    return [F.when((tier > 3) & _has("city"), 3), F.when((tier > 2) & _has("admin2_id"), 2),
+            F.when((tier > 1) & _has("admin1_id"), 1), F.when(tier > 0, 0)]
+
+
+def nearest_above(tier: Column) -> Column:
+    return F.coalesce(*_tiers_above(tier))
 
 
 def _key_at(tier: Column) -> Column:
@@ -49,10 +53,9 @@ def nodes(places: DataFrame) -> DataFrame:
     country_name, feature, lat, lon, enclosed_by.
     """
     tier = F.col("tier")
-    above = F.get(tiers_above(tier), F.lit(0))
     return (
         places.withColumn("tier", hk.tier(*[F.col(p) for p in PARTS[:4]]))
-        .withColumn("key", _key_at(tier)).withColumn("parent_tier", above)
+        .withColumn("key", _key_at(tier)).withColumn("parent_tier", nearest_above(tier))
         .select(
             "tier", "key", hk.place_id_or_key(F.col("id"), F.col("key")).alias("place_id"), "title",
             hk.name_at(tier, F.col("prefix"), F.col("city"), F.col("admin2_name"), F.col("admin1_name"), F.col("country_name")).alias("name"),
@@ -84,10 +87,11 @@ def ancestors(places: DataFrame) -> DataFrame:
     carried = ["country_iso", "country_name", "admin1_id", "admin1_name", "admin2_id", "admin2_name", "city"]
     used_from = {"admin1_id": 1, "admin1_name": 1, "admin2_id": 2, "admin2_name": 2, "city": 3}
     lifted = (
-        places.withColumn("from_tier", tier).withColumn("_above", tiers_above(F.col("from_tier")))
-        .select("seq", "feature", "from_tier", *PARTS, "country_name", "admin1_name", "admin2_name", F.posexplode("_above").alias("_step", "tier"))
+        places.withColumn("from_tier", tier)
+        .select("seq", "feature", *PARTS, "country_name", "admin1_name", "admin2_name", F.explode(F.array(*_tiers_above(F.col("from_tier")))).alias("tier"))
+        .where("tier IS NOT NULL")
         .withColumn("key", _key_at(F.col("tier"))).withColumn("feature", hk.feature_when_moving_up(F.col("tier") + 1, F.col("feature")))
-        .withColumn("parent_tier", F.get(tiers_above(F.col("tier")), F.lit(0))).withColumn("parent_key", _key_at(F.col("parent_tier")))
+        .withColumn("parent_tier", nearest_above(F.col("tier"))).withColumn("parent_key", _key_at(F.col("parent_tier")))
         .withColumns({c: F.when(F.col("tier") >= k, F.col(c)).otherwise("") for c, k in used_from.items()})
     )
     told = ["feature", *carried, "parent_tier", "parent_key"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewright.functions import hierarchy_key
 from placewright.functions.text import normalize, words
 from placewright.operators.skew import salted_join
-from placewright.schemas import CANDIDATE_FIELDS, CANDIDATE_LIMIT, CITY
+from placewright.schemas import CANDIDATE_FIELDS, CANDIDATE_LIMIT, CITY, PREFIX
 
 # Scores: lower is better. A stage's base, plus 10 per letter of edit distance, plus 5 per part that differs.
 EXACT, WILDCARD, WORD, PARTIAL, SOUNDEX, SPELLING = 0.0, 20.0, 30.0, 35.0, 40.0, 50.0
@@ -43,35 +43,45 @@ def distinct_keys(texts: DataFrame) -> DataFrame:
 
 def parse_place(df: DataFrame, text: str = "place_text") -> DataFrame:
     """Add prefix, city, admin2, admin1, country (trimmed) and tier, read from the end of a comma-separated text."""
-    parts = F.transform(F.split(text, ","), lambda part: F.trim(part))
-    nth = lambda k: F.coalesce(F.try_element_at("_parts", F.lit(-k)), F.lit(""))
+    nth = lambda k: F.trim(F.coalesce(F.try_element_at("_parts", F.lit(-k)), F.lit("")))
+    rest = F.array_join(F.slice("_parts", F.lit(1), F.size("_parts") - 4), ",")
     return (
-        df.withColumn("_parts", parts)
+        df.withColumn("_parts", F.split(text, ","))
         .withColumns({
             "country": nth(1), "admin1": nth(2), "admin2": nth(3), "city": nth(4),
-            "prefix": F.when(F.size("_parts") > 4, F.array_join(F.slice("_parts", 1, F.size("_parts") - 4), ",")).otherwise(""),
+            "prefix": F.when(F.size("_parts") > 4, F.trim(F.regexp_replace(rest, " *, *", ","))).otherwise(""),
         })
         .withColumn("tier", hierarchy_key.tier(*[F.col(c) for c in ("prefix", "city", "admin2", "admin1")]))
         .drop("_parts")
     )
 
 
-def with_location(df: DataFrame) -> DataFrame:
-    """Add the normalised parts that a lookup compares, and ``loc``, the same as one text.
+def with_location(df: DataFrame, key: str = "key", sample: str = "place_text") -> DataFrame:
+    """Add the parts that a lookup compares, ``loc`` (the same as one text), ``tier`` and ``prefix``.
 
-    The prefix takes no part in a lookup: a place inside a city is looked up as its city.
+    The parts of a normalised key are the normalised parts of its text, so nothing is normalised again. The prefix takes
+    no part in a lookup, since a place inside a city is looked up as its city; it is read from ``sample``, a text with
+    that key, for the sake of its spelling.
     """
-    city_level = F.col("city") != ""
-    at = F.when(F.col("tier") >= CITY, F.when(city_level, CITY).otherwise(
-        hierarchy_key.tier(F.lit(""), F.lit(""), F.col("admin2"), F.col("admin1")))).otherwise(F.col("tier"))
+    nth = lambda k: F.coalesce(F.try_element_at("_parts", F.lit(-k)), F.lit(""))
+    inner = F.array_join(F.slice("_parts", F.lit(1), F.size("_parts") - 4), "")
+    raw = F.split(sample, ",")
+    spelt = F.array_join(F.slice(raw, F.lit(1), F.size(raw) - 4), ",")
+    has_prefix = (F.size("_parts") > 4) & (inner != "")
+    below = F.when(F.col("n_city") != "", CITY).when(F.col("n_admin2") != "", 2).when(F.col("n_admin1") != "", 1).otherwise(0)
     return (
-        df.withColumns({
-            "m_tier": at.cast("int"), "n_country": normalize(F.col("country")), "n_admin1": normalize(F.col("admin1")),
-            "n_admin2": normalize(F.col("admin2")),
+        df.withColumn("_parts", F.split(key, ","))
+        .withColumns({
+            "n_country": nth(1), "n_admin1": nth(2), "n_admin2": nth(3), "n_city": nth(4),
+            "prefix": F.when(has_prefix, F.trim(F.regexp_replace(spelt, " *, *", ","))).otherwise(""),
+        })
+        .withColumn("m_tier", below)
+        .withColumns({
+            "tier": F.when(F.col("prefix") != "", PREFIX).otherwise(F.col("m_tier")),
+            "m_name": F.when(F.col("m_tier") == CITY, F.col("n_city")).when(F.col("m_tier") == 2, F.col("n_admin2"))
+            .when(F.col("m_tier") == 1, F.col("n_admin1")).otherwise(F.col("n_country")),
         })
-        .withColumn("m_name", F.when(F.col("m_tier") == CITY, normalize(F.col("city"))).when(
-            F.col("m_tier") == 2, F.col("n_admin2")).when(F.col("m_tier") == 1, F.col("n_admin1")).otherwise(F.col("n_country")))
-        .withColumn("loc", F.concat_ws("|", *LOCATION))
+        .withColumn("loc", F.concat_ws("|", *LOCATION)).drop("_parts", "n_city")
     )
 
 
@@ -136,7 +146,8 @@ def add_score(cands: Column, extra: Column) -> Column:
 def country_support(locations: DataFrame, countries: DataFrame) -> DataFrame:
     """Add ``support``: null when the country is supported, else NO_COUNTRY or NOT_SUPPORTED.
 
-    ``countries`` is (n_country, supported) over all countries there are.
+    ``countries`` is (n_country, supported) over all countries there are. It carries no hint: the planner broadcasts
+    it once it has measured it to be small, and splits skewed partitions if it is not.
     """
     listed = countries.select("n_country", "supported").dropDuplicates(["n_country"])
     return locations.join(listed, "n_country", "left").withColumn(
@@ -277,7 +288,7 @@ def fill_admin2(places: DataFrame, rows: DataFrame) -> DataFrame:
     blank = F.trim(F.coalesce("admin2_id", F.lit(""))) == ""
     named = F.trim(F.coalesce("admin2_name", F.lit(""))) != ""
     keyed = places.withColumn("city_norm", normalize(F.col("city")))
-    return salted_join(keyed, agreed, by_city, spread=["city"]).select(
+    return salted_join(keyed, agreed, by_city, spread=places.columns).select(
         *[c for c in places.columns if c not in ("admin2_id", "admin2_name")],
         F.when(blank, F.coalesce("_id", F.when(named, F.lit(" ")).otherwise(F.lit("")))).otherwise(F.col("admin2_id")).alias("admin2_id"),
         F.when(blank & F.col("_id").isNotNull(), F.col("_name")).otherwise(F.col("admin2_name")).alias("admin2_name"),

@@ -18,7 +18,7 @@ CHUNK = 1 << 20
 
 
 def _chunk(order: str, size: int) -> Column:
-    return F.floor(F.col(order) / size).cast("long")
+    return F.expr(f"`{order}` div {size}L")
 
 
 def carry_last(

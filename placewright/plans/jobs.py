@@ -135,7 +135,7 @@ def settle(
     looked_up = F.col("repl_result").isNull() & ~F.col("skipped") & (F.col("key") != "")
     # Texts that are not looked up get a location of their own, so that they do not all join on null.
     parsed = stage(
-        match.with_location(match.parse_place(status, "sample")).withColumn("looked_up", looked_up)
+        match.with_location(status, sample="sample").withColumn("looked_up", looked_up)
         .withColumn("loc", F.when(F.col("looked_up"), F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), "keys"
     )
     found = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
@@ -162,7 +162,7 @@ def settle(
         decided.withColumn("long_name", F.when(written, name))
         .withColumn("text", F.when(written, tx.output_text(F.col("prefix"), F.col("long_name")))).drop("_rules"), "settled_keys"
     )
-    by_text = texts.drop("n").join(keys.drop("n", "cands"), "key")
+    by_text = salted_join(texts.drop("n"), keys.drop("n", "cands"), ["key"], spread=["place_text"], how="inner", **salting)
     return Settled(salted_join(places, by_text, ["place_text"], spread=list(spread), counts=texts, **salting), keys)
 
 

@@ -41,12 +41,6 @@ NO_MATCH_SCORE = 9999.0
 
 LOOKUP_SCHEMA = "key STRING, val STRING"
 
-GAZETTEER_SCHEMA = (
-    "geoid STRING, name STRING, norm STRING, lat DOUBLE, lon DOUBLE, feature STRING, tier INT, "
-    "country_iso STRING, country_name STRING, admin1_id STRING, admin1_name STRING, "
-    "admin2_id STRING, admin2_name STRING"
-)
-
 # The part of a gazetteer row that travels with a candidate.
 CANDIDATE_FIELDS = (
     "geoid", "name", "lat", "lon", "feature", "tier", "country_iso", "country_name",

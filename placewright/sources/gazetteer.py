@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.functions.text import normalize
+from placewright.operators.skew import salted_join
 from placewright.schemas import ADMIN1, ADMIN2, CITY, COUNTRY, DEFAULT_FEATURES, DEFAULT_LANGUAGES, MIN_FEATURES
 
 
@@ -62,14 +63,14 @@ def allowed_alternates(alternates: DataFrame, languages: DataFrame) -> DataFrame
     )
 
 
-def with_names(rows: DataFrame, countries: DataFrame, admin1: DataFrame, admin2: DataFrame) -> DataFrame:
+def with_names(rows: DataFrame, countries: DataFrame, admin1: DataFrame, admin2: DataFrame, **salting) -> DataFrame:
     """Add country, admin1 and admin2 names by id: (country_iso, country_name), (country_iso, admin1_id, admin1_name),
-    (country_iso, admin1_id, admin2_id, admin2_name). No hint: the planner broadcasts what it measures to be small."""
-    return (
-        rows.join(countries.select("country_iso", "country_name"), "country_iso", "left")
-        .join(admin1.select("country_iso", "admin1_id", "admin1_name"), ["country_iso", "admin1_id"], "left")
-        .join(admin2.select("country_iso", "admin1_id", "admin2_id", "admin2_name"), ["country_iso", "admin1_id", "admin2_id"], "left")
-    )
+    (country_iso, admin1_id, admin2_id, admin2_name). One area may hold much of the gazetteer, so the joins are salted."""
+    ids = ["country_iso", "admin1_id", "admin2_id"]
+    named = rows
+    for depth, (table, name) in enumerate(((countries, "country_name"), (admin1, "admin1_name"), (admin2, "admin2_name")), 1):
+        named = salted_join(named, table.select(*ids[:depth], name), ids[:depth], spread=["geoid"], **salting)
+    return named
 
 
 def with_alternates(gazetteer: DataFrame, alternates: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Lookups on the hand gazetteer and, for the fuzzy ones, against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from placewright.operators import hierarchy, lookup, match, spelling
 from placewright.plans import jobs
+from placewright.schemas import RESULTS
 from test_functions import osa
 
 KEY_CASES = {
@@ -54,6 +56,7 @@ def test_result_classes(spark, gazetteer, countries):
     # for a whole phrase, so it is found by spelling.
     cases["Odver, Kent, England, United Kingdom"] = got["Odver, Kent, England, United Kingdom"]
     assert got == cases
+    assert {result for result, _ in got.values()} <= {*RESULTS}
 
 
 def test_every_row_is_settled_under_salting(spark, gazetteer, countries):
@@ -120,7 +123,6 @@ def test_word_partial_and_wildcard_against_brute_force(spark, synthetic):
     # A name's own candidates are limited by geoid before they are merged, which the order of results allows for.
     assert {e: got[e] for e in got} == by_part
     patterns = ["sa*", "*mary", "s*t m*", "*", "dover*", "a*", "p.rt*"]
-    import re
     want = {}
     for p in patterns:
         rx = re.compile(".*".join(map(re.escape, p.split("*"))) + r"\Z")
@@ -163,3 +165,26 @@ def test_replacement_results(spark, gazetteer):
     assert got == {"a": ("STRONG_MATCH", False), "b": ("DELETE", False), "c": ("ERROR", False), "d": (None, False), "e": ("DELETE", False), "f": (None, True)}
     listing = {r.key: r.line for r in lookup.replacement_listing(resolved).collect()}
     assert listing == {"a": "[church],Dover, Kent, England, United Kingdom", "c": "Database error for GeoID nope"}
+
+
+def test_fuzzy_joins_have_no_cross_product(spark, synthetic):
+    """Each lookup joins on a key; none falls back to a nested loop."""
+    _, searchable = synthetic
+    locs = located(spark, ["saint mary", "port*"])
+    for frame in (match.word_match(locs, searchable), match.partial_match(locs, searchable), match.wildcard_match(locs, searchable),
+                  match.soundex_match(locs, searchable), match.exact_match(locs, searchable)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_limits_apply_before_the_shuffle(spark, synthetic):
+    _, searchable = synthetic
+    plan = match.candidate_index(searchable, match.LOOSE)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit .* 150, Partial", plan)
+
+
+def test_lookup_limit_counts_by_geoid(spark):
+    rows = [(f"s{i:04}", "dover", "PPL", "xx", "Xland", "", "", "", "", 1.0, 2.0, "dover", 3) for i in range(400)]
+    gaz = spark.createDataFrame(rows, "geoid STRING, name STRING, feature STRING, country_iso STRING, country_name STRING, admin1_id STRING, admin1_name STRING, admin2_id STRING, admin2_name STRING, lat DOUBLE, lon DOUBLE, norm STRING, tier INT")
+    cands = match.exact_match(located(spark, ["dover"]), match.searchable(gaz)).first().cands
+    assert [c.geoid for c in cands] == [f"s{i:04}" for i in range(150)]
