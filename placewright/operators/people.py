@@ -55,9 +55,9 @@ def display_name(resolved, current):
     return F.replace(F.coalesce(resolved, current), F.lit("/"), F.lit(""))
 
 
-def with_person(places: DataFrame, names: DataFrame, **salting) -> DataFrame:
-    """Replace ``person`` of each place by the name its record id leads to."""
+def with_person(places: DataFrame, names: DataFrame, spread: tuple[str, ...] = ("rec", "pos"), **salting) -> DataFrame:
+    """Replace ``person`` of each place (file, record_id, person) by the name its record id leads to."""
     table = resolve_pointers(names).select("file", F.col("id").alias("record_id"), F.col("name").alias("_name"))
-    return salted_join(places, table, ["file", "record_id"], spread=["rec", "pos"], **salting).withColumn(
+    return salted_join(places, table, ["file", "record_id"], spread=list(spread), **salting).withColumn(
         "person", display_name(F.col("_name"), F.col("person"))
     ).drop("_name").select(*places.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINE_GROUP = ("file", "rec")
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def _chunk(order: str, size: int) -> Column:
@@ -34,9 +34,7 @@ def carry_last(
         *df.columns, "_chunk", *[F.last(f"_v_{n}", ignorenulls=True).over(so_far).alias(f"_l_{n}") for n in names]
     )
 
-    # A group inside one chunk hands nothing on; most are, and finding the others takes numbers only.
-    spanning = keyed.groupBy(*group).agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high")).where("_low < _high")
-    handed_on = keyed.join(spanning.select(*group), group, "left_semi").groupBy(*group, "_chunk").agg(
+    handed_on = keyed.groupBy(*group, "_chunk").agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_h_{n}") for n in names]
     )
     earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

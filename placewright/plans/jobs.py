@@ -166,22 +166,26 @@ def settle(
     return Settled(salted_join(places, by_text, ["place_text"], spread=list(spread), counts=texts, **salting), keys)
 
 
-def review_rows(settled: Settled, rules: Column | None = None, order: tuple[str, ...] = ("file", "rec", "pos")) -> DataFrame:
+def review_rows(
+    settled: Settled, rules: Column | None = None, names: DataFrame | None = None, order: tuple[str, ...] = ("file", "rec", "pos")
+) -> DataFrame:
     """(key, occurrences, place_text, result, action, save_allowed, first occurrence's details, listing): what a reviewer
     works on.
 
     The listing ranks the candidates, naming each and flagging names not yet in use in the year of the event; with no
-    candidate it is one row that says so.
+    candidate it is one row that says so. People are looked up in ``names`` for the queue only, not for all places.
     """
-    details = [c for c in ("event_year", "person", "event_name", "date") if c in settled.rows.columns]
+    details = [c for c in ("event_year", "record_id", "person", "event_name", "date") if c in settled.rows.columns]
     open_ = F.col("disposition").isin(*disposition.REVIEW)
     first = settled.rows.where(open_).groupBy("key").agg(
         F.count("*").alias("occurrences"), F.min(F.struct(*order, "place_text", *details)).alias("f")
-    )
+    ).select("key", "occurrences", "f.*")
+    if names is not None:
+        first = people.with_person(first, names, spread=("key",))
     queue = first.join(settled.keys.where(open_).select("key", "result", "cands"), "key")
     if rules is not None:
         queue = queue.withColumn("_rules", rules)
-    year = F.col("f.event_year")
+    year = F.col("event_year")
 
     def listed(c):
         city = F.when(c["tier"] >= CITY, c["name"]).otherwise("")
@@ -192,12 +196,12 @@ def review_rows(settled: Settled, rules: Column | None = None, order: tuple[str,
         return F.struct(c["geoid"].alias("geoid"), name.alias("name"), flag.alias("flag"), c["score"].alias("score"), c["feature"].alias("feature"))
 
     nothing = F.array(F.struct(
-        F.lit("").alias("geoid"), F.col("f.place_text").alias("name"), F.lit("").alias("flag"), F.lit(NO_MATCH_SCORE).alias("score"), F.lit("").alias("feature")
+        F.lit("").alias("geoid"), F.col("place_text").alias("name"), F.lit("").alias("flag"), F.lit(NO_MATCH_SCORE).alias("score"), F.lit("").alias("feature")
     ))
     count = F.coalesce(F.size("cands"), F.lit(0))
     result = F.col("result")
     return queue.select(
-        "key", "occurrences", "f.place_text", *[f"f.{c}" for c in details], "result",
+        "key", "occurrences", "place_text", *details, "result",
         disposition.review_action(result, count).alias("action"), disposition.save_allowed(result, count).alias("save_allowed"),
         F.when(count > 0, F.transform("cands", listed)).otherwise(nothing).alias("listing"),
     )
@@ -230,8 +234,8 @@ def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Set
 def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataFrame, tables: Tables) -> dict[str, DataFrame]:
     """Corrected lines, statistics, review queue, diagnostics and misses of GEDCOM files."""
     lines = read_gedcom(spark, paths)
-    found = stage(people.with_person(context.places(lines), people.person_names(lines)), "places")
-    settled = _settle_with(found, gazetteer, tables)
+    settled = _settle_with(stage(context.places(lines), "places"), gazetteer, tables)
+    names = stage(people.person_names(lines), "names")
     d = F.col("disposition")
     edits = settled.rows.where(d.isin(*disposition.MATCHED)).select(
         "file", "rec", "pos", F.when(d == "DELETE", "DELETE").otherwise("UPDATE").alias("action"), "text",
@@ -240,7 +244,7 @@ def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     return {
         "lines": rewrite.rewrite(lines, edits, numbered=True), "places": settled.rows,
         "stats": disposition.run_stats(settled.rows, context.place_count(lines)),
-        "review": review_rows(settled, rule_list(tables.rules)), "diagnostics": disposition.diagnostics(settled.rows),
+        "review": review_rows(settled, rule_list(tables.rules), names), "diagnostics": disposition.diagnostics(settled.rows),
         "misses": disposition.misses(settled.rows),
     }
 
@@ -259,7 +263,9 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     )
     # One number for the order over all files: the file's place in the list of files, then the position in it.
     files = objects.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")).cast("long"))
-    numbered = objects.select("file", "pos", "id").join(written, ["file", "pos"]).join(files, "file").withColumn(
+    numbered = salted_join(
+        objects.select("file", "pos", "id").join(written, ["file", "pos"]), files, ["file"], spread=["pos"], how="inner"
+    ).withColumn(
         "seq", F.shiftleft("file_no", 42).bitwiseOR(F.col("pos"))
     )
     tree = hierarchy.build_hierarchy(stage(hierarchy_places(numbered, gazetteer), "matched"), gazetteer)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.sources.scan import scan
-from placewright.workspace import stage
 
 # Fixed value: the form of a line, matched against the line with its newline.
 LINE_FORM = r"^(\d+)\s+(@\S+@)?\s*(\S+)\s+(.*)"
@@ -37,5 +36,5 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def read_gedcom(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, rec, pos, raw, level, label, tag, value), parsed once and staged."""
-    return stage(parse(scan(spark, paths)), "lines")
+    """(file, rec, pos, raw, level, label, tag, value), parsed while the lines are staged."""
+    return scan(spark, paths, derive=parse)

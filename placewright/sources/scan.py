@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,15 @@ BROADCAST_BLOCKS = 1_000_000
 ROWS = "file STRING, block LONG, seq LONG, raw STRING, gz BOOLEAN"
 
 
-def scan(spark: SparkSession, paths: str | list[str], line_sep: str | None = None) -> DataFrame:
-    """(file, rec, pos, raw): rows of the files, ``pos`` counting from 0 without gaps inside a file.
+def scan(
+    spark: SparkSession, paths: str | list[str], line_sep: str | None = None,
+    derive: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """(file, rec, pos, raw, ...): rows of the files, ``pos`` counting from 0 without gaps inside a file.
 
     Files are read in parallel splits. A row's place inside its split is known while it is read; the splits' row counts
     are added up afterwards from one small row per split, so no row is shuffled to be numbered. Rows are staged first,
-    since a number given during a scan must not be worked out twice.
+    since a number given during a scan must not be worked out twice; ``derive`` adds columns to what is staged.
 
     The default separator is any of LF, CRLF and CR. Bad UTF-8 is replaced. Gzip is recognised by suffix, or by its
     first two bytes where the suffix says nothing. A missing path is an error.
@@ -29,14 +34,14 @@ def scan(spark: SparkSession, paths: str | list[str], line_sep: str | None = Non
         F.monotonically_increasing_id().alias("seq"), F.make_valid_utf8("value").alias("raw"),
         F.expr("_metadata.file_block_start = 0 AND substring(CAST(value AS BINARY), 1, 2) = X'1F8B'").alias("gz"),
     )
-    staged = stage(rows, "scan")
+    staged = stage(derive(rows), "scan")
     blocks = stage(staged.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("rows")), "blocks")
 
     zipped = [
         r.file for r in staged.where("gz").join(blocks, ["file", "block"]).where("seq = first").select("file").collect()
     ]
     if zipped:
-        inflated = stage(_inflate(spark, zipped, line_sep), "inflated")
+        inflated = stage(derive(_inflate(spark, zipped, line_sep)), "inflated")
         staged = staged.where(~F.col("file").isin(zipped)).unionByName(inflated)
         blocks = stage(staged.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("rows")), "blocks")
 
@@ -46,8 +51,10 @@ def scan(spark: SparkSession, paths: str | list[str], line_sep: str | None = Non
     )
     if blocks.count() <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
+    own = ("file", "block", "seq", "gz")
     return staged.join(starts, ["file", "block"]).select(
-        "file", F.lit(0).cast("long").alias("rec"), (F.col("seq") + F.col("shift")).alias("pos"), "raw"
+        "file", F.lit(0).cast("long").alias("rec"), (F.col("seq") + F.col("shift")).alias("pos"),
+        *[c for c in staged.columns if c not in own],
     )
 
 
