@@ -91,7 +91,7 @@ def central_directory(file, size: int) -> list[Member]:
     tail_at = max(0, size - MAX16 - 22)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(END, 0, at)  # the signature within a comment
     if at < 0:
         raise ValueError("no ZIP: the end of the central directory is missing")
