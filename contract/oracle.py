@@ -178,9 +178,9 @@ normed AS (SELECT *, {norm('country')} AS n_country, {norm('admin1')} AS n_admin
 located AS (SELECT *, concat_ws('|', m_tier, n_country, n_admin1, n_admin2, m_name) AS loc FROM normed),
 locs AS (SELECT DISTINCT loc, m_tier, n_country, n_admin1, n_admin2, m_name FROM located),
 g AS (SELECT *, {norm('country')} AS n_country, {norm('admin1')} AS n_admin1, {norm('admin2')} AS n_admin2, {norm('name')} AS m_name FROM gaz),
-pairs AS (SELECT l.loc, g.geoid, g.lat, g.lon, g.country, g.admin1, g.admin2, g.name, g.tier, l.n_admin2 = g.n_admin2 AS full_match
-          FROM locs l JOIN g ON g.tier = l.m_tier AND g.n_country = l.n_country AND g.n_admin1 = l.n_admin1 AND g.m_name = l.m_name
-          WHERE l.n_admin2 = g.n_admin2 OR l.m_tier = 3),
+pairs AS (SELECT l.loc, g.geoid, g.lat, g.lon, g.country, g.admin1, g.admin2, g.name, g.tier, g.tier = l.m_tier AND l.n_admin2 = g.n_admin2 AS full_match
+          FROM locs l JOIN g ON g.n_country = l.n_country AND g.n_admin1 = l.n_admin1 AND g.m_name = l.m_name
+          WHERE g.tier = l.m_tier AND l.n_admin2 = g.n_admin2 OR l.m_tier >= 2 AND g.tier = 3),
 kept AS (SELECT *, bool_or(full_match) OVER (PARTITION BY loc) AS any_full FROM pairs),
 cands AS (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY geoid) AS rk, count(*) OVER (PARTITION BY loc) AS nc,
             CAST(CASE WHEN any_full THEN 0 ELSE 5 END AS DOUBLE) AS score FROM kept WHERE full_match = any_full)"""
@@ -195,7 +195,7 @@ _SUPPORT = f"""CASE WHEN n_country NOT IN (SELECT {norm('name')} FROM countries)
   WHEN n_country NOT IN (SELECT {norm('name')} FROM countries WHERE supported) THEN 'NOT_SUPPORTED' END"""
 ORACLE["country_support"] = located("countries") + f" SELECT loc, {_SUPPORT} AS support FROM locs"
 ORACLE["exact_match"] = located() + """
-SELECT loc, CASE WHEN nc = 1 THEN 'STRONG_MATCH' ELSE 'MULTIPLE_MATCHES' END AS result, CAST(nc AS INT) AS candidates, geoid, score
+SELECT loc, CASE WHEN nc = 1 THEN 'STRONG_MATCH' ELSE 'MULTIPLE_MATCHES' END AS result, CAST(nc AS BIGINT) AS candidates, geoid, score
 FROM cands WHERE rk = 1"""
 ORACLE["best_match"] = located() + " SELECT seq, geoid, lat, lon FROM located JOIN cands USING (loc) WHERE rk = 1"
 ORACLE["validity_flag"] = located("validity") + """
@@ -205,18 +205,26 @@ FROM located JOIN cands c USING (loc) LEFT JOIN validity v ON v.country_iso = lo
 HOMONYMS = f"""ranked AS (
 SELECT concat('3|everywhere|||', {norm('name')}) AS loc, geoid, row_number() OVER (PARTITION BY name ORDER BY geoid) AS rank FROM part_gaz)"""
 ORACLE["candidate_rank"] = with_views("part_gaz") + ",\n" + HOMONYMS + """
-SELECT loc, CAST(rank AS INT) AS rank, geoid, CAST(0 AS DOUBLE) AS score FROM ranked WHERE rank <= 150"""
+SELECT loc, CAST(rank AS INT) AS rank, geoid, CAST(0 AS DOUBLE) AS score FROM ranked"""
 ORACLE["multiple_match"] = with_views("part_gaz") + ",\n" + HOMONYMS + """
-SELECT loc, CASE WHEN count(*) = 1 THEN 'STRONG_MATCH' ELSE 'MULTIPLE_MATCHES' END AS result, CAST(least(count(*), 150) AS INT) AS candidates
+SELECT loc, CASE WHEN count(*) = 1 THEN 'STRONG_MATCH' ELSE 'MULTIPLE_MATCHES' END AS result, count(*) AS candidates
 FROM ranked GROUP BY loc"""
 
 _TOP = lambda pairs: f"""SELECT loc, CAST(rk AS INT) AS rank, geoid, score FROM (
-SELECT *, row_number() OVER (PARTITION BY loc ORDER BY score, geoid) AS rk FROM ({pairs}) AS x) AS y WHERE rk <= 150"""
-ORACLE["wildcard_match"] = located() + "\n" + _TOP("""
-SELECT l.loc, g.geoid, CAST(CASE WHEN l.n_admin2 = g.n_admin2 THEN 20 ELSE 25 END AS DOUBLE) AS score
-FROM locs l JOIN g ON g.tier = l.m_tier AND g.n_country = l.n_country AND g.n_admin1 = l.n_admin1
-  AND starts_with(g.m_name, split_part(l.m_name, '*', 1))
-WHERE contains(l.m_name, '*') AND g.m_name LIKE replace(replace(l.m_name, '_', '\\_'), '*', '%') ESCAPE '\\'""")
+SELECT *, row_number() OVER (PARTITION BY loc ORDER BY score, geoid) AS rk FROM ({pairs}) AS x) AS y"""
+_LIKE = lambda part: f"g.{part} LIKE replace(replace(l.{part}, '_', '\\_'), '*', '%') ESCAPE '\\'"
+_WILD = f"""
+SELECT l.loc, g.geoid, CAST(CASE WHEN {_LIKE('n_admin2')} THEN 20 ELSE 25 END AS DOUBLE) AS score
+FROM locs l JOIN g ON g.tier = l.m_tier AND {_LIKE('n_country')} AND {_LIKE('n_admin1')} AND {_LIKE('m_name')}
+WHERE contains(concat(l.m_name, l.n_admin1, l.n_country), '*')"""
+ORACLE["wildcard_match"] = located() + "\n" + _TOP(_WILD)
+ORACLE["wildcard_parts"] = with_views("gaz", "wild_texts") + f""",
+t AS (SELECT string_split({norm('place_text')}, ',') AS p FROM wild_texts),
+parts AS (SELECT DISTINCT p[-1] AS n_country, coalesce(p[-2], '') AS n_admin1, coalesce(p[-3], '') AS n_admin2, coalesce(p[-4], '') AS n_city, len(p) - 1 AS m_tier FROM t),
+locs AS (SELECT *, concat_ws('|', m_tier, n_country, n_admin1, n_admin2, m_name) AS loc FROM (
+  SELECT *, CASE m_tier WHEN 3 THEN n_city WHEN 2 THEN n_admin2 WHEN 1 THEN n_admin1 ELSE n_country END AS m_name FROM parts) AS x),
+g AS (SELECT *, {norm('country')} AS n_country, {norm('admin1')} AS n_admin1, {norm('admin2')} AS n_admin2, {norm('name')} AS m_name FROM gaz)
+""" + _TOP(_WILD)
 _LOC3 = "concat('3|', lower(country), '|||', name)"
 ORACLE["word_match"] = with_views("misspelt", "part_gaz") + f""",
 entries AS (SELECT DISTINCT country, name, {_LOC3} AS loc, string_split(name, ' ') AS ws FROM (
@@ -237,14 +245,14 @@ FROM (SELECT i, c, lag(c) OVER (ORDER BY i) AS p FROM (
 SELECT i, translate(substr({w}, i, 1), 'aeiouybfpvcgjkqsxzdtlmnr', '000000111122222222334556') AS c
 FROM unnest(range(1, length({w}) + 1)) AS r(i) WHERE i = 1 OR substr({w}, i, 1) NOT IN ('h', 'w')) AS a) AS b)"""
 ORACLE["soundex_match"] = with_views("misspelt", "part_gaz") + f""",
-entries AS (SELECT DISTINCT country, m1 AS name FROM misspelt),
+entries AS (SELECT country, m1 AS name FROM misspelt UNION SELECT country, m2 FROM misspelt),
 sounded AS (SELECT *, {_SOUND('name')} AS sound, {_LOC3} AS loc FROM entries),
-firsts AS (SELECT geoid, country, split_part(name, ' ', 1) AS name FROM part_gaz),
+firsts AS (SELECT geoid, country, split_part(name, ' ', 1) AS name FROM part_gaz UNION ALL SELECT geoid, country, split_part(name, ' ', 2) FROM part_gaz),
 word_sounds AS (SELECT name, {_SOUND('name')} AS sound FROM (SELECT DISTINCT name FROM firsts) AS f),
-gs AS (SELECT geoid, country, name, sound, row_number() OVER (PARTITION BY country, sound ORDER BY geoid) AS gr FROM firsts JOIN word_sounds USING (name))
+gs AS (SELECT geoid, country, name, sound FROM firsts JOIN word_sounds USING (name))
 """ + _TOP("""
-SELECT s.loc, gs.geoid, CAST(40 + 10 * levenshtein(gs.name, s.name) AS DOUBLE) AS score
-FROM sounded s JOIN gs ON gs.country = s.country AND gs.sound = s.sound WHERE gr <= 150""")
+SELECT s.loc, gs.geoid, min(CAST(40 + 10 * levenshtein(gs.name, s.name) AS DOUBLE)) AS score
+FROM sounded s JOIN gs ON gs.country = s.country AND gs.sound = s.sound GROUP BY s.loc, gs.geoid""")
 
 # --- settling --------------------------------------------------------------------------------------------------------
 
@@ -259,11 +267,14 @@ def _capwords(x: str) -> str:
 
 SETTLED = f"""key_locs AS (SELECT l.key, l.loc, l.prefix, l.n_country FROM located l JOIN keys k ON k.key = l.key AND k.first_seq = l.seq),
 best AS (SELECT * FROM cands WHERE rk = 1),
+wild_pairs AS ({_WILD} AND l.loc NOT IN (SELECT loc FROM cands)),
+wild AS (SELECT loc, count(*) AS nc FROM wild_pairs GROUP BY loc),
 status AS (
 SELECT k.key, k.n, rpl.repl_result, k.key IN (SELECT key FROM sk) AND rpl.key IS NULL AS skipped, rpl.prefix AS repl_prefix,
-  coalesce(CASE WHEN {_SUPPORT} IS NULL THEN CASE WHEN b.nc = 1 THEN 'STRONG_MATCH' WHEN b.nc > 1 THEN 'MULTIPLE_MATCHES' END END, {_SUPPORT}, 'NO_MATCH') AS found,
-  l.prefix, {_LONG('rpl.')} AS repl_long, {_LONG('b.')} AS long, coalesce(b.nc, 0) AS nc
-FROM keys k JOIN key_locs l USING (key) LEFT JOIN rpl ON rpl.key = k.key LEFT JOIN best b ON b.loc = l.loc),
+  coalesce(CASE WHEN {_SUPPORT} IS NULL THEN CASE WHEN b.nc = 1 THEN 'STRONG_MATCH' WHEN b.nc > 1 THEN 'MULTIPLE_MATCHES' END END, {_SUPPORT}, CASE WHEN w.nc > 0 THEN 'WILDCARD_MATCH' END, 'NO_MATCH') AS found,
+  l.prefix, {_LONG('rpl.')} AS repl_long, {_LONG('b.')} AS long,
+  CASE WHEN {_SUPPORT} IS NULL AND rpl.repl_result IS NULL AND k.key <> '' AND k.key NOT IN (SELECT key FROM sk) THEN coalesce(b.nc, w.nc, 0) ELSE 0 END AS nc, b.nc AS exact, w.nc AS wilds
+FROM keys k JOIN key_locs l USING (key) LEFT JOIN rpl ON rpl.key = k.key LEFT JOIN best b ON b.loc = l.loc LEFT JOIN wild w ON w.loc = l.loc),
 decided AS (
 SELECT *, CASE repl_result WHEN 'STRONG_MATCH' THEN 'REPLACE' WHEN 'DELETE' THEN 'DELETE' WHEN 'ERROR' THEN 'ERROR'
     ELSE CASE WHEN skipped THEN 'ASIS_SKIP' WHEN found = 'STRONG_MATCH' AND key <> '' THEN 'UPDATE' ELSE 'ASIS_REVIEW' END END AS disposition,
@@ -294,8 +305,22 @@ ORACLE["review_queue"] = settled() + """
 SELECT key, n AS occurrences, result,
   CASE WHEN nc > 1 OR result IN ('MULTIPLE_MATCHES', 'NO_MATCH', 'NO_COUNTRY') THEN 'verify' WHEN result = 'NOT_SUPPORTED' THEN 'skip' ELSE 'save' END AS action,
   CASE WHEN nc > 1 OR result IN ('MULTIPLE_MATCHES', 'NO_MATCH', 'NO_COUNTRY') THEN false WHEN result = 'NOT_SUPPORTED' THEN NULL ELSE true END AS save_allowed,
-  CAST(greatest(CASE WHEN disposition = 'ERROR' THEN 0 ELSE nc END, 1) AS INT) AS candidates
+  CAST(nc AS BIGINT) AS candidates
 FROM texts WHERE disposition IN ('ERROR', 'ASIS_REVIEW')"""
+ORACLE["review_listing"] = settled() + """,
+listed AS (SELECT t.key, p.geoid, p.score FROM texts t JOIN key_locs l USING (key) JOIN (
+    SELECT loc, geoid, score FROM cands UNION ALL SELECT loc, geoid, score FROM wild_pairs) AS p ON p.loc = l.loc
+  WHERE t.disposition IN ('ERROR', 'ASIS_REVIEW') AND t.nc > 0)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY score, geoid) AS INT) AS rank, geoid, score FROM listed
+UNION ALL SELECT key, 1, '', CAST(9999 AS DOUBLE) FROM texts WHERE disposition IN ('ERROR', 'ASIS_REVIEW') AND nc = 0"""
+ORACLE["resolve_stage"] = settled() + """
+SELECT key, result, CASE WHEN nc > 0 THEN CASE WHEN exact > 0 THEN 'EXACT' ELSE 'WILDCARD' END END AS stage, CAST(nc AS BIGINT) AS candidates FROM texts"""
+ORACLE["city_without_county"] = with_views("gaz") + f""",
+g AS (SELECT *, {norm('country')} AS n_country, {norm('admin1')} AS n_admin1, {norm('name')} AS m_name FROM gaz),
+asked AS (SELECT DISTINCT n_country, n_admin1, m_name FROM g WHERE tier = 3),
+hits AS (SELECT a.*, h.geoid FROM asked a JOIN g h ON h.tier = 3 AND h.n_country = a.n_country AND h.n_admin1 = a.n_admin1 AND h.m_name = a.m_name)
+SELECT concat_ws('|', '2', n_country, n_admin1, m_name, m_name) AS loc, count(*) AS candidates, min(geoid) AS geoid, CAST(5 AS DOUBLE) AS score
+FROM hits GROUP BY n_country, n_admin1, m_name"""
 
 # --- spelling --------------------------------------------------------------------------------------------------------
 

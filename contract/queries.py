@@ -95,10 +95,10 @@ def _countries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _settled(spark: SparkSession, d: str) -> jobs.Settled:
-    """Place lines with disposition and corrected text, exact matching only."""
+    """Place lines with disposition and corrected text, through all stages of matching."""
     places = view(spark, d, "raw_places").select("*", F.lit(0).cast("long").alias("rec"), F.col("seq").alias("pos"))
     return jobs.settle(
-        stage(places, "places"), _replacements(spark, d), _skips(spark, d), _rows(spark, d), _countries(spark, d), fuzzy=False
+        stage(places, "places"), _replacements(spark, d), _skips(spark, d), _rows(spark, d), _countries(spark, d)
     )
 
 
@@ -296,17 +296,23 @@ def country_support(spark, d):
 @query
 def exact_match(spark, d):
     found = match.exact_match(_locations(spark, d), _rows(spark, d))
-    return found.select(
-        "loc", match.exact_result(F.col("cands")).alias("result"), F.size("cands").alias("candidates"),
-        F.col("cands")[0]["geoid"].alias("geoid"), F.col("cands")[0]["score"].alias("score"),
-    )
+    return found.select("loc", match.exact_result(F.col("n")).alias("result"), F.col("n").alias("candidates"), "best.geoid", "best.score")
+
+
+@query
+def city_without_county(spark, d):
+    """Cities asked for by three parts, which read as a county."""
+    texts = view(spark, d, "gaz").where("tier = 3").select(F.concat_ws(",", "name", "admin1", "country").alias("place_text")).distinct()
+    locations = match.with_location(texts.withColumn("key", text.normalize(F.col("place_text"))))
+    return match.exact_match(locations.select("loc", *match.LOCATION).distinct(), _rows(spark, d)).select(
+        "loc", F.col("n").alias("candidates"), "best.geoid", "best.score")
 
 
 def _best(spark, d):
     """Place lines with the best candidate of their text."""
     parsed = stage(_parsed(spark, d), "texts")
     found = match.exact_match(parsed.select("loc", *match.LOCATION).distinct(), _rows(spark, d))
-    best = found.select("loc", F.col("cands")[0].alias("best"))
+    best = found.select("loc", "best")
     by_text = salted_join(parsed.select("place_text", "loc"), best, ["loc"], spread=["place_text"], how="inner")
     return salted_join(view(spark, d, "raw_places"), by_text, ["place_text"], spread=["seq"], how="inner", counts=parsed)
 
@@ -318,19 +324,21 @@ def best_match(spark, d):
 
 def _homonyms(spark, d):
     rows = _part_rows(spark, d, country="'EVERYWHERE'")
-    return match.exact_match(_part_locations(rows.select(F.lit("EVERYWHERE").alias("country"), "name")), rows)
+    return match.with_exact(_part_locations(rows.select(F.lit("EVERYWHERE").alias("country"), "name")).select("loc", *match.LOCATION), rows), rows
+
+
+def _ranked(candidates):
+    return match.ranked(candidates).select("loc", "rank", "geoid", "score")
 
 
 @query
 def candidate_rank(spark, d):
-    return _homonyms(spark, d).select("loc", F.posexplode("cands").alias("rank", "c")).select(
-        "loc", (F.col("rank") + 1).alias("rank"), "c.geoid", "c.score"
-    )
+    return _ranked(match.exact_candidates(*_homonyms(spark, d)))
 
 
 @query
 def multiple_match(spark, d):
-    return _homonyms(spark, d).select("loc", match.exact_result(F.col("cands")).alias("result"), F.size("cands").alias("candidates"))
+    return _homonyms(spark, d)[0].select("loc", match.exact_result(F.col("n")).alias("result"), F.col("n").alias("candidates"))
 
 
 @query
@@ -341,31 +349,37 @@ def validity_flag(spark, d):
 
 @query
 def wildcard_match(spark, d):
-    found = match.wildcard_match(_locations(spark, d), _rows(spark, d))
-    return found.select("loc", F.posexplode("cands").alias("rank", "c")).select("loc", (F.col("rank") + 1).alias("rank"), "c.geoid", "c.score")
+    return _ranked(match.wildcard_match(_locations(spark, d), _rows(spark, d)))
+
+
+@query
+def wildcard_parts(spark, d):
+    """Patterns in the name, the admin1, the country, and in several of them."""
+    texts = view(spark, d, "wild_texts")
+    locations = match.with_location(texts.withColumn("key", text.normalize(F.col("place_text"))))
+    return _ranked(match.wildcard_match(locations.select("loc", *match.LOCATION).distinct(), _rows(spark, d)))
 
 
 @query
 def word_match(spark, d):
     names = view(spark, d, "misspelt")
     entries = names.select("country", F.concat_ws(" ", "w2", "w1").alias("name")).unionByName(names.select("country", F.col("w1").alias("name")))
-    found = match.word_match(_part_locations(entries), _part_rows(spark, d))
-    return found.select("loc", F.posexplode("cands").alias("rank", "c")).select("loc", (F.col("rank") + 1).alias("rank"), "c.geoid", "c.score")
+    return _ranked(match.word_match(_part_locations(entries), _part_rows(spark, d)))
 
 
 @query
 def partial_match(spark, d):
     entries = view(spark, d, "misspelt").select("country", F.concat_ws(" ", F.lit("old"), "w2", F.lit("near"), "w1").alias("name"))
-    found = match.partial_match(_part_locations(entries), _part_rows(spark, d))
-    return found.select("loc", F.posexplode("cands").alias("rank", "c")).select("loc", (F.col("rank") + 1).alias("rank"), "c.geoid", "c.score")
+    return _ranked(match.partial_match(_part_locations(entries), _part_rows(spark, d)))
 
 
 @query
 def soundex_match(spark, d):
-    entries = view(spark, d, "misspelt").select("country", F.col("m1").alias("name"))
-    rows = _part_rows(spark, d, name="split_part(name, ' ', 1)")
-    found = match.soundex_match(_part_locations(entries), rows)
-    return found.select("loc", F.posexplode("cands").alias("rank", "c")).select("loc", (F.col("rank") + 1).alias("rank"), "c.geoid", "c.score")
+    """Both misspelt words against both words of all names."""
+    names = view(spark, d, "misspelt")
+    entries = names.select("country", F.col("m1").alias("name")).unionByName(names.select("country", F.col("m2").alias("name")))
+    rows = _part_rows(spark, d, name="split_part(name, ' ', 1)").unionByName(_part_rows(spark, d, name="split_part(name, ' ', 2)"))
+    return _ranked(match.soundex_match(_part_locations(entries), rows))
 
 
 # --- settling --------------------------------------------------------------------------------------------------------
@@ -395,8 +409,19 @@ def miss_log(spark, d):
 
 @query
 def review_queue(spark, d):
-    queue = jobs.review_rows(_settled(spark, d))
-    return queue.select("key", "occurrences", "result", "action", "save_allowed", F.size("listing").alias("candidates"))
+    return jobs.review_rows(_settled(spark, d)).select("key", "occurrences", "result", "action", "save_allowed", "candidates")
+
+
+@query
+def review_listing(spark, d):
+    settled = _settled(spark, d)
+    return jobs.review_listing(settled, jobs.review_rows(settled)).select("key", "rank", "geoid", "score")
+
+
+@query
+def resolve_stage(spark, d):
+    """The stage that settled each key, its result and its number of candidates."""
+    return _settled(spark, d).keys.select("key", "result", "stage", F.coalesce("n_candidates", F.lit(0)).alias("candidates"))
 
 
 # --- spelling --------------------------------------------------------------------------------------------------------

@@ -47,6 +47,17 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
 JOIN {region} ON n_regionkey = r_regionkey
 """
 
+# patterns in each part of a place, from every customer and nation
+VIEWS["wild_texts"] = """
+SELECT concat(substring(c_name, 1, 16), '*, ', c_mktsegment, ', ', substring(n_name, 1, 2), '*, ', r_name) AS place_text
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION SELECT concat(substring(n_name, 1, 3), '*, ', r_name) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION SELECT concat(n_name, ', ', substring(r_name, 1, 2), '*') FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION SELECT concat(substring(r_name, 1, 1), '*') FROM {region}
+UNION SELECT concat('*', substring(c_mktsegment, 3), ', *', substring(n_name, 3), ', *', substring(r_name, 3))
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+"""
+
 # one INDI per customer, one event per order; PLAC precedes DATE when o_orderkey % 3 = 0; MAP when % 4 = 0;
 # one FAM per fifth customer, whose name is a pointer to the INDI; ten files
 VIEWS["gedcom_lines"] = """

@@ -18,7 +18,7 @@ TIER_NAMES = ("Country", "State", "County", "City", "Place")
 
 NODE_COLUMNS = [
     "tier", "key", "place_id", "title", "name", "lat", "lon", "feature", "admin1_id", "admin2_id", "iso", "enclosed_by",
-    "type", "seq", "parent_tier", "parent_key",
+    "type", "seq", "parent_tier", "parent_key", "above",
 ]
 HIERARCHY_COLUMNS = NODE_COLUMNS[:14]
 
@@ -62,6 +62,7 @@ def nodes(places: DataFrame) -> DataFrame:
             unset_to_null(F.col("lat")).alias("lat"), unset_to_null(F.col("lon")).alias("lon"), "feature", "admin1_id", "admin2_id",
             F.col("country_iso").alias("iso"), F.when(tier > 0, F.col("enclosed_by")).otherwise("").alias("enclosed_by"),
             _tier_name(tier).alias("type"), "seq", "parent_tier", _key_at(F.col("parent_tier")).alias("parent_key"),
+            F.lit(False).alias("above"),
         )
     )
 
@@ -69,11 +70,13 @@ def nodes(places: DataFrame) -> DataFrame:
 def dedupe(nodes: DataFrame) -> DataFrame:
     """One node per (tier, key): the last that came with a file's own id, else the first made up.
 
+    ``seq`` may be of any type that can be ordered; nodes ``above`` the places come after all places.
+
     A rank filter, which is applied within each task before the shuffle as well, so a key that most places share costs
     one row per task.
     """
-    made_up = hk.is_synthetic(F.col("place_id"))
-    ranked = Window.partitionBy("tier", "key").orderBy(made_up, F.when(made_up, F.col("seq")).otherwise(-F.col("seq")))
+    made_up, order = hk.is_synthetic(F.col("place_id")), F.struct("above", "seq")
+    ranked = Window.partitionBy("tier", "key").orderBy(made_up, F.when(made_up, order).asc(), F.when(~made_up, order).desc())
     return nodes.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
 
 
@@ -109,13 +112,12 @@ def ancestor_nodes(ancestors: DataFrame, gazetteer: DataFrame) -> DataFrame:
     name = hk.name_at(tier, F.lit(""), F.col("city"), F.col("admin2_name"), F.col("admin1_name"), F.col("country_name"))
     at = lambda least, part: F.when(tier >= least, F.col(part))
     title = long_name(*[F.coalesce(at(k, c), F.lit("")) for k, c in ((3, "city"), (2, "admin2_name"), (1, "admin1_name"), (0, "country_name"))])
-    # Ids made up come after all ids from files.
     return ancestors.join(known, ["tier", "key"], "left").select(
         "tier", "key", F.col("key").alias("place_id"), title.alias("title"), name.alias("name"), "place.lat", "place.lon",
         F.coalesce("place.feature", "feature").alias("feature"),
         F.when(tier >= 1, F.col("admin1_id")).otherwise("").alias("admin1_id"), F.when(tier >= 2, F.col("admin2_id")).otherwise("").alias("admin2_id"),
         F.col("country_iso").alias("iso"), F.lit("").alias("enclosed_by"), _tier_name(tier).alias("type"),
-        (F.lit(1 << 62) + F.col("seq")).alias("seq"), "parent_tier", "parent_key",
+        "seq", "parent_tier", "parent_key", F.lit(True).alias("above"),
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from placewright.functions import hierarchy_key
 from placewright.functions.text import normalize, words
 from placewright.operators.skew import salted_join
-from placewright.schemas import CANDIDATE_FIELDS, CANDIDATE_LIMIT, CITY, PREFIX
+from placewright.schemas import CANDIDATE_FIELDS, CITY, PREFIX
+from placewright.workspace import stage
 
 # Scores: lower is better. A stage's base, plus 10 per letter of edit distance, plus 5 per part that differs.
 EXACT, WILDCARD, WORD, PARTIAL, SOUNDEX, SPELLING = 0.0, 20.0, 30.0, 35.0, 40.0, 50.0
@@ -103,41 +104,40 @@ def valid_year(event_year: Column, first_year: Column, pad_years: int = 0) -> Co
     return F.coalesce((event_year == 0) | (event_year + pad_years >= first_year), F.lit(True))
 
 
-# --- candidate lists -----------------------------------------------------------------------------------------------
+# --- candidates ----------------------------------------------------------------------------------------------------
 
 
 def _candidate(score: Column) -> Column:
     return F.struct(score.cast("double").alias("score"), *CANDIDATE_FIELDS)
 
 
-def candidate_index(rows: DataFrame, keys: list[str], limit: int = CANDIDATE_LIMIT, unique: bool = True) -> DataFrame:
-    """(keys, cands): the rows under each key, by geoid, at most ``limit`` of them as every lookup returns.
+def key_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, best): how many rows there are under each key, and the one of least geoid.
 
-    All rows of a key are alike to an equality lookup, so looking up becomes a join with one row per key, and the row
-    limit is pushed before the shuffle: a name that half the gazetteer bears stays cheap. ``unique`` says that a geoid
-    cannot come twice under a key.
+    All rows of a key are alike to an equality lookup, so looking up is a join with one row per key. Both values are
+    combined on the map side: a name that half the gazetteer bears costs one row per task, and no list of it is made.
     """
-    if not unique:
-        rows = rows.dropDuplicates([*keys, "geoid"])
-    place = Window.partitionBy(*keys).orderBy("geoid")
-    return (
-        rows.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= limit)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(_candidate(F.lit(EXACT)))).alias("cands"))
-    )
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_candidate(F.lit(EXACT))).alias("best"))
 
 
-def top_candidates(pairs: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """(loc, cands) from (loc, score, candidate fields): the best ``limit`` per location, by score then geoid."""
-    best = pairs.groupBy("loc", "geoid").agg(F.min(_candidate(F.col("score"))).alias("cand"))
-    place = Window.partitionBy("loc").orderBy("cand.score", "geoid")
-    return (
-        best.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= limit)
-        .groupBy("loc").agg(F.array_sort(F.collect_list("cand")).alias("cands"))
-    )
+def best_each(candidates: DataFrame) -> DataFrame:
+    """(loc, score, candidate fields): each place once per location, with its best score."""
+    best = candidates.groupBy("loc", "geoid").agg(F.min(_candidate(F.col("score"))).alias("cand"))
+    return best.select("loc", "cand.*")
+
+
+def summary(candidates: DataFrame) -> DataFrame:
+    """(loc, n, best) of candidate rows: how many a location has, and the best by score, then geoid."""
+    return candidates.groupBy("loc").agg(F.count("*").alias("n"), F.min(_candidate(F.col("score"))).alias("best"))
+
+
+def ranked(candidates: DataFrame, by: str = "loc") -> DataFrame:
+    """Candidate rows with ``rank`` within their location, from 1, by score, then geoid; for listings only."""
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("score", "geoid")))
 
 
-def add_score(cands: Column, extra: Column) -> Column:
-    return F.transform(cands, lambda c: c.withField("score", c["score"] + extra))
+def rescored(best: Column, extra: Column) -> Column:
+    return best.withField("score", best["score"] + extra)
 
 
 # --- stages --------------------------------------------------------------------------------------------------------
@@ -155,30 +155,45 @@ def country_support(locations: DataFrame, countries: DataFrame) -> DataFrame:
     ).drop("supported")
 
 
+def _cities(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("m_tier") == CITY)
+
+
 def with_exact(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
-    """Add ``cands`` by equality of all parts, else, for cities, of all but a wrong or missing admin2; null if none.
+    """Add ``n``, ``best`` and ``lookup`` by equality of all parts ("full"), else of a city's name, admin1 and country ("city").
 
-    A location that is settled by the first lookup takes a key of its own into the second.
+    The second is for cities with a wrong or missing admin2, and for texts of three parts, whose first may be a city as well
+    as a county. A location that is settled by the first lookup takes a key of its own into the second.
     """
-    full = candidate_index(rows, LOCATION).withColumnRenamed("cands", "_full")
-    loose = candidate_index(rows.where(F.col("m_tier") == CITY), LOOSE).withColumnRenamed("cands", "_loose")
-    loose = loose.withColumnRenamed("m_name", "_name")
-    again = F.col("_full").isNull() & (F.col("m_tier") == CITY)
+    full = key_summary(rows, LOCATION).withColumnsRenamed({"n": "_n_full", "best": "_full"})
+    loose = key_summary(_cities(rows), LOOSE[1:]).withColumnsRenamed({"n": "_n_loose", "best": "_loose", "m_name": "_name"})
+    again = F.col("_full").isNull() & (F.col("m_tier") >= 2)
     tried = locations.join(full, LOCATION, "left").withColumn("_name", F.when(again, F.col("m_name")).otherwise(F.concat(F.lit("="), "loc")))
-    key = [*LOOSE[:3], "_name"]
-    counts = locations.groupBy(*LOOSE[:3], F.col("m_name").alias("_name")).agg(F.count("*").alias("n"))
+    key = [*LOOSE[1:3], "_name"]
+    counts = locations.groupBy(*LOOSE[1:3], F.col("m_name").alias("_name")).agg(F.count("*").alias("n"))
     found = salted_join(tried, loose, key, spread=["loc"], counts=counts, **salting)
-    second = add_score(F.col("_loose"), F.lit(PER_PART))
-    return found.select(*locations.columns, F.coalesce("_full", second).alias("cands"))
+    return found.select(
+        *locations.columns, F.coalesce("_n_full", "_n_loose").alias("n"), F.coalesce("_full", rescored(F.col("_loose"), F.lit(PER_PART))).alias("best"),
+        F.when(F.col("_full").isNotNull(), "full").when(F.col("_loose").isNotNull(), "city").alias("lookup"),
+    )
 
 
 def exact_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
-    """(loc, cands) of the locations that :func:`with_exact` finds."""
-    return with_exact(locations, rows, **salting).where("cands IS NOT NULL").select("loc", "cands")
+    """(loc, n, best, lookup) of the locations that :func:`with_exact` finds."""
+    return with_exact(locations, rows, **salting).where("best IS NOT NULL").select("loc", "n", "best", "lookup")
+
 
+def exact_candidates(found: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """(loc, score, candidate fields): all rows behind what :func:`with_exact` found, for a listing."""
+    full = salted_join(rows, found.where("lookup = 'full'").select("loc", *LOCATION), LOCATION, spread=["geoid"], how="inner", **salting)
+    loose = salted_join(
+        _cities(rows), found.where("lookup = 'city'").select("loc", *LOOSE[1:]), LOOSE[1:], spread=["geoid"], how="inner", **salting)
+    pick = lambda df, score: df.select("loc", F.lit(score).alias("score"), *CANDIDATE_FIELDS)
+    return pick(full, EXACT).unionByName(pick(loose, PER_PART))
 
-def exact_result(cands: Column) -> Column:
-    return F.when(F.size(cands) == 1, "STRONG_MATCH").when(F.size(cands) > 1, "MULTIPLE_MATCHES")
+
+def exact_result(n: Column) -> Column:
+    return F.when(n == 1, "STRONG_MATCH").when(n > 1, "MULTIPLE_MATCHES")
 
 
 def wildcard_regex(pattern: Column) -> Column:
@@ -186,91 +201,135 @@ def wildcard_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^\\Q"), F.replace(pattern, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
 
 
-def wildcard_match(locations: DataFrame, rows: DataFrame, limit: int = CANDIDATE_LIMIT, **salting) -> DataFrame:
-    """(loc, cands) for names with ``*``.
+def is_pattern(*parts: str) -> Column:
+    """Whether any of these parts of a location holds a ``*``."""
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(part, F.lit("*"))
+    return out
+
+
+WILD_PARTS = ("n_country", "n_admin1", "m_name")
 
-    Joined on tier, country, admin1 and the literal text before the first ``*``, whatever its length, so the pattern is
-    tested only on names that begin with it. Names are keyed only at the lengths that some pattern has.
+
+def _by_mask(mask: int) -> Column:
+    """The parts of a location as one text: those without ``*`` first, so that as much as possible of it is literal."""
+    order = sorted(range(len(WILD_PARTS)), key=lambda i: mask >> i & 1)
+    return F.concat_ws("|", *[F.col(WILD_PARTS[i]) for i in order])
+
+
+def wildcard_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """(loc, score, candidate fields) for locations with ``*`` in their name, admin1 or country.
+
+    Joined on the tier, on which parts hold a ``*``, and on the literal text before the first one, when the parts without
+    ``*`` are put in front. So a pattern is tested only on places that agree with its literal parts and begin like the
+    next. Places are keyed only by the kinds and lengths of patterns that there are.
     """
-    block = ["m_tier", "n_country", "n_admin1", "lead"]
-    patterns = locations.where(F.contains("m_name", F.lit("*"))).select(
-        "loc", "m_tier", "n_country", "n_admin1", F.col("n_admin2").alias("p_admin2"), F.col("m_name").alias("pattern"),
-        F.regexp_extract("m_name", r"^([^*]*)", 1).alias("lead"),
+    masks = range(1, 1 << len(WILD_PARTS))
+    mask = sum(F.contains(part, F.lit("*")).cast("int") * (1 << i) for i, part in enumerate(WILD_PARTS))
+    text = F.coalesce(*[F.when(F.col("mask") == m, _by_mask(m)) for m in masks])
+    # Staged, since they are few and read twice.
+    wild = stage(locations.where(is_pattern(*WILD_PARTS)).select("loc", *LOCATION, mask.alias("mask")), "patterns")
+    patterns = wild.select(
+        "loc", "m_tier", "mask", F.regexp_extract(text, r"^([^*]*)", 1).alias("lead"), F.col("n_admin2").alias("p_admin2"),
+        *[F.col(part).alias(f"p_{part}") for part in WILD_PARTS],
     )
-    lengths = patterns.agg(F.collect_set(F.length("lead"))).scalar()
-    leads = rows.withColumn("_lengths", lengths).withColumn("lead", F.explode(F.transform(
-        F.filter("_lengths", lambda n: n <= F.length("m_name")), lambda n: F.substring(F.col("m_name"), F.lit(1), n)
-    )))
-    pairs = salted_join(leads, patterns, block, spread=["geoid"], how="inner", **salting).where(
-        F.rlike("m_name", wildcard_regex(F.col("pattern")))
-    )
-    score = WILDCARD + F.when(F.col("p_admin2") == F.col("n_admin2"), 0.0).otherwise(PER_PART)
-    return top_candidates(pairs.select("loc", score.alias("score"), *CANDIDATE_FIELDS), limit)
+    kinds = patterns.agg(F.collect_set(F.struct("mask", F.length("lead").alias("length")))).scalar()
+    keyed = rows.withColumn("_kinds", kinds).withColumn("_texts", F.array(*[_by_mask(m) for m in masks])).withColumn("_keys", F.transform("_kinds", lambda k: F.struct(
+        k["mask"].alias("mask"), F.substring(F.element_at("_texts", k["mask"]), F.lit(1), k["length"]).alias("lead"), k["length"].alias("length"))))
+    leads = keyed.select(*rows.columns, F.inline(F.filter("_keys", lambda k: F.length(k["lead"]) == k["length"]))).drop("length")
+    pairs = salted_join(leads, patterns, ["m_tier", "mask", "lead"], spread=["geoid"], how="inner", **salting)
+    for part in WILD_PARTS:
+        pairs = pairs.where(F.rlike(part, wildcard_regex(F.col(f"p_{part}"))))
+    same_admin2 = F.rlike("n_admin2", wildcard_regex(F.col("p_admin2")))
+    score = WILDCARD + F.when(same_admin2, 0.0).otherwise(PER_PART)
+    return best_each(pairs.select("loc", score.alias("score"), *CANDIDATE_FIELDS))
+
+
+NAME = ["m_tier", "n_country", "m_name"]
+
+
+def names_asked(locations: DataFrame) -> DataFrame:
+    """The distinct names that locations ask for in a country, which is what the fuzzy stages compare."""
+    return locations.select(*NAME).distinct()
+
+
+def attached(pairs: DataFrame, locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """(loc, score, candidate fields) from (m_tier, n_country, m_name, found, score), pairs of a name asked for and one found.
+
+    The places of a found name and the locations that ask for the other come in only now, with ``PER_PART`` for each part
+    above the name that differs.
+    """
+    places = salted_join(
+        rows.select("m_tier", "n_country", F.col("m_name").alias("found"), F.col("n_admin1").alias("g_admin1"), F.col("n_admin2").alias("g_admin2"), *CANDIDATE_FIELDS),
+        pairs, ["m_tier", "n_country", "found"], spread=["geoid"], how="inner", **salting)
+    full = salted_join(places, locations.select("loc", *LOCATION), NAME, spread=["geoid"], how="inner", **salting)
+    differs = lambda part, tier: F.when((F.col("m_tier") >= tier) & (F.col(f"n_{part}") != F.col(f"g_{part}")), PER_PART).otherwise(0.0)
+    score = F.col("score") + differs("admin1", 2) + differs("admin2", CITY)
+    return best_each(full.select("loc", score.alias("score"), *CANDIDATE_FIELDS))
 
 
 def soundex_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
-    """(loc, cands) of names that sound alike in the same country, ranked by edit distance."""
+    """(loc, score, candidate fields) of names that sound alike in the same country, scored by edit distance.
+
+    Distinct names meet by sound and are scored; nothing is left out before that.
+    """
     block = ["m_tier", "n_country", "sound"]
-    index = candidate_index(rows.withColumn("sound", F.soundex("m_name")), block, unique=False)
-    wanted = locations.withColumn("sound", F.soundex("m_name")).select("loc", "m_name", *block)
-    found = salted_join(wanted, index, block, spread=["loc"], how="inner", **salting)
-    ranked = F.array_sort(F.transform("cands", lambda c: c.withField(
-        "score", SOUNDEX + PER_EDIT * F.levenshtein(normalize(c["name"]), F.col("m_name"))
-    )))
-    return found.select("loc", ranked.alias("cands"))
+    asked = names_asked(locations).withColumn("sound", F.soundex("m_name"))
+    known = rows.select("m_tier", "n_country", F.col("m_name").alias("found")).distinct().withColumn("sound", F.soundex("found"))
+    pairs = salted_join(known, asked, block, spread=["found"], how="inner", **salting)
+    score = SOUNDEX + PER_EDIT * F.levenshtein("found", "m_name")
+    return attached(pairs.select(*NAME, "found", score.alias("score")), locations, rows, **salting)
 
 
 WORD_BLOCK = ["m_tier", "n_country", "word"]
 
 
 def _name_words(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Gazetteer rows by word, and in how many rows each word occurs."""
-    by_word = rows.withColumn("words", words(F.col("m_name"))).select("*", F.explode("words").alias("word"))
+    """Distinct names by word, and in how many of them each word occurs."""
+    by_word = rows.select(*NAME).distinct().withColumn("words", words(F.col("m_name"))).select("*", F.explode("words").alias("word"))
     return by_word, by_word.groupBy(*WORD_BLOCK).agg(F.count("*").alias("n"))
 
 
 def _entry_words(locations: DataFrame) -> DataFrame:
-    entries = locations.select("loc", "m_tier", "n_country", words(F.col("m_name")).alias("entry_words"))
+    entries = names_asked(locations).select("*", words(F.col("m_name")).alias("entry_words")).withColumnRenamed("m_name", "entry")
     return entries.select("*", F.explode("entry_words").alias("word"))
 
 
-def word_match(locations: DataFrame, rows: DataFrame, limit: int = CANDIDATE_LIMIT, **salting) -> DataFrame:
-    """(loc, cands) of names that hold every word of the entry; a point per further word.
+def word_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """(loc, score, candidate fields) of names that hold every word of the entry; a point per further word.
 
     Names are compared only where they hold the entry's rarest word, which loses none: a name that holds all words
     holds that one too. So common words are hardly ever joined on, and where one is, the names are spread by salt.
     """
     by_word, frequency = _name_words(rows)
-    known = salted_join(_entry_words(locations), frequency, WORD_BLOCK, spread=["loc"], **salting)
-    rarest = known.groupBy("loc", "m_tier", "n_country", "entry_words").agg(
+    known = salted_join(_entry_words(locations), frequency, WORD_BLOCK, spread=["entry"], **salting)
+    rarest = known.groupBy("entry", "m_tier", "n_country", "entry_words").agg(
         F.min(F.struct("n", "word")).alias("rare"), F.count_if(F.col("n").isNull()).alias("unknown")
-    ).where("unknown = 0").select("loc", "m_tier", "n_country", "entry_words", F.col("rare.word").alias("word"))
-    holding = salted_join(by_word, rarest, WORD_BLOCK, spread=["geoid"], how="inner", counts=frequency, **salting).where(
+    ).where("unknown = 0").select("entry", "m_tier", "n_country", "entry_words", F.col("rare.word").alias("word"))
+    holding = salted_join(by_word, rarest, WORD_BLOCK, spread=["m_name"], how="inner", counts=frequency, **salting).where(
         F.size(F.array_except("entry_words", "words")) == 0
     )
     score = WORD + F.size("words") - F.size("entry_words")
-    return top_candidates(holding.select("loc", score.alias("score"), *CANDIDATE_FIELDS), limit)
+    pairs = holding.select("m_tier", "n_country", F.col("m_name").alias("found"), F.col("entry").alias("m_name"), score.alias("score"))
+    return attached(pairs, locations, rows, **salting)
 
 
-def partial_match(locations: DataFrame, rows: DataFrame, limit: int = CANDIDATE_LIMIT, **salting) -> DataFrame:
-    """(loc, cands) of names whose words the entry all holds; a point per word the name leaves out.
+def partial_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """(loc, score, candidate fields) of names whose words the entry all holds; a point per word the name leaves out.
 
     The mirror image of :func:`word_match`: each distinct name is keyed by its own rarest word.
     """
     by_word, frequency = _name_words(rows)
-    names = by_word.select(*WORD_BLOCK, "m_name").distinct()
-    keyed = salted_join(names, frequency, WORD_BLOCK, spread=["m_name"], **salting).groupBy("m_tier", "n_country", "m_name").agg(
+    keyed = salted_join(by_word.select(*WORD_BLOCK, "m_name"), frequency, WORD_BLOCK, spread=["m_name"], **salting).groupBy(*NAME).agg(
         F.min(F.struct("n", "word"))["word"].alias("word")
     )
-    held = salted_join(_entry_words(locations), keyed, WORD_BLOCK, spread=["loc"], how="inner", **salting).where(
+    held = salted_join(_entry_words(locations), keyed, WORD_BLOCK, spread=["entry"], how="inner", **salting).where(
         F.size(F.array_except(words(F.col("m_name")), "entry_words")) == 0
     )
-    index = candidate_index(rows, ["m_tier", "n_country", "m_name"], limit)
-    found = salted_join(
-        held.select("loc", "m_tier", "n_country", "m_name", (F.size("entry_words") - F.size(words(F.col("m_name")))).alias("left_out")),
-        index, ["m_tier", "n_country", "m_name"], spread=["loc"], how="inner", **salting
-    ).select("loc", "left_out", F.explode("cands").alias("c"))
-    return top_candidates(found.select("loc", (PARTIAL + F.col("left_out")).alias("score"), *[F.col(f"c.{f}").alias(f) for f in CANDIDATE_FIELDS]), limit)
+    score = PARTIAL + F.size("entry_words") - F.size(words(F.col("m_name")))
+    pairs = held.select("m_tier", "n_country", F.col("m_name").alias("found"), F.col("entry").alias("m_name"), score.alias("score"))
+    return attached(pairs, locations, rows, **salting)
 
 
 def fill_admin2(places: DataFrame, rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.functions import text as tx
@@ -16,8 +16,6 @@ from placewright.sources.gedcom import read_gedcom
 from placewright.sources.gramps import read_gramps
 from placewright.workspace import stage
 
-RULES_LIMIT = 10_000
-_NO_CANDIDATES = f"array<struct<score:double,{','.join(f'{n}:{t}' for n, t in zip(CANDIDATE_FIELDS, ['string', 'string', 'double', 'double', 'string', 'int'] + ['string'] * 6 + ['int']))}>>"
 
 
 @dataclass
@@ -33,12 +31,10 @@ class Tables:
 
 
 def rule_list(rules: DataFrame | None) -> Column | None:
-    """Output rules as one array value, fetched by a scalar subquery; more than ``RULES_LIMIT`` of them is an error."""
+    """Output rules as one array value, fetched by a scalar subquery: a list that a person keeps, applied in its order."""
     if rules is None:
         return None
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "orig", "repl")))
-    checked = F.when(F.count("*") <= RULES_LIMIT, ordered).otherwise(F.raise_error(F.lit("too many output rules")))
-    return rules.limit(RULES_LIMIT + 1).agg(checked.alias("rules")).scalar()
+    return rules.agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "orig", "repl"))).alias("rules")).scalar()
 
 
 def gazetteer_name(row: str = "") -> Column:
@@ -60,65 +56,69 @@ def events_by_century(places: DataFrame) -> DataFrame:
 # --- resolving -------------------------------------------------------------------------------------------------------
 
 
-def resolve_locations(locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(loc, result, cands) for distinct locations.
+def resolve_locations(locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(loc, result, stage, n, best) for distinct locations, and the candidate rows (loc, score, fields) behind them.
 
     Cheap equality lookups first; each later stage sees only what the earlier ones left open. What a stage leaves is
-    staged, since the next stage and the result both read it.
+    staged, since the next stage and the result both read it. Candidate rows are worked out for listings only.
     """
     supported = F.col("support").isNull()
-    tried = (
-        match.with_exact(match.country_support(locations, countries), rows)
-        .withColumn("cands", F.when(supported, F.col("cands")))
-        .withColumn("result", F.coalesce("support", match.exact_result(F.col("cands"))))
-    )
-    if not fuzzy:
-        return tried.select("loc", F.coalesce("result", F.lit("NO_MATCH")).alias("result"), "cands")
-
-    tried = stage(tried, "exact")
-    done = [tried.where("result IS NOT NULL").select("loc", "result", "cands")]
-    left = tried.where("result IS NULL").select("loc", *match.LOCATION)
-    wild = F.contains("m_name", F.lit("*"))
-    open_ = left.where(~wild)
-    wildcards = left.where(wild)
+    checked = match.country_support(locations, countries)
+    tried = stage(match.with_exact(checked.where(supported).drop("support"), rows), "exact")
+    outcome = ("result", "stage", "n", "best")
+    unsupported = checked.where(~supported).select(
+        "loc", F.col("support").alias("result"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("long").alias("n"), F.lit(None).cast(tried.schema["best"].dataType).alias("best"))
+    exact = tried.where("best IS NOT NULL")
+    found = unsupported.unionByName(exact.select("loc", match.exact_result(F.col("n")).alias("result"), F.lit("EXACT").alias("stage"), "n", "best"))
+    candidates = match.exact_candidates(exact, rows)
+    left = tried.where("best IS NULL").select("loc", *match.LOCATION)
     stages = [
-        ("WILDCARD_MATCH", match.wildcard_match), ("WORD_MATCH", match.word_match), ("PARTIAL_MATCH", match.partial_match),
-        ("SOUNDEX_MATCH", match.soundex_match), ("PARTIAL_MATCH", spelling_match),
+        ("WILDCARD", "WILDCARD_MATCH", match.wildcard_match), ("WORD", "WORD_MATCH", match.word_match), ("PARTIAL", "PARTIAL_MATCH", match.partial_match),
+        ("SOUNDEX", "SOUNDEX_MATCH", match.soundex_match), ("SPELLING", "PARTIAL_MATCH", spelling_match),
     ]
-    for result, find in stages:
-        asked = wildcards if find is match.wildcard_match else open_
-        looked = stage(asked.join(find(asked, rows), "loc", "left"), "looked")
-        done.append(looked.where("cands IS NOT NULL").select("loc", F.lit(result).alias("result"), "cands"))
-        rest = looked.where("cands IS NULL").select("loc", *match.LOCATION)
-        if asked is wildcards:
-            wildcards = rest
-        else:
-            open_ = rest
-    none = wildcards.unionByName(open_).select("loc", F.lit("NO_MATCH").alias("result"), F.lit(None).cast(_NO_CANDIDATES).alias("cands"))
-    found = none
-    for part in done:
-        found = found.unionByName(part)
-    return found
-
-
-def spelling_match(locations: DataFrame, rows: DataFrame) -> DataFrame:
-    """(loc, cands) by equality after correcting the spelling of the name."""
+    if fuzzy:
+        patterns = match.is_pattern(*match.WILD_PARTS)
+        wild, open_ = left.where(patterns), left.where(~patterns)
+        for name, result, find in stages:
+            asked = wild if name == "WILDCARD" else open_
+            hits = stage(find(asked, rows), "candidates")
+            looked = stage(asked.join(match.summary(hits), "loc", "left"), "looked")
+            found = found.unionByName(looked.where("best IS NOT NULL").select("loc", F.lit(result).alias("result"), F.lit(name).alias("stage"), "n", "best"))
+            candidates = candidates.unionByName(hits)
+            rest = looked.where("best IS NULL").select("loc", *match.LOCATION)
+            if name == "WILDCARD":
+                wild = rest
+            else:
+                open_ = rest
+        left = wild.unionByName(open_)
+    nothing = left.select("loc", F.lit("NO_MATCH").alias("result"), *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in outcome[1:]])
+    return found.unionByName(nothing), candidates
+
+
+def spelling_match(locations: DataFrame, rows: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(loc, score, candidate fields) by equality after correcting the spelling of the name.
+
+    For a whole phrase the best suggestion is taken even if it begins with another letter. ``vocabulary`` is the table that
+    :func:`build_spelling` wrote; without it the words are counted anew.
+    """
     asked = locations.where(spelling.correction_allowed(F.col("m_name")))
+    known = vocabulary if vocabulary is not None else spelling.vocabulary(rows, "m_name")
     # No digits are asked for, so a word with more digits than edits cannot be near.
-    words = spelling.vocabulary(rows, "m_name").where(F.regexp_count("word", F.lit(r"\d")) <= spelling.MAX_DISTANCE)
+    words = known.where(F.regexp_count("word", F.lit(r"\d")) <= spelling.MAX_DISTANCE)
     fixed = spelling.correct_phrases(asked.select("loc", F.col("m_name").alias("phrase")), words, keep="loc")
     again = asked.join(fixed, "loc").where("corrected != m_name").withColumn("m_name", F.col("corrected")).drop("corrected")
-    found = match.exact_match(again, rows)
-    return found.select("loc", match.add_score(F.col("cands"), F.lit(match.SPELLING)).alias("cands"))
+    hits = match.exact_candidates(match.with_exact(again, rows), rows)
+    return hits.withColumn("score", F.col("score") + match.SPELLING)
 
 
 @dataclass
 class Settled:
     """``rows``: the place rows with key, disposition, result, corrected text and place. ``keys``: one row per key, with
-    the candidates, which the rows do not carry."""
+    its location and number of candidates. ``candidates``: the candidate rows of each location, for listings."""
 
     rows: DataFrame
     keys: DataFrame
+    candidates: DataFrame
 
 
 def settle(
@@ -138,16 +138,16 @@ def settle(
         match.with_location(status, sample="sample").withColumn("looked_up", looked_up)
         .withColumn("loc", F.when(F.col("looked_up"), F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), "keys"
     )
-    found = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
-    resolved = salted_join(parsed, found, ["loc"], spread=["key"], **salting)
+    found, candidates = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
+    resolved = salted_join(parsed, found.withColumnRenamed("n", "n_candidates"), ["loc"], spread=["key"], **salting)
 
     result = F.when(F.col("repl_result").isNotNull(), F.col("repl_result")).when(F.col("key") == "", "DELETE").when(F.col("skipped"), None).otherwise(F.col("result"))
-    best = F.get("cands", F.lit(0))
+    best = F.col("best")
     replaced = F.col("repl_result") == "STRONG_MATCH"
     place = lambda c: F.when(replaced, F.col(f"repl_{c}")).otherwise(best[c])
     fields = [f for f in CANDIDATE_FIELDS if f not in ("geoid", "first_year")]
     decided = resolved.select(
-        "key", "n", result.alias("result"), "cands",
+        "key", "n", result.alias("result"), "loc", "stage", "n_candidates",
         F.when(F.col("repl_result").isNotNull(), F.col("repl_prefix")).otherwise(F.col("prefix")).alias("prefix"),
         F.when(F.col("repl_result").isNotNull(), F.col("repl_geoid")).otherwise(best["geoid"]).alias("geoid"),
         disposition.disposition(F.col("repl_result"), F.col("skipped"), result).alias("disposition"),
@@ -162,19 +162,13 @@ def settle(
         decided.withColumn("long_name", F.when(written, name))
         .withColumn("text", F.when(written, tx.output_text(F.col("prefix"), F.col("long_name")))).drop("_rules"), "settled_keys"
     )
-    by_text = salted_join(texts.drop("n"), keys.drop("n", "cands"), ["key"], spread=["place_text"], how="inner", **salting)
-    return Settled(salted_join(places, by_text, ["place_text"], spread=list(spread), counts=texts, **salting), keys)
-
+    by_text = salted_join(texts.drop("n"), keys.drop("n", "n_candidates", "loc", "stage"), ["key"], spread=["place_text"], how="inner", **salting)
+    return Settled(salted_join(places, by_text, ["place_text"], spread=list(spread), counts=texts, **salting), keys, candidates)
 
-def review_rows(
-    settled: Settled, rules: Column | None = None, names: DataFrame | None = None, order: tuple[str, ...] = ("file", "rec", "pos")
-) -> DataFrame:
-    """(key, occurrences, place_text, result, action, save_allowed, first occurrence's details, listing): what a reviewer
-    works on.
 
-    The listing ranks the candidates, naming each and flagging names not yet in use in the year of the event; with no
-    candidate it is one row that says so. People are looked up in ``names`` for the queue only, not for all places.
-    """
+def review_rows(settled: Settled, names: DataFrame | None = None, order: tuple[str, ...] = ("file", "rec", "pos")) -> DataFrame:
+    """(key, occurrences, place_text, first occurrence's details, result, stage, candidates, action, save_allowed): what a
+    reviewer works on. People are looked up in ``names`` for the queue only, not for all places."""
     details = [c for c in ("event_year", "record_id", "person", "event_name", "date") if c in settled.rows.columns]
     open_ = F.col("disposition").isin(*disposition.REVIEW)
     first = settled.rows.where(open_).groupBy("key").agg(
@@ -182,31 +176,34 @@ def review_rows(
     ).select("key", "occurrences", "f.*")
     if names is not None:
         first = people.with_person(first, names, spread=("key",))
-    queue = first.join(settled.keys.where(open_).select("key", "result", "cands"), "key")
-    if rules is not None:
-        queue = queue.withColumn("_rules", rules)
-    year = F.col("event_year")
-
-    def listed(c):
-        city = F.when(c["tier"] >= CITY, c["name"]).otherwise("")
-        name = tx.long_name(city, *[F.coalesce(c[n], F.lit("")) for n in ("admin2_name", "admin1_name", "country_name")])
-        if rules is not None:
-            name = tx.apply_rules(name, F.col("_rules"))
-        flag = F.when(match.valid_year(year, c["first_year"]), "").otherwise("VERIFY DATE")
-        return F.struct(c["geoid"].alias("geoid"), name.alias("name"), flag.alias("flag"), c["score"].alias("score"), c["feature"].alias("feature"))
-
-    nothing = F.array(F.struct(
-        F.lit("").alias("geoid"), F.col("place_text").alias("name"), F.lit("").alias("flag"), F.lit(NO_MATCH_SCORE).alias("score"), F.lit("").alias("feature")
-    ))
-    count = F.coalesce(F.size("cands"), F.lit(0))
-    result = F.col("result")
+    queue = first.join(settled.keys.where(open_).select("key", "result", "stage", "n_candidates"), "key")
+    count, result = F.coalesce("n_candidates", F.lit(0)), F.col("result")
     return queue.select(
-        "key", "occurrences", "place_text", *details, "result",
+        "key", "occurrences", "place_text", *details, "result", "stage", count.alias("candidates"),
         disposition.review_action(result, count).alias("action"), disposition.save_allowed(result, count).alias("save_allowed"),
-        F.when(count > 0, F.transform("cands", listed)).otherwise(nothing).alias("listing"),
     )
 
 
+def review_listing(settled: Settled, queue: DataFrame, rules: Column | None = None) -> DataFrame:
+    """(key, rank, geoid, name, flag, score, feature): the candidates of each queued key, a row for each, all of them.
+
+    Names not yet in use in the year of the event are flagged; a key without a candidate has one row that says so.
+    """
+    asked = queue.select("key", "place_text", "event_year", "candidates").join(settled.keys.select("key", "loc"), "key")
+    offered = salted_join(settled.candidates, asked, ["loc"], spread=["geoid"], how="inner")
+    city = F.when(F.col("tier") >= CITY, F.col("name")).otherwise("")
+    name = tx.long_name(city, *[F.coalesce(F.col(n), F.lit("")) for n in ("admin2_name", "admin1_name", "country_name")])
+    if rules is not None:
+        offered = offered.withColumn("_rules", rules)
+        name = tx.apply_rules(name, F.col("_rules"))
+    flag = F.when(match.valid_year(F.col("event_year"), F.col("first_year")), "").otherwise("VERIFY DATE")
+    listed = match.ranked(offered.select("key", "geoid", name.alias("name"), flag.alias("flag"), "score", "feature"), by="key")
+    nothing = asked.where("candidates = 0").select(
+        "key", F.lit("").alias("geoid"), F.col("place_text").alias("name"), F.lit("").alias("flag"), F.lit(NO_MATCH_SCORE).alias("score"),
+        F.lit("").alias("feature"), F.lit(1).alias("rank"))
+    return listed.unionByName(nothing)
+
+
 def hierarchy_places(settled: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Settled places (with seq and id) in the form the hierarchy is built from: ids and names of the matched place, the
     prefix of the text, a missing county filled in where the gazetteer knows but one."""
@@ -228,7 +225,7 @@ def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Set
     replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements), gazetteer)
     rows = stage(match.searchable(gazetteer, tables.validity), "searchable")
     settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules))
-    return Settled(stage(settled.rows, "settled"), settled.keys)
+    return Settled(stage(settled.rows, "settled"), settled.keys, settled.candidates)
 
 
 def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataFrame, tables: Tables) -> dict[str, DataFrame]:
@@ -241,10 +238,11 @@ def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataF
         "file", "rec", "pos", F.when(d == "DELETE", "DELETE").otherwise("UPDATE").alias("action"), "text",
         F.col("place.lat").alias("lat"), F.col("place.lon").alias("lon"),
     )
+    queue = review_rows(settled, names)
     return {
         "lines": rewrite.rewrite(lines, edits, numbered=True), "places": settled.rows,
         "stats": disposition.run_stats(settled.rows, context.place_count(lines)),
-        "review": review_rows(settled, rule_list(tables.rules), names), "diagnostics": disposition.diagnostics(settled.rows),
+        "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules)), "diagnostics": disposition.diagnostics(settled.rows),
         "misses": disposition.misses(settled.rows),
     }
 
@@ -261,18 +259,13 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
         "file", "pos", "handle", "change", "id", "type", "ptitle", "pname", "placerefs", "had_coord",
         F.coalesce("text", "place_text").alias("new_text"), F.coalesce("place.lat", "lat").alias("lat"), F.coalesce("place.lon", "lon").alias("lon"),
     )
-    # One number for the order over all files: the file's place in the list of files, then the position in it.
-    files = objects.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")).cast("long"))
-    numbered = salted_join(
-        objects.select("file", "pos", "id").join(written, ["file", "pos"]), files, ["file"], spread=["pos"], how="inner"
-    ).withColumn(
-        "seq", F.shiftleft("file_no", 42).bitwiseOR(F.col("pos"))
-    )
+    numbered = objects.select("file", "pos", "id").join(written, ["file", "pos"]).withColumn("seq", F.struct("file", "pos"))
     tree = hierarchy.build_hierarchy(stage(hierarchy_places(numbered, gazetteer), "matched"), gazetteer)
+    queue = review_rows(settled)
     return {
         "places": corrected, "hierarchy": tree, "violations": hierarchy.enclosure_violations(tree),
         "stats": disposition.run_stats(settled.rows, objects.groupBy("file").agg(F.count_if(F.col("place_text").isNotNull()).alias("places"))),
-        "review": review_rows(settled, rule_list(tables.rules)),
+        "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules)),
     }
 
 

@@ -33,9 +33,6 @@ NOISE_NAMES = ("died", "buried", "executed", "fatally", "wounded")
 NOISE_PHRASE = "gothland cemetery"
 NOISE_WORD = "gothland"
 
-# Fixed value: most candidates one lookup returns.
-CANDIDATE_LIMIT = 150
-
 # A row that stands for "nothing found" in a candidate listing.
 NO_MATCH_SCORE = 9999.0
 
