@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from contract.views import with_views
-from placewright.functions.dates import DATE_FORM
-from placewright.functions.text import ACCENTED, BASE, BLANKED
-from placewright.schemas import EVENT_NAMES
-from placewright.sources.gedcom import LINE_FORM
 
 ORACLE: dict[str, str] = {}
 
+# Written out here and not taken from the engine, so that a slip in one of them shows.
+ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšşťţùúûüūůűųýÿźžż"
+BASE = "aaaaaaaaacccddeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
+DROPPED = r"[.''’`\"\x{0300}-\x{036F}]"
+BLANKED = r"[^\p{L}\p{M}\p{N},*#_&/-]+"
+LINE_FORM = r"^(\d+)\s+(@\S+@)?\s*(\S+)\s+(.*)"
+DATE_FORM = r"^\s*(ABT\s+)?([1-3]?[0-9]{1}\s+)?((JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\s+)?(\d{3,4})"
+EVENT_NAMES = {
+    "DEAT": "Death", "CHR": "Christening", "BURI": "Burial", "BIRT": "Birth", "CENS": "Census",
+    "MARR": "Marriage", "RESI": "Residence", "IMMI": "Immigration", "EMMI": "Emmigration", "OCCU": "Occupation",
+}
+
 
 def norm(x: str, commas: bool = True) -> str:
     t = f"translate(lower({x}), '{ACCENTED}', '{BASE}')"
-    t = f"regexp_replace({t}, '[.''’`\"]', '', 'g')"
+    t = f"regexp_replace({t}, '{DROPPED}', '', 'g')"
     t = f"regexp_replace({t}, '{BLANKED}', ' ', 'g')"
     if not commas:
         return f"trim(regexp_replace({t}, '[ ,]+', ' ', 'g'))"
@@ -91,7 +99,7 @@ SELECT *, CASE WHEN tag = 'MAP' AND p1 = 'PLAC' THEN q1
   WHEN tag IN ('LATI', 'LONG') AND p1 IN ('LATI', 'LONG') AND p2 = 'MAP' AND p3 = 'PLAC' THEN q3 END AS owner
 FROM tags)"""
 ORACLE["map_block_rewrite"] = parsed() + ",\n" + BLOCKS + """
-SELECT rec, pos, tag FROM blocks WHERE owner IS NOT NULL AND rec % 2 = 0"""
+SELECT rec, pos, tag FROM blocks WHERE owner IS NOT NULL"""
 ORACLE["gedcom_rewrite"] = parsed() + ",\n" + BLOCKS + """,
 edits AS (
 SELECT rec, pos, level, tag, CASE pos // 10 % 4 WHEN 0 THEN 'UPDATE' ELSE 'DELETE' END AS action, upper(value) AS text,
@@ -137,7 +145,7 @@ ORACLE["dict_rekey"] = with_views("repl") + f"""
 SELECT {norm('key')} AS key, concat(arg_max(val, seq), '1') AS val FROM (
 SELECT 0 AS seq, upper(key) AS key, val FROM repl UNION ALL SELECT 1, concat(' ', key, '. '), val FROM repl) AS x GROUP BY 1"""
 ORACLE["dict_upsert"] = with_views("decisions") + f""",
-base AS (SELECT DISTINCT lower(key) AS key FROM decisions WHERE seq % 50 = 0),
+base AS (SELECT DISTINCT lower(key) AS key FROM decisions),
 evts AS (SELECT -1 AS seq, key, 'save' AS op, 'BASE' AS geoid, 'base' AS prefix FROM base
          UNION ALL SELECT seq, {norm('key')}, op, CASE op WHEN 'delete' THEN '' ELSE geoid END, CASE op WHEN 'delete' THEN '' ELSE prefix END
          FROM decisions WHERE op IN ('save', 'delete', 'prefix'))
@@ -163,8 +171,7 @@ ORACLE["admin_names"] = with_views("gaz") + """
 SELECT geoid, country AS country_name, CASE WHEN tier >= 1 THEN admin1 END AS admin1_name, CASE WHEN tier >= 2 THEN admin2 END AS admin2_name FROM gaz"""
 ORACLE["admin2_fill"] = with_views("matched_places", "gaz") + """
 SELECT seq, coalesce(g.admin2, CASE WHEN m.admin2_name <> '' THEN ' ' ELSE '' END) AS admin2_id, coalesce(g.admin2, m.admin2_name) AS admin2_name
-FROM matched_places m LEFT JOIN gaz g ON g.tier = 3 AND lower(g.name) = m.city AND g.admin1 = m.admin1_id AND lower(g.country) = m.country_iso
-WHERE m.city <> ''"""
+FROM matched_places m LEFT JOIN gaz g ON g.tier = 3 AND lower(g.name) = m.city AND g.admin1 = m.admin1_id AND lower(g.country) = m.country_iso"""
 
 # --- matching --------------------------------------------------------------------------------------------------------
 

@@ -160,7 +160,7 @@ def _edits(lines):
 @query
 def map_block_rewrite(spark, d):
     lines = rewrite.number_rows(_lines(spark, d), "line_no")
-    touched = lines.where("tag = 'PLAC' AND rec % 2 = 0")
+    touched = lines.where("tag = 'PLAC'")
     dropped = rewrite.old_block_lines(lines, touched)
     return lines.join(dropped, ["file", "rec", "line_no"], "left_semi").select("rec", "pos", "tag")
 
@@ -220,7 +220,7 @@ def dict_rekey(spark, d):
 
 @query
 def dict_upsert(spark, d):
-    base = view(spark, d, "decisions").where("seq % 50 = 0").select(F.lower("key").alias("key"), F.lit("@BASE@base").alias("val")).distinct()
+    base = view(spark, d, "decisions").select(F.lower("key").alias("key"), F.lit("@BASE@base").alias("val")).distinct()
     replaced = lookup.upsert_replacements(base, view(spark, d, "decisions"))
     skipped = lookup.upsert_skips(base.where("false"), view(spark, d, "decisions"))
     return replaced.select(F.lit("replace").alias("list"), "key", "val").unionByName(skipped.select(F.lit("skip").alias("list"), "key", "val"))
@@ -276,7 +276,7 @@ def admin_names(spark, d):
 @query
 def admin2_fill(spark, d):
     places = view(spark, d, "matched_places")
-    blank = places.where("city != ''").select("seq", "city", F.lit("").alias("admin2_id"), "admin2_name", "admin1_id", "country_iso")
+    blank = places.select("seq", "city", F.lit("").alias("admin2_id"), "admin2_name", "admin1_id", "country_iso")
     return match.fill_admin2(blank, _rows(spark, d)).select("seq", "admin2_id", "admin2_name")
 
 

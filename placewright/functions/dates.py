@@ -6,10 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the simple and ABT date forms that are understood; anything else has no year.
-DATE_FORM = (
-    r"^\s*(ABT\s+)?([1-3]?[0-9]{1}\s+)?"
-    r"((JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\s+)?(\d{3,4})"
-)
+DATE_FORM = r"^\s*(ABT\s+)?([1-3]?[0-9]{1}\s+)?((JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\s+)?(\d{3,4})"
 
 
 def event_year(date: Column) -> Column:

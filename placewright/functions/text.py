@@ -10,8 +10,9 @@ ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįłñńňòó
 BASE = "aaaaaaaaacccddeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
 assert len(ACCENTED) == len(BASE)
 
-DROPPED = r"[.'’`\"]"
-BLANKED = r"[^\p{L}\p{N},*#_&/-]+"
+# Accents that are characters of their own go like those that are part of a letter; the marks of other scripts stay.
+DROPPED = r"[.'’`\"\u0300-\u036F]"
+BLANKED = r"[^\p{L}\p{M}\p{N},*#_&/-]+"
 
 # A letter run with the possessive or contraction tails that stay lower case, or a run of anything else.
 CASE_RUNS = r"(\p{L}+(?:(?<=\p{L}[a-zA-Z])'[A-Za-z]\p{L}*)*|\P{L}+)"

@@ -5,37 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 1024
 HOT_ROWS = 200_000
-SALTS = 64
+SHARE = 4
 
 
 def hot_keys(counts: DataFrame, on: list[str], count: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys, at most ``MAX_HOT`` of them: a key beyond these holds under 1/1024 of all rows.
+    """(on, salts): the keys that hold too many rows for one task, and into how many parts each is cut.
 
-    The limit only chooses which keys get spread; every row still takes part in the join.
+    Too many are more than ``hot_rows`` and more than a quarter of an even partition's share of all rows. So there are at
+    most four such keys for each shuffle partition, whatever the data, and no part is larger than that share.
     """
-    heavy = counts.where(F.col(count) > hot_rows)
-    return heavy.orderBy(F.desc(count), *on).limit(MAX_HOT).select(*on)
+    spark = counts.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(count)).scalar()
+    most = F.greatest(F.lit(hot_rows), F.coalesce(F.ceil(total / (SHARE * partitions)), F.lit(0)))
+    return counts.where(F.col(count) > most).select(*on, F.ceil(F.col(count) / most).cast("int").alias("salts"))
 
 
 def salted_join(
     rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "left",
-    counts: DataFrame | None = None, count: str = "n", hot_rows: int = HOT_ROWS, salts: int = SALTS,
+    counts: DataFrame | None = None, count: str = "n", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join ``rows`` to ``table``, spreading each hot key of ``rows`` over ``salts`` tasks.
+    """Join ``rows`` to ``table``, cutting each hot key of ``rows`` into as many parts as its rows need.
 
     ``spread`` names columns of ``rows`` that tell its rows apart. Only the table rows of hot keys are copied. ``counts``
     can hand in row counts per key that are known already; else they are counted with a map-side combine. The list of
-    hot keys is broadcast: it has at most ``MAX_HOT`` rows by construction.
+    hot keys is broadcast: its size is bounded by the number of partitions.
     """
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias(count))
-    hot = F.broadcast(hot_keys(counts, on, count, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(counts, on, count, hot_rows).withColumnRenamed("salts", "_salts"))
     left = rows.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
+        "_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*spread), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    ).drop("_salts")
     right = table.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+        "_salt", F.explode(F.when(F.col("_salts") > 1, F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0))))
+    ).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")

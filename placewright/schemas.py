@@ -13,8 +13,9 @@ RESULTS = (
 
 # Readable names of the event tags that carry a place.
 EVENT_NAMES = {
-    "BIRT": "Birth", "BURI": "Burial", "CENS": "Census", "CHR": "Christening", "DEAT": "Death",
-    "EMMI": "Emmigration", "IMMI": "Immigration", "MARR": "Marriage", "OCCU": "Occupation", "RESI": "Residence",
+    "DEAT": "Death", "CHR": "Christening", "BURI": "Burial", "BIRT": "Birth",
+    "CENS": "Census", "MARR": "Marriage", "RESI": "Residence", "IMMI": "Immigration", "EMMI": "Emmigration",
+    "OCCU": "Occupation",
 }
 
 # Feature codes loaded when the caller's list has fewer than three entries.

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from placewright.workspace import stage
 
-# A table of blocks has one row per input split, so 100 TB in 128 MB splits stay below this.
-BROADCAST_BLOCKS = 1_000_000
-
 ROWS = "file STRING, block LONG, seq LONG, raw STRING, gz BOOLEAN"
 
 
@@ -49,8 +46,7 @@ def scan(
     starts = blocks.select(
         "file", "block", (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
     )
-    if blocks.count() <= BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
+    # One row per split, without a hint: the planner knows the size of the staged blocks.
     own = ("file", "block", "seq", "gz")
     return staged.join(starts, ["file", "block"]).select(
         "file", F.lit(0).cast("long").alias("rec"), (F.col("seq") + F.col("shift")).alias("pos"),

@@ -144,3 +144,13 @@ def test_edit_distance_property(spark, pairs):
     frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i INT, a STRING, b STRING")
     got = [r.d for r in frame.select("i", spelling.within_distance(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()]
     assert got == [min(osa(a, b), 3) for a, b in pairs]
+
+
+def test_marks_in_keys(spark):
+    from pyspark.sql import functions as F
+
+    from placewright.functions.text import normalize
+
+    cases = {"Orle\u0301ans": "orleans", "Orléans": "orleans", "İzmir": "izmir", "दिल्ली": "दिल्ली", "A\u030Angstro\u0308m, Sverige": "angstrom,sverige"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t STRING")
+    assert {r.t: r.n for r in rows.select("t", normalize(F.col("t")).alias("n")).collect()} == cases

@@ -28,7 +28,7 @@ def test_dedupe_precedence(spark):
 
 def test_every_place_is_enclosed(spark, gazetteer):
     rows = [place(0, "P0009", prefix="12 Privet Drive"), place(1, "", city="deal"), place(2, "P0011", city="hythe", a2=""), place(3, "", city="", a2="")]
-    tree = {r.key: r for r in build(spark, gazetteer, rows, hot_rows=1, salts=3).collect()}
+    tree = {r.key: r for r in build(spark, gazetteer, rows, hot_rows=1).collect()}
     parent = {k: r.enclosed_by for k, r in tree.items()}
     assert parent == {
         "12 PRIVET DRIVE_DOVER_G5_ENG_GB": "DOVER_G5_ENG_GB", "DOVER_G5_ENG_GB": "G5_ENG_GB", "DEAL_G5_ENG_GB": "G5_ENG_GB",

@@ -122,8 +122,8 @@ def test_word_partial_and_wildcard_against_brute_force(spark, synthetic):
             by_word[e] = hold
         if part:
             by_part[e] = part
-    assert found(match.word_match(locs, searchable, hot_rows=10, salts=4)) == by_word
-    got = found(match.partial_match(locs, searchable, hot_rows=10, salts=4))
+    assert found(match.word_match(locs, searchable, hot_rows=10)) == by_word
+    got = found(match.partial_match(locs, searchable, hot_rows=10))
     assert {e: got[e] for e in got} == by_part
     patterns = ["sa*", "*mary", "s*t m*", "*", "dover*", "a*", "p.rt*"]
     want = {}
@@ -132,7 +132,7 @@ def test_word_partial_and_wildcard_against_brute_force(spark, synthetic):
         hits = sorted((20.0, g) for g, n in here if rx.match(n))
         if hits:
             want[p] = hits
-    assert found(match.wildcard_match(located(spark, patterns), searchable, hot_rows=10, salts=4)) == want
+    assert found(match.wildcard_match(located(spark, patterns), searchable, hot_rows=10)) == want
 
 
 def test_spelling_against_brute_force(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placewright.operators.running import carry_last, number_rows
-from placewright.operators.skew import MAX_HOT, hot_keys, salted_join
+from placewright.operators.skew import SHARE, hot_keys, salted_join
 
 
 def ordered(df):
@@ -42,18 +42,22 @@ def test_salted_join_equals_join(spark):
     rows = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"), "id")
     table = spark.range(45).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ("left", "inner"):
-        got = salted_join(rows, table, ["k"], spread=["id"], how=how, hot_rows=100, salts=8)
+        got = salted_join(rows, table, ["k"], spread=["id"], how=how, hot_rows=100)
         assert ordered(got.select("k", "id", F.coalesce("v", F.lit(-1)))) == ordered(rows.join(table, "k", how).select("k", "id", F.coalesce("v", F.lit(-1))))
 
 
 def test_hot_key_is_spread(spark):
     rows = spark.range(2000).select(F.lit(1).alias("k"), "id")
     hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], hot_rows=100)
-    assert [r.k for r in hot.collect()] == [1]
-    joined = salted_join(rows, spark.createDataFrame([(1, "v")], "k INT, v STRING"), ["k"], spread=["id"], hot_rows=100, salts=8)
+    assert [tuple(r) for r in hot.collect()] == [(1, 16)]  # four parts for each of four partitions
+    joined = salted_join(rows, spark.createDataFrame([(1, "v")], "k INT, v STRING"), ["k"], spread=["id"], hot_rows=100)
     assert joined.where("v = 'v'").count() == 2000
 
 
-def test_hot_list_is_bounded(spark):
-    counts = spark.range(3 * MAX_HOT).select(F.col("id").alias("k"), (F.col("id") + 10).alias("n"))
-    assert hot_keys(counts, ["k"], hot_rows=0).count() == MAX_HOT
+def test_hot_list_is_bounded_by_partitions_and_leaves_none_out(spark):
+    most = SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = spark.range(1000).select(F.col("id").alias("k"), F.when(F.col("id") < 9, 10_000 + F.col("id")).otherwise(10).alias("n"))
+    hot = {r.k: r.salts for r in hot_keys(counts, ["k"], hot_rows=0).collect()}
+    assert set(hot) == set(range(9)) and len(hot) <= most
+    total = sum(10_000 + k for k in range(9)) + 991 * 10
+    assert all((10_000 + k) / salts <= total / most + 1 for k, salts in hot.items())
