@@ -426,3 +426,10 @@ ORACLE["coord_format"] = with_views("matched_places") + " SELECT seq, printf('%.
 ORACLE["xml_places"] = with_views("gaz") + """
 SELECT geoid AS id, concat('_', geoid) AS handle, feature AS type, CASE WHEN tier = 3 THEN name ELSE concat(name, ', ', country) END AS place_text,
   CASE WHEN tier > 0 THEN lat END AS lat, CASE WHEN tier > 0 THEN lon END AS lon, tier > 0 AS had_coord, concat('_', country) AS placerefs FROM gaz"""
+ORACLE["gramps_rewrite"] = with_views("gaz") + """
+SELECT concat('<placeobj handle="_', geoid, '" change="1" id="', geoid, '" type="', feature, '">', chr(10), '  <ptitle>',
+  CASE WHEN tier % 2 = 1 THEN concat('New &amp; ', name) ELSE concat(name, ', ', country) END, '</ptitle>',
+  CASE WHEN tier = 3 THEN concat('<pname value="New &amp; ', name, '"/>') ELSE '' END,
+  CASE WHEN tier > 0 THEN concat('<coord long="', lon, '" lat="', CASE WHEN tier % 2 = 1 THEN lat + 0.5 ELSE lat END, '"/>') ELSE '' END,
+  '<placeref hlink="_', country, '"/><url href="http://x/?a=1&amp;b=', geoid, '"/><noteref hlink="_n"/></placeobj>') AS text
+FROM gaz"""

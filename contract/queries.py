@@ -546,3 +546,12 @@ def xml_places(spark, d):
     return gramps.parse_placeobj(view(spark, d, "placeobj")).select(
         "id", "handle", "type", "place_text", "lat", "lon", "had_coord", F.array_join("placerefs", ",").alias("placerefs")
     )
+
+
+@query
+def gramps_rewrite(spark, d):
+    """Every second tier corrected, the others as they were, with whatever else the objects hold."""
+    more = F.concat(F.lit('<url href="http://x/?a=1&amp;b='), "geoid", F.lit('"/><noteref hlink="_n"/></placeobj>'))
+    objects = view(spark, d, "placeobj").withColumn("fragment", F.replace("fragment", F.lit("</placeobj>"), more))
+    edited = F.when(F.col("pos") % 2 == 1, F.concat(F.lit("New & "), "name"))
+    return writers.gramps_rows(objects.select("file", "pos", "fragment", "geoid", edited.alias("new_text"), (F.col("lat") + 0.5).alias("lat"), "lon")).select("text")

@@ -256,8 +256,8 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     settled = _settle_with(found, gazetteer, tables)
     written = settled.rows.where(F.col("disposition").isin("REPLACE", "UPDATE"))
     corrected = objects.join(written.select("file", "pos", "text", "place"), ["file", "pos"], "left").select(
-        "file", "pos", "handle", "change", "id", "type", "ptitle", "pname", "placerefs", "had_coord",
-        F.coalesce("text", "place_text").alias("new_text"), F.coalesce("place.lat", "lat").alias("lat"), F.coalesce("place.lon", "lon").alias("lon"),
+        "file", "pos", "handle", "change", "id", "type", "ptitle", "pname", "placerefs", "had_coord", "place_text", "fragment",
+        F.col("text").alias("new_text"), F.coalesce("place.lat", "lat").alias("lat"), F.coalesce("place.lon", "lon").alias("lon"),
     )
     numbered = objects.select("file", "pos", "id").join(written, ["file", "pos"]).withColumn("seq", F.struct("file", "pos"))
     tree = hierarchy.build_hierarchy(stage(hierarchy_places(numbered, gazetteer), "matched"), gazetteer)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.functions.coordinates import known
 from placewright.operators.running import carry_last
 from placewright.sources.scan import scan
 
@@ -47,7 +48,7 @@ def parse_placeobj(fragments: DataFrame) -> DataFrame:
         F.col("p._type").alias("type"), title.alias("ptitle"), name.alias("pname"),
         _later(F.col("fragment"), title, name).alias("place_text"),
         coord["_lat"].alias("lat"), coord["_long"].alias("lon"), coord.isNotNull().alias("had_coord"),
-        F.transform("p.placeref", lambda r: r["_hlink"]).alias("placerefs"),
+        F.transform("p.placeref", lambda r: r["_hlink"]).alias("placerefs"), "fragment",
     )
 
 
@@ -56,5 +57,35 @@ def _later(fragment: Column, title: Column, name: Column) -> Column:
     return F.when(title_last, F.coalesce(title, name)).otherwise(F.coalesce(name, title))
 
 
+def escaped(text: Column) -> Column:
+    """Text as it stands in XML, in an element or in a double-quoted attribute."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def _put(fragment: Column, pattern: str, new: Column) -> Column:
+    """Replace what follows group 1 of ``pattern`` by ``new``, once; ``new`` is plain text."""
+    plain = F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.regexp_replace(fragment, F.lit(pattern), F.concat(F.lit("$1"), plain))
+
+
+def corrected_fragment(fragment: Column, new_text: Column, lat: Column, lon: Column) -> Column:
+    """A place object with another title, first name and coordinates; everything else in it stays as it was.
+
+    A null ``new_text`` leaves the object as it is. Title and name are set where the object has them. Coordinates take the
+    place of the first ones, or come after the last name or else the title; without both, those that are there stay.
+    """
+    value = escaped(new_text)
+    titled = _put(fragment, r"(?s)^(.*?<ptitle(?:\s[^>]*)?>)[^<]*", value)
+    named = _put(titled, r"""(?s)^(.*?<pname\s(?:[^>]*?\s)?value=)(?:"[^"]*"|'[^']*')""", F.concat(F.lit('"'), value, F.lit('"')))
+    coord = F.concat(F.lit('<coord long="'), lon.cast("string"), F.lit('" lat="'), lat.cast("string"), F.lit('"/>'))
+    has_coord = F.rlike(fragment, F.lit(r"<coord\s"))
+    placed = F.when(has_coord, _put(named, r"(?s)^(.*?)<coord\s[^>]*?(?:/>|>\s*</coord>)", coord)).when(
+        F.rlike(fragment, F.lit(r"<pname\s")), _put(named, r"(?s)^(.*<pname\s[^>]*?(?:/>|(?<!/)>.*?</pname>))", coord)
+    ).otherwise(_put(named, r"(?s)^(.*?</ptitle>)", coord))
+    return F.when(new_text.isNull(), fragment).when(known(lat, lon), placed).otherwise(named)
+
+
 def read_gramps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_placeobj(placeobj_fragments(spark, paths))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.coordinates import four_decimals, known
 from placewright.functions.text import capwords
+from placewright.sources.gramps import corrected_fragment
 
 HIERARCHY_COLUMNS = ("Place", "Title", "Name", "Type", "latitude", "longitude", "enclosed_by")
 
@@ -44,18 +45,13 @@ def write_hierarchy_csv(hierarchy: DataFrame, path: str) -> None:
 
 
 def gramps_rows(places: DataFrame) -> DataFrame:
-    """Place objects with attributes as ``_x`` columns, title and name both set to the corrected text."""
-    coordinate = F.when(
-        known(F.col("lat"), F.col("lon")), F.struct(F.col("lon").alias("_long"), F.col("lat").alias("_lat"))
-    )
-    return places.select(
-        F.col("handle").alias("_handle"), F.col("change").alias("_change"), F.col("id").alias("_id"),
-        F.col("type").alias("_type"), F.when(F.col("ptitle").isNotNull(), F.col("new_text")).alias("ptitle"),
-        F.when(F.col("pname").isNotNull(), F.struct(F.col("new_text").alias("_value"))).alias("pname"),
-        coordinate.alias("coord"), F.transform("placerefs", lambda r: F.struct(r.alias("_hlink"))).alias("placeref"),
-    )
+    """(file, pos, text): place objects with ``new_text`` as title and first name; those where it is null are as they were."""
+    return places.select("file", "pos", corrected_fragment(F.col("fragment"), F.col("new_text"), F.col("lat"), F.col("lon")).alias("text"))
 
 
 def write_gramps(places: DataFrame, path: str) -> None:
-    ordered = places.repartitionByRange("file", "pos").sortWithinPartitions("file", "pos")
-    gramps_rows(ordered).write.format("xml").option("rootTag", "places").option("rowTag", "placeobj").save(path)
+    """Place objects in document order: a folder per input file, whose parts hold one object after the other."""
+    order = ["name", "source", "pos"]
+    rows = gramps_rows(places).select(F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), F.md5("file").alias("source"), "pos", "text")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("name", "source", "text").write.partitionBy("name", "source").text(path)

@@ -116,12 +116,32 @@ def test_gramps_written_and_read_back(spark, tmp_path):
     (tmp_path / "a.gramps").write_text(XML)
     places = gramps.read_gramps(spark, str(tmp_path / "a.gramps")).withColumn("new_text", F.concat(F.lit("New "), "place_text"))
     writers.write_gramps(places, str(tmp_path / "out"))
-    back = {r.id: r for r in gramps.read_gramps(spark, str(tmp_path / "out")).collect()}
+    back = {r.id: r for r in gramps.read_gramps(spark, str(tmp_path / "out" / "*" / "*" / "part-*")).collect()}
     assert back["P0001"].place_text == "New Dover" and back["P0001"].ptitle == "New Dover"
     assert (back["P0001"].lat, back["P0001"].lon, back["P0001"].placerefs) == (2.0, 1.5, ["_b", "_c"])
     assert back["P0002"].had_coord is False
 
 
+RICH = """<placeobj handle='_r' change="1" id="P9" type="City" priv="1">
+  <ptitle lang="en">Old &amp; title</ptitle><code>C1</code>
+  <pname lang='de' value='Alt'><dateval val="1800"/></pname><pname value="second" lang="fr"/>
+  <placeref hlink="_b"><daterange start="1" stop="2"/></placeref><url href="http://x/?a=1&amp;b=2"/><noteref hlink="_n"/><citationref hlink="_c"/>
+</placeobj>"""
+
+
+def test_gramps_objects_lose_nothing(spark, tmp_path):
+    (tmp_path / "a.gramps").write_text(f"<database><places>{RICH}{RICH.replace('_r', '_s')}</places></database>")
+    read = gramps.read_gramps(spark, str(tmp_path / "a.gramps"))
+    text = 'New $1 \\ "x" & <y>'
+    places = read.select("file", "pos", "handle", "fragment", F.when(F.col("handle") == "_s", F.lit(text)).alias("new_text"), F.lit(1.5).alias("lat"), F.lit(-2.0).alias("lon"))
+    same, changed = [r.text for r in writers.gramps_rows(places).orderBy("pos").collect()]
+    rich = RICH.replace("\n</placeobj>", "</placeobj>")  # but for blanks before the end
+    assert same == rich
+    new = "New $1 \\ &quot;x&quot; &amp; &lt;y&gt;"
+    want = rich.replace("_r", "_s").replace("Old &amp; title", new).replace("'Alt'", f'"{new}"')
+    assert changed == want.replace('<pname value="second" lang="fr"/>', '<pname value="second" lang="fr"/><coord long="-2.0" lat="1.5"/>')
+
+
 def test_lookup_tables_keep_versions(spark, tmp_path):
     path = str(tmp_path / "table")
     empty, missing = tables.read_table(spark, path)

@@ -117,7 +117,7 @@ def test_gramps_job(spark, gazetteer, countries, tmp_path):
     places = {r.id: r for r in out["places"].collect()}
     # coordinates belong to their own place; a place that is not matched keeps its own
     assert (places["P0001"].new_text, places["P0001"].lat, places["P0001"].lon) == ("Dover, Kent, England, United Kingdom", 51.13, 1.31)
-    assert (places["P0002"].new_text, places["P0002"].lat, places["P0002"].lon) == ("Atlantis", 4.5, 5.5)
+    assert (places["P0002"].new_text, places["P0002"].place_text, places["P0002"].lat, places["P0002"].lon) == (None, "Atlantis", 4.5, 5.5)
     tree = {r.key: (r.place_id, r.enclosed_by) for r in out["hierarchy"].collect()}
     assert tree == {
         "DOVER_G5_ENG_GB": ("P0001", "G5_ENG_GB"), "MARKS SQUARE_DOVER_G5_ENG_GB": ("P0003", "P0001"), "G5_ENG_GB": ("G5_ENG_GB", "ENG_GB"),
