@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from placewright.llm.common import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+SYMBOLS = "[#*$%&|<>]"
+UPPER = "[A-ZÀ-ÖØ-Þ]"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
 SKETCH = 1024
 MIN_GROUP = 50
@@ -52,12 +52,11 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_words", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+")))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
     out = out.withColumn("_windows", covered(F.col("_words"), WINDOW))
-    left = lambda chars: F.length(F.translate("_text", chars, ""))
     out = out.select(
-        *df.columns, F.size("_words").cast("long").alias("_n_words"), left(BLANKS).cast("long").alias("_word_chars"),
-        (F.length("_text") - left(SYMBOLS)).cast("long").alias("_n_symbols"), F.size("_lines").cast("long").alias("_n_lines"),
+        *df.columns, F.size("_words").cast("long").alias("_n_words"), F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("_n_symbols"), F.size("_lines").cast("long").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        repeated(F.col("_windows"), WINDOW).cast("long").alias("_n_repeat_words"), (F.length("_text") - left(UPPER)).cast("long").alias("_n_upper"))
+        repeated(F.col("_windows"), WINDOW).cast("long").alias("_n_repeat_words"), F.regexp_count("_text", F.lit(UPPER)).cast("long").alias("_n_upper"))
     words, chars, lines = (F.greatest(c, F.lit(1)) for c in ("_n_words", "_word_chars", "_n_lines"))
     shares = {"symbols": F.col("_n_symbols") / words, "dup_lines": F.col("_n_dup_lines") / lines, "repeats": F.col("_n_repeat_words") / words,
               "capitals": F.col("_n_upper") / chars, "word_length": F.col("_word_chars") / words}
@@ -99,7 +98,9 @@ def judged(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     Null texts are empty, null languages and sources are groups of their own, and repeated rows are judged alike. The limits of
     all groups are a written table: Spark broadcasts it while its size is below its threshold; beyond it, the join is salted.
     """
-    known = stage(limits(sketches(measured(df.select(text, *{lang, source}), text), lang, source)), "quality-limits")
+    # The sketches are read three times, so they are staged too.
+    found = stage(sketches(measured(df.select(text, *sorted({lang, source} - {text})), text), lang, source), "quality-sketches")
+    known = stage(limits(found), "quality-limits")
     spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = measured(df, text).withColumns({
         "_lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
