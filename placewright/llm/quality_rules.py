@@ -26,10 +26,13 @@ MEASURES = {"symbols": 0.02, "dup_lines": 0.08, "repeats": 0.03, "capitals": 0.0
 SALTS = 16
 
 
-def covered(words: Column, window: int) -> Column:
-    """Words that lie in a window of words found twice or more in the text."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
-    return F.when(F.size(words) > window, hashes).otherwise(F.array().cast("array<long>"))
+def paired(a: str, b: Column) -> Column:
+    """A hash of each value of one array with the one beside it in another."""
+    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+
+def later(array: str, by: int) -> Column:
+    return F.slice(array, by + 1, F.greatest(F.size(array), F.lit(1)))
 
 
 def repeated(hashes: Column, window: int) -> Column:
@@ -51,7 +54,12 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.withColumn("_text", value)
     out = out.withColumn("_words", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+")))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
-    out = out.withColumn("_windows", covered(F.col("_words"), WINDOW))
+    # Hashes of the windows of five words, from those of words, pairs and fours; each column is used more than once below.
+    out = out.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("_h2", paired("_h1", later("_h1", 1)))
+    out = out.withColumn("_h4", paired("_h2", later("_h2", 2)))
+    windows = F.slice(paired("_h4", later("_h1", WINDOW - 1)), 1, F.greatest(F.size("_h1") - (WINDOW - 1), F.lit(0)))
+    out = out.withColumn("_windows", windows)
     out = out.select(
         *df.columns, F.size("_words").cast("long").alias("_n_words"), F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("_n_symbols"), F.size("_lines").cast("long").alias("_n_lines"),
@@ -92,27 +100,36 @@ def limits(found: DataFrame) -> DataFrame:
     return levels.select("_lang", "_source", *out)
 
 
-def judged(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``df`` with its counts, measures, ``_base_failed`` and ``_kept``; two passes over the table, none of which shuffles text.
+def limits_of(measures: DataFrame, lang: str, source: str) -> DataFrame:
+    """The limits of all groups, as a written table. The sketches are read three times, so they are staged too."""
+    return stage(limits(stage(sketches(measures, lang, source), "quality-sketches")), "quality-limits")
 
-    Null texts are empty, null languages and sources are groups of their own, and repeated rows are judged alike. The limits of
-    all groups are a written table: Spark broadcasts it while its size is below its threshold; beyond it, the join is salted.
-    """
-    # The sketches are read three times, so they are staged too.
-    found = stage(sketches(measured(df.select(text, *sorted({lang, source} - {text})), text), lang, source), "quality-sketches")
-    known = stage(limits(found), "quality-limits")
+
+def held_against(measures: DataFrame, known: DataFrame, doc_id: str, lang: str, source: str) -> DataFrame:
+    """``measures`` with ``_kept``. Spark broadcasts the limits while their table's size is below its threshold; beyond it, the
+    join is salted."""
     spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = measured(df, text).withColumns({
+    rows = measures.withColumns({
         "_lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
         "_salt": F.pmod(F.xxhash64(doc_id, "_word_chars", "_n_words"), F.lit(SALTS)).cast("int")})
-    joined = rows.join(spread, ["_lang", "_source", "_salt"], "left")
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(f"_{m}").between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
-    return joined.select(*df.columns, *[c for c in rows.columns if c not in df.columns and c not in ("_lang", "_source", "_salt")],
-                         F.coalesce(~F.col("_base_failed") & inside, F.lit(False)).alias("_kept"))
+    # One condition on both sides of the join, so that no part of it is pushed below the measures.
+    verdict = F.coalesce(~F.col("_base_failed") & inside, F.lit(False))
+    return rows.join(spread, ["_lang", "_source", "_salt"], "left").select(*measures.columns, verdict.alias("_kept"))
+
+
+def judged(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The columns of ``df`` but the text, with counts, measures, ``_base_failed`` and ``_kept``; one pass over the texts.
+
+    Null texts are empty, null languages and sources are groups of their own, and repeated rows are judged alike.
+    """
+    measures = stage(measured(df, text).drop(text), "quality-measures")
+    return held_against(measures, limits_of(measures, lang, source), doc_id, lang, source)
 
 
 def kept(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``df`` that the rules keep, as they were."""
-    return judged(df, doc_id, text, lang, source).where("_kept").select(*df.columns)
+    """The rows of ``df`` that the rules keep, as they were; two passes over the texts, none of which shuffles them."""
+    known = limits_of(measured(df.select(text, *sorted({lang, source} - {text})), text), lang, source)
+    return held_against(measured(df, text), known, doc_id, lang, source).where("_kept").select(*df.columns)
