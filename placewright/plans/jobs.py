@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,17 @@ from placewright.workspace import stage
 @dataclass
 class Tables:
     """Lookup tables of a run. ``replacements``, ``skips``: (key, val). ``countries``: (n_country, supported) over all
-    countries. ``validity``: (country_iso, admin1_id, first_year). ``rules``: (seq, orig, repl), few."""
+    countries. ``validity``: (country_iso, admin1_id, first_year). ``rules``: (seq, orig, repl), few. A ``seq`` column in
+    ``replacements`` is the order in which the last of equal keys wins. ``vocabulary``: what :func:`build_spelling` wrote.
+    ``pad_years``: years by which an event may come before a name without being flagged."""
 
     replacements: DataFrame
     skips: DataFrame
     countries: DataFrame
     validity: DataFrame | None = None
     rules: DataFrame | None = None
+    vocabulary: DataFrame | None = None
+    pad_years: int = 0
 
 
 def rule_list(rules: DataFrame | None) -> Column | None:
@@ -56,7 +61,9 @@ def events_by_century(places: DataFrame) -> DataFrame:
 # --- resolving -------------------------------------------------------------------------------------------------------
 
 
-def resolve_locations(locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+def resolve_locations(
+    locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True, vocabulary: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(loc, result, stage, n, best) for distinct locations, and the candidate rows (loc, score, fields) behind them.
 
     Cheap equality lookups first; each later stage sees only what the earlier ones left open. What a stage leaves is
@@ -74,7 +81,7 @@ def resolve_locations(locations: DataFrame, rows: DataFrame, countries: DataFram
     left = tried.where("best IS NULL").select("loc", *match.LOCATION)
     stages = [
         ("WILDCARD", "WILDCARD_MATCH", match.wildcard_match), ("WORD", "WORD_MATCH", match.word_match), ("PARTIAL", "PARTIAL_MATCH", match.partial_match),
-        ("SOUNDEX", "SOUNDEX_MATCH", match.soundex_match), ("SPELLING", "PARTIAL_MATCH", spelling_match),
+        ("SOUNDEX", "SOUNDEX_MATCH", match.soundex_match), ("SPELLING", "PARTIAL_MATCH", partial(spelling_match, vocabulary=vocabulary)),
     ]
     if fuzzy:
         patterns = match.is_pattern(*match.WILD_PARTS)
@@ -123,7 +130,7 @@ class Settled:
 
 def settle(
     places: DataFrame, replacements: DataFrame, skips: DataFrame, rows: DataFrame, countries: DataFrame,
-    fuzzy: bool = True, rules: Column | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"), **salting,
+    fuzzy: bool = True, rules: Column | None = None, vocabulary: DataFrame | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"), **salting,
 ) -> Settled:
     """Settle every place row of ``places`` (place_text and whatever else it has).
 
@@ -138,7 +145,7 @@ def settle(
         match.with_location(status, sample="sample").withColumn("looked_up", looked_up)
         .withColumn("loc", F.when(F.col("looked_up"), F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), "keys"
     )
-    found, candidates = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy)
+    found, candidates = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy, vocabulary)
     resolved = salted_join(parsed, found.withColumnRenamed("n", "n_candidates"), ["loc"], spread=["key"], **salting)
 
     result = F.when(F.col("repl_result").isNotNull(), F.col("repl_result")).when(F.col("key") == "", "DELETE").when(F.col("skipped"), None).otherwise(F.col("result"))
@@ -184,7 +191,7 @@ def review_rows(settled: Settled, names: DataFrame | None = None, order: tuple[s
     )
 
 
-def review_listing(settled: Settled, queue: DataFrame, rules: Column | None = None) -> DataFrame:
+def review_listing(settled: Settled, queue: DataFrame, rules: Column | None = None, pad_years: int = 0) -> DataFrame:
     """(key, rank, geoid, name, flag, score, feature): the candidates of each queued key, a row for each, all of them.
 
     Names not yet in use in the year of the event are flagged; a key without a candidate has one row that says so.
@@ -196,7 +203,7 @@ def review_listing(settled: Settled, queue: DataFrame, rules: Column | None = No
     if rules is not None:
         offered = offered.withColumn("_rules", rules)
         name = tx.apply_rules(name, F.col("_rules"))
-    flag = F.when(match.valid_year(F.col("event_year"), F.col("first_year")), "").otherwise("VERIFY DATE")
+    flag = F.when(match.valid_year(F.col("event_year"), F.col("first_year"), pad_years), "").otherwise("VERIFY DATE")
     listed = match.ranked(offered.select("key", "geoid", name.alias("name"), flag.alias("flag"), "score", "feature"), by="key")
     nothing = asked.where("candidates = 0").select(
         "key", F.lit("").alias("geoid"), F.col("place_text").alias("name"), F.lit("").alias("flag"), F.lit(NO_MATCH_SCORE).alias("score"),
@@ -222,9 +229,10 @@ def hierarchy_places(settled: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Settled:
     skips = tables.skips.select(tx.normalize(F.col("key")).alias("key"), "val")
-    replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements), gazetteer)
+    order = "seq" if "seq" in tables.replacements.columns else "key"
+    replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements, order), gazetteer)
     rows = stage(match.searchable(gazetteer, tables.validity), "searchable")
-    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules))
+    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=tables.vocabulary)
     return Settled(stage(settled.rows, "settled"), settled.keys, settled.candidates)
 
 
@@ -242,7 +250,7 @@ def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     return {
         "lines": rewrite.rewrite(lines, edits, numbered=True), "places": settled.rows,
         "stats": disposition.run_stats(settled.rows, context.place_count(lines)),
-        "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules)), "diagnostics": disposition.diagnostics(settled.rows),
+        "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules), tables.pad_years), "diagnostics": disposition.diagnostics(settled.rows),
         "misses": disposition.misses(settled.rows),
     }
 
@@ -265,7 +273,7 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     return {
         "places": corrected, "hierarchy": tree, "violations": hierarchy.enclosure_violations(tree),
         "stats": disposition.run_stats(settled.rows, objects.groupBy("file").agg(F.count_if(F.col("place_text").isNotNull()).alias("places"))),
-        "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules)),
+        "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules), tables.pad_years),
     }
 
 

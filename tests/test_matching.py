@@ -220,3 +220,12 @@ def test_wildcards_in_every_part(spark, gazetteer, pattern, hit):
 
     locs = match.with_location(spark.createDataFrame([(pattern,)], "place_text STRING").withColumn("key", normalize(F.col("place_text"))))
     assert [r.geoid for r in match.wildcard_match(locs.select("loc", *match.LOCATION), match.searchable(gazetteer)).collect()] == [hit]
+
+
+def test_spelling_reads_the_built_vocabulary(spark, gazetteer, countries, tmp_path):
+    jobs.build_spelling(gazetteer, str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    locs = match.with_location(spark.createDataFrame([("dxover,kent,england,united kingdom",)], "place_text STRING").withColumn("key", F.col("place_text")))
+    asked, rows = locs.select("loc", *match.LOCATION), match.searchable(gazetteer)
+    assert [r.geoid for r in jobs.spelling_match(asked, rows, words).collect()] == ["g5"]
+    assert jobs.spelling_match(asked, rows, words.where("word != 'dover'")).count() == 0
