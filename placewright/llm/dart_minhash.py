@@ -7,25 +7,31 @@ K (ln K + 4) of them count, are spread over the K coordinates of a signature, an
 signatures agree in a coordinate with the probability of their sets' weighted Jaccard similarity. The time is that of the
 elements and the darts, however large K or the weights are.
 
-Coordinates form bands, and documents that agree on a band are compared: with the first documents of that band's bucket and
-with the one before, never all with all. Whole signatures settle what is clear; else the shingles are compared.
+Coordinates form bands, and documents that agree on a band are compared: at first with the first documents of that band's bucket
+and with the one before. Whole signatures settle what is clear; else the shingles are compared. Then every pair of a bucket that is
+not in one class by now has its signatures compared in blocks, so that no pair sharing a band is passed over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import columns_of, partitions, stage
+from placewright.llm.common import checked_broadcast, columns_of, partitions, stage
 from placewright.llm.fingerprints import Fingerprints, mixed
 
 BANDS, ROWS = 40, 6
 WORDS, SIMILARITY = 5, 0.8
 LEADERS = 2
+#: Documents in a block of a bucket, about; a task compares two blocks at a time.
+BLOCK = 512
+#: Parts that a bucket's rows are dealt over where they are joined by band.
+SALTS = 16
 #: Estimates from signatures below the one are too low, and those from the other on need no further look: at 240 coordinates a pair of
 #: similarity 0.8 is estimated within 0.1 of it but for about one in ten thousand.
 TOO_LOW, CLEAR = 0.70, 0.92
@@ -137,23 +143,32 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.coalesce(df[doc_id].cast("long"), F.lit(NO_ID)).alias("_doc"), F.unhex(F.md5(F.coalesce(df[text], F.lit("")))).alias("_key"), *df.columns)
 
 
-def candidates(reps: DataFrame, leaders: int = LEADERS) -> DataFrame:
+def banded(reps: DataFrame) -> DataFrame:
+    """(band, doc) for each band of each document."""
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, packed in columns_of(batches):
+            hashes = [np.frombuffer(b, dtype=np.int64) for b in packed]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(hashes or [np.zeros(0, np.int64)])), pa.array(np.repeat(np.array(docs, dtype=np.int64), [len(h) for h in hashes]))], ["band", "doc"])
+
+    return reps.where(F.length("bands") > 0).select("doc", "bands").mapInArrow(spread, "band long, doc long")
+
+
+def candidates(reps: DataFrame, leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b) of documents that share a band: each with its bucket's first ones and with the one before it.
 
+    And the distinct ``band`` of the buckets that have further pairs: those of more than ``leaders`` + 2 documents, and those that
+    go on in another partition.
+
     Band hashes are range-partitioned together with a random order of documents, so a bucket with a third of all documents is
     spread over many tasks. A bucket that goes on in another partition has its first documents there as well; these are paired
     with those of the partition before, of which there is one row for each end of a partition.
     """
     spark = reps.sparkSession
 
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, packed in columns_of(batches):
-            hashes = [np.frombuffer(b, dtype=np.int64) for b in packed]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hashes or [np.zeros(0, np.int64)])), pa.array(np.repeat(np.array(docs, dtype=np.int64), [len(h) for h in hashes]))], ["band", "doc"])
-
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, heads, before, first_band = None, [], None, None
+        band, heads, before, first_band, seen = None, [], None, None, 0
 
         def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
@@ -181,6 +196,10 @@ def candidates(reps: DataFrame, leaders: int = LEADERS) -> DataFrame:
             a.append(docs[at - 1])
             b.append(docs[at])
             a, b = np.concatenate(a), np.concatenate(b)
+            all_before = np.where(begins == 0, seen - carried, 0) if carried else 0  # of the open bucket, without those put before
+            more = bands[new & (nth + all_before == leaders + 2)]
+            if len(more):
+                yield out(3, more, np.zeros(len(more), np.int64))
             if first_band is None:
                 first_band = bands[0]
                 yield out(1, bands[:1], docs[:1])
@@ -189,17 +208,91 @@ def candidates(reps: DataFrame, leaders: int = LEADERS) -> DataFrame:
             if len(low):
                 yield out(0, low, high)
             last = int(begins[-1])
+            seen = len(bands) - last + (seen - carried if carried and last == 0 else 0)
             band, heads, before = bands[-1], docs[last:last + leaders].tolist(), int(docs[-1])
         if band is not None:
             yield out(2, np.array([band]), np.array(heads[:1]))
 
-    rows = reps.where(F.length("bands") > 0).select("doc", "bands").mapInArrow(spread, "band long, doc long")
-    ordered = rows.select("band", F.xxhash64("doc").alias("_order"), "doc").repartitionByRange(partitions(spark), "band", "_order").sortWithinPartitions("band", "_order", "doc")
+    ordered = banded(reps).select("band", F.xxhash64("doc").alias("_order"), "doc").repartitionByRange(partitions(spark), "band", "_order").sortWithinPartitions("band", "_order", "doc")
     found = stage(ordered.mapInArrow(pair, "kind int, a long, b long"), "band-pairs")
     heads = found.where(F.col("kind") == 1).select(F.col("a").alias("band"), F.col("b").alias("head"))
     tails = found.where(F.col("kind") == 2).groupBy(F.col("a").alias("band")).agg(F.min_by("b", F.xxhash64("b")).alias("tail"))
-    over = heads.join(F.broadcast(tails), "band").where(F.col("head") != F.col("tail")).select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"))
-    return found.where(F.col("kind") == 0).select("a", "b").unionByName(over).distinct()
+    over = heads.join(F.broadcast(tails), "band").where(F.col("head") != F.col("tail"))
+    pairs = found.where(F.col("kind") == 0).select("a", "b").unionByName(over.select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"))).distinct()
+    return pairs, found.where(F.col("kind") == 3).select(F.col("a").alias("band")).unionByName(over.select("band")).distinct()
+
+
+def left_out(reps: DataFrame, bands: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """Distinct (a, b, estimate) from ``TOO_LOW`` on of all pairs in the buckets of ``bands`` whose documents have different roots.
+
+    A bucket's largest class is one side and the rest the other, both cut into blocks by a hash. Every block of the rest meets every
+    block of either side in a unit of its own, so that the largest class, which may be all of a hot bucket but a few, is never
+    compared with itself. Signatures that settle a pair join its classes within the unit, which leaves out the pairs in them.
+    """
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    bands = stage(salted(bands), "large-buckets")
+    members = banded(reps).select("band", "doc", salt).join(checked_broadcast(bands, bands.count()), ["band", "salt"])
+    members = stage(members.join(roots, "doc", "left").select("band", "salt", "doc", F.coalesce("root", "doc").alias("root")), "bucket-members")
+    classes_of = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sides = classes_of.where(F.col("n") > F.col("most.n")).select(
+        "band", F.col("most.root").alias("most"), blocks(F.col("n") - F.col("most.n")).alias("rest"), blocks(F.col("most.n")).alias("own"))
+    sides = stage(salted(sides), "bucket-sides")
+    is_most, order = F.col("root") == F.col("most"), F.xxhash64("doc", F.lit(1))
+    dealt = members.join(checked_broadcast(sides, sides.count()), ["band", "salt"]).select(
+        "band", "doc", "root", F.when(is_most, F.col("rest") + F.pmod(order, "own")).otherwise(F.pmod(order, "rest")).cast("int").alias("block"),
+        F.when(is_most, F.col("rest")).otherwise(F.col("rest") + F.col("own")).alias("meets"))
+    dealt = dealt.join(reps.select("doc", "sketch"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    units = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", "sketch")
+
+    def pairs_of(unit: list[pa.RecordBatch]) -> list[tuple[np.ndarray, ...]]:
+        i, j = unit[0].column(1)[0].as_py(), unit[0].column(2)[0].as_py()
+        at, docs, roots = (np.concatenate([part.column(k).to_numpy() for part in unit]) for k in (3, 4, 5))
+        sketches = np.frombuffer(b"".join(v for part in unit for v in part.column(6).to_pylist()), dtype=np.uint8).reshape(-1, size)
+        roots, kept = roots.copy(), []
+        end = len(docs) if i == j else int((at == i).sum())  # block i comes first
+        for x in range(end):
+            y = np.arange(x + 1 if i == j else end, len(docs))
+            y = y[roots[y] != roots[x]]
+            if not len(y):
+                continue
+            estimate = ((sketches[y] == sketches[x]).mean(axis=1) * 256 - 1) / 255
+            y, estimate = y[estimate >= TOO_LOW], estimate[estimate >= TOO_LOW]
+            for nth in np.flatnonzero(estimate >= CLEAR):
+                if roots[y[nth]] != roots[x]:
+                    kept.append((docs[[x]], docs[y[[nth]]], estimate[[nth]]))
+                    roots[roots == roots[y[nth]]] = roots[x]
+            unclear = np.flatnonzero(estimate < CLEAR)
+            if len(unclear := unclear[roots[y[unclear]] != roots[x]]):
+                kept.append((np.full(len(unclear), docs[x]), docs[y[unclear]], estimate[unclear]))
+        return kept
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unit, kept = None, [], []
+
+        def out() -> pa.RecordBatch:
+            a, b, estimate = (np.concatenate(c) for c in zip(*kept, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(estimate)], ["a", "b", "estimate"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            for at, end in pairwise([0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]):
+                if now != (key := tuple(keys[:, at])):
+                    kept += pairs_of(unit) if unit else []
+                    now, unit = key, []
+                    if sum(len(k[0]) for k in kept[-1000:]) > 10_000 or len(kept) > 1000:
+                        yield out()
+                        kept = []
+                unit.append(batch.slice(at, end - at))
+        kept += pairs_of(unit) if unit else []
+        if kept:
+            yield out()
+
+    compared = units.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block").mapInArrow(run, "a long, b long, estimate double")
+    return compared.groupBy("a", "b").agg(F.first("estimate").alias("estimate"))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -300,15 +393,26 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     """
     marked = stage(signed(df, doc_id, text, words, bands, rows, weighted), "signatures")
     reps = stage(marked.groupBy("key").agg(F.min(F.struct("doc", "bands", "sketch")).alias("x")).select("key", "x.*"), "texts")
-    rated = stage(estimated(candidates(reps), reps, bands * rows).where(F.col("estimate") >= TOO_LOW), "estimates")
+    pairs, large = candidates(reps)
+    rated = stage(estimated(pairs, reps, bands * rows).where(F.col("estimate") >= TOO_LOW), "estimates")
     texts = keyed(df, doc_id, text).select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return settled(marked, reps, rated, texts, words, weighted, least)
+    links = linked(rated, texts, words, weighted, least)
+    roots = components(links)
+    more = stage(left_out(reps, large, roots, bands * rows).join(rated.select("a", "b"), ["a", "b"], "left_anti"), "further-estimates")
+    if not more.isEmpty():
+        further = linked(more, texts, words, weighted, least)
+        roots = components(further.unionByName(roots.select(F.col("root").alias("a"), F.col("doc").alias("b"))))
+        links = links.unionByName(further)
+    return settled(marked, reps, links, roots)
 
 
-def settled(marked: DataFrame, reps: DataFrame, rated: DataFrame, texts: DataFrame, words: int, weighted: bool, least: float) -> DataFrame:
+def linked(rated: DataFrame, texts: DataFrame, words: int, weighted: bool, least: float) -> DataFrame:
+    """Those of the rated pairs that are alike, by their signatures where these are clear, else by their shingles."""
     unclear = rated.where(F.col("estimate") < CLEAR).select("a", "b")
-    links = stage(rated.where(F.col("estimate") >= CLEAR).select("a", "b").unionByName(verified(unclear, texts.select("doc", "text"), words, weighted, least)), "near-links")
-    roots = components(links)
+    return stage(rated.where(F.col("estimate") >= CLEAR).select("a", "b").unionByName(verified(unclear, texts.select("doc", "text"), words, weighted, least)), "near-links")
+
+
+def settled(marked: DataFrame, reps: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("n_links"))
     of_text = reps.select("key", "doc").join(roots, "doc", "left").join(degree, "doc", "left").select(
         "key", F.coalesce("root", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

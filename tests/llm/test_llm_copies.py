@@ -72,6 +72,35 @@ def test_classes_equal_brute_force(spark, parts):
     assert all(r.kept == (k == r.class_id) for k, r in found.items())
 
 
+def quick_classes(rows: list[tuple], least: float = 0.8) -> dict:
+    """``brute_classes`` for many long texts: all pairs by one product of matrices."""
+    own = Fingerprints()
+    sets = [np.unique(own.terms(text)) for _, text in rows]
+    known = np.unique(np.concatenate(sets))
+    has = np.stack([np.isin(known, s, assume_unique=True) for s in sets]).astype(np.float32)
+    common, size = has @ has.T, has.sum(axis=1)
+    alike = common >= least * (size[:, None] + size[None, :] - common)
+    docs, root = np.array([doc for doc, _ in rows]), np.array([doc for doc, _ in rows])
+    while not np.array_equal(root, now := np.where(alike, root[None, :], root[:, None]).min(axis=1)):
+        root = now
+    return dict(zip(docs.tolist(), root.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("parts", ["4", "41"])
+def test_classes_of_loose_variants_equal_brute_force(spark, parts, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "BLOCK", 16, raising=False)
+    original, rows = prose(5, 300), []
+    for i in range(500):  # mostly 0.5 to 0.79 alike, and each with a closer copy
+        loose = edited(original, i, 4 + i % 9)
+        rows += [(i, loose), (1000 + i * 7919 % 500, edited(loose, 5000 + i, 4 + i % 4))]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = by_id(dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {k: r.class_id for k, r in found.items()} == quick_classes(rows)
+
+
 def test_one_of_each_keeps_rows_as_they_were(spark):
     docs = documents(spark)
     out = dart_minhash.one_of_each(docs)
