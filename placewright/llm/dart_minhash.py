@@ -15,7 +15,7 @@ not in one class by now has its signatures compared in blocks, so that no pair s
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ LEADERS = 2
 BLOCK = 512
 #: Parts that a bucket's rows are dealt over where they are joined by band.
 SALTS = 16
+#: Partners of a document, about, whose shingles are sent or compared in one row's part.
+PART = 512
 #: Estimates from signatures below the one are too low, and those from the other on need no further look: at 240 coordinates a pair of
 #: similarity 0.8 is estimated within 0.1 of it but for about one in ten thousand.
 TOO_LOW, CLEAR = 0.70, 0.92
@@ -308,19 +310,31 @@ def estimated(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, estimate double")
 
 
+def asked_of(pairs: DataFrame, counts_a: DataFrame, counts_b: DataFrame) -> DataFrame:
+    """(doc, nth, of, to): to whom, as (a, part of a), each document b sends its shingles; one of its ``of`` parts in a row."""
+    numbered = pairs.select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "a").alias("g")).join(counts_a, "a").join(counts_b, "b")
+    placed = numbered.select("a", F.pmod("h", "parts_a").cast("int").alias("part"), F.col("b").alias("doc"), F.pmod("g", "parts_b").cast("int").alias("nth"), F.col("parts_b").alias("of"))
+    return placed.groupBy("doc", "nth", "of").agg(F.collect_list(F.struct("a", "part")).alias("to"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, weighted: bool, least: float) -> DataFrame:
     """Those of the pairs whose shingles have a similarity of ``least`` or more; ``texts`` is (doc, text), one row for each document.
 
     Each document's shingles are worked out once and sent to the documents it is paired with, where they are streamed past that
-    document's own. A document with very many partners is cut into parts by count.
+    document's own. A document with very many partners is cut into parts by count on either side: each part of what it is
+    compared with is a task's row, and so is each part of those that it is sent to, dealt over the tasks with its text.
     """
-    part = 512
-    numbered = pairs.select("a", "b", F.xxhash64("a", "b").alias("h"))
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    placed = numbered.join(counts, "a").select("a", "b", F.pmod("h", "parts").cast("int").alias("part"))
-    asked = placed.groupBy(F.col("b").alias("doc")).agg(F.collect_list(F.struct("a", "part")).alias("to"))  # at most a few for each band
-    own_parts = counts.select(F.col("a").alias("doc"), "parts")
-    sent = texts.join(asked.join(own_parts, "doc", "full").hint("shuffle_hash"), "doc").select("doc", "text", "to.a", "to.part", "parts")
+    counted = lambda name: pairs.groupBy(name).agg(F.ceil(F.count("*") / PART).cast("int").alias(f"parts_{name}"))
+    counts_a, counts_b = counted("a"), counted("b")
+    asked, own_parts = asked_of(pairs, counts_a, counts_b), counts_a.select(F.col("a").alias("doc"), F.col("parts_a").alias("parts"))
+    few = asked.where(F.col("of") == 1).select("doc", "to").join(own_parts, "doc", "full")
+    sent = texts.join(few.hint("shuffle_hash"), "doc").select("doc", "text", "to.a", "to.part", "parts")
+    hot = stage(counts_b.where(F.col("parts_b") > 1).select(F.col("b").alias("doc")), "sent-to-many")
+    n_hot = hot.count()
+    if n_hot:
+        hot_texts = stage(texts.join(checked_broadcast(hot, n_hot), "doc"), "texts-sent-to-many")
+        many = asked.where(F.col("of") > 1).join(hot_texts, "doc").select("doc", "text", "to.a", "to.part", "nth")
+        many = many.repartition("doc", "nth").select("doc", "text", "a", "part", F.lit(None).cast("int").alias("parts"))
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Fingerprints(words)
@@ -329,11 +343,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, weighted: bool, lea
             for doc, text, to, to_part, parts in zip(*columns, strict=True):
                 found, weights = shingle_set(own, text or "", weighted)
                 data, extra = found.tobytes(), weights.tobytes() if weighted else b""
-                out += [(doc, p, True, doc, data, extra) for p in range(parts or 0)]
-                out += [(a, p, False, doc, data, extra) for a, p in zip(to or [], to_part or [], strict=True)]
-                if len(out) >= 256:
-                    yield batch_of(out)
-                    out = []
+                for a, p, is_own in chain(((doc, p, True) for p in range(parts or 0)), ((a, p, False) for a, p in zip(to or [], to_part or [], strict=True))):
+                    out.append((a, p, is_own, doc, data, extra))
+                    if len(out) >= 256:
+                        yield batch_of(out)
+                        out = []
             if out:
                 yield batch_of(out)
 
@@ -353,7 +367,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, weighted: bool, lea
                     out.append((a, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    moved = sent.mapInArrow(shingles, "a long, part int, own boolean, doc long, data binary, extra binary")
+    shape = "a long, part int, own boolean, doc long, data binary, extra binary"
+    moved = sent.mapInArrow(shingles, shape)
+    if n_hot:
+        moved = moved.unionByName(many.mapInArrow(shingles, shape))
     return moved.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("own"), "doc").mapInArrow(compare, "a long, b long")
 
 

@@ -6,6 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placewright.llm import dart_minhash, warc_zip
@@ -101,6 +102,21 @@ def test_classes_of_loose_variants_equal_brute_force(spark, parts, monkeypatch):
     assert {k: r.class_id for k, r in found.items()} == quick_classes(rows)
 
 
+def test_documents_with_many_partners_are_cut_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "PART", 8)
+    text = prose(1, 100)
+    rows = [(i, edited(text, i, 1 + i % 5)) for i in range(100)] + [(1000, text), (-1, text)]
+    pairs = spark.createDataFrame([(i, 1000) for i in range(100)] + [(-1, i) for i in range(100)], "a long, b long")
+    counts = [pairs.groupBy(c).agg((F.count("*") / 8 + 0.99).cast("int").alias(f"parts_{c}")) for c in "ab"]
+    asked = dart_minhash.asked_of(pairs, *counts).collect()
+    assert sum(len(r.to) for r in asked) == 200 and max(len(r.to) for r in asked) < 30
+    found = dart_minhash.verified(pairs, spark.createDataFrame(rows, "doc long, text string"), 5, False, 0.8).collect()
+    own, texts = Fingerprints(), dict(rows)
+    sets = {doc: dart_minhash.shingle_set(own, t) for doc, t in texts.items()}
+    alike = sorted((r.a, r.b) for r in pairs.collect() if dart_minhash.similarity(sets[r.a], sets[r.b]) >= 0.8)
+    assert sorted((r.a, r.b) for r in found) == alike and 0 < len(alike) < 200
+
+
 def test_one_of_each_keeps_rows_as_they_were(spark):
     docs = documents(spark)
     out = dart_minhash.one_of_each(docs)
