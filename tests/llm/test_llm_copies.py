@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import zipfile
 
 import numpy as np
@@ -117,6 +118,14 @@ def test_documents_with_many_partners_are_cut_on_both_sides(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in found) == alike and 0 < len(alike) < 200
 
 
+def test_estimates_lose_fewer_pairs_than_bands():
+    size, alike = dart_minhash.BANDS * dart_minhash.ROWS, dart_minhash.SIMILARITY
+    agree = alike + (1 - alike) / 256  # eight bits of a coordinate
+    least = math.ceil(size * (dart_minhash.TOO_LOW * 255 + 1) / 256)
+    lost = sum(math.comb(size, n) * agree**n * (1 - agree) ** (size - n) for n in range(least))
+    assert lost < 0.1 * (1 - alike**dart_minhash.ROWS) ** dart_minhash.BANDS
+
+
 def test_one_of_each_keeps_rows_as_they_were(spark):
     docs = documents(spark)
     out = dart_minhash.one_of_each(docs)
