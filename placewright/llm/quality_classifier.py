@@ -43,7 +43,7 @@ SAME = bucket("= =")
 
 
 def shape(word: str) -> str:
-    return "/" + RUNS.sub(lambda m: "X" if m[1] else "x" if m[2] else "9" if m[3] else m[4], word[:64])
+    return "/" + RUNS.sub(lambda m: "X" if m[1] else "x" if m[2] else "9" if m[3] else m[4], word)
 
 
 def word_features(word: str) -> list[int]:

@@ -157,3 +157,8 @@ def test_near_texts_have_near_fingerprints(spark):
     found = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
     assert found[1] == found[2] and found[5] == "0" * 32
     assert fingerprints.likeness(found[1], found[3]) > 0.8 > 0.65 > fingerprints.likeness(found[1], found[4])
+
+
+def test_shape_reads_the_whole_word():
+    assert quality_classifier.shape("语" * 70 + "Ab9") == "/" + "语" * 70 + "Xx9"
+    assert quality_classifier.shape("a" * 64 + "B7") == "/xX9"
