@@ -426,6 +426,11 @@ ORACLE["coord_format"] = with_views("matched_places") + " SELECT seq, printf('%.
 ORACLE["xml_places"] = with_views("gaz") + """
 SELECT geoid AS id, concat('_', geoid) AS handle, feature AS type, CASE WHEN tier = 3 THEN name ELSE concat(name, ', ', country) END AS place_text,
   CASE WHEN tier > 0 THEN lat END AS lat, CASE WHEN tier > 0 THEN lon END AS lon, tier > 0 AS had_coord, concat('_', country) AS placerefs FROM gaz"""
+ORACLE["gramps_document"] = with_views("xml_rows") + """
+SELECT x.file, pos, CASE WHEN base IS NULL THEN raw ELSE concat(chr(10), '  <placeobj handle="_', geoid, '" id="', geoid, '"><ptitle>New &amp; ', name, '</ptitle><pname value="New &amp; ', name,
+  '"/><coord long="', lon, '" lat="', lat + 0.5, '"/><url href="http://x/?a=1&amp;b=2"/>', chr(10), '  </placeobj') END AS text, pos = 4000000000002 AS is_tail
+FROM xml_rows x LEFT JOIN (SELECT * FROM xml_objects WHERE tier = 3 AND nth % 9 <> 0) o ON x.file = o.country AND x.pos BETWEEN o.base + 1 AND o.base + 7
+WHERE base IS NULL OR pos = base + 1"""
 ORACLE["gramps_rewrite"] = with_views("gaz") + """
 SELECT concat('<placeobj handle="_', geoid, '" change="1" id="', geoid, '" type="', feature, '">', chr(10), '  <ptitle>',
   CASE WHEN tier % 2 = 1 THEN concat('New &amp; ', name) ELSE concat(name, ', ', country) END, '</ptitle>',

@@ -555,3 +555,13 @@ def gramps_rewrite(spark, d):
     objects = view(spark, d, "placeobj").withColumn("fragment", F.replace("fragment", F.lit("</placeobj>"), more))
     edited = F.when(F.col("pos") % 2 == 1, F.concat(F.lit("New & "), "name"))
     return writers.gramps_rows(objects.select("file", "pos", "fragment", "geoid", edited.alias("new_text"), (F.col("lat") + 0.5).alias("lat"), "lon")).select("text")
+
+
+@query
+def gramps_document(spark, d):
+    """Whole documents in which cities are renamed and moved; everything else is as it was."""
+    rows = stage(gramps.with_kind(view(spark, d, "xml_rows")), "rows")
+    objects = gramps.parse_placeobj(gramps.placeobj_fragments(rows))
+    edited = F.when(F.col("pname").isNotNull(), F.concat(F.lit("New & "), "pname"))
+    spans = stage(gramps.corrections(objects.withColumn("new_text", edited).withColumn("lat", F.col("lat") + 0.5)), "spans")
+    return gramps.document(rows, spans)

@@ -158,16 +158,55 @@ SELECT 'x' AS file, CAST(tier AS BIGINT) AS pos, geoid, name, lat, lon,
 FROM gaz
 """
 
+# whole Gramps documents, one per country, as rows that end before a >: people, places, notes; every ninth place isn't closed
+VIEWS["xml_rows"] = """
+SELECT file, pos, raw FROM (
+SELECT r_name AS file, CAST(0 AS BIGINT) AS pos, '<?xml version="1.0" encoding="UTF-8"?' AS raw FROM {region}
+UNION ALL SELECT r_name, CAST(1 AS BIGINT), concat(chr(10), '<database xmlns="http://x/"') FROM {region}
+UNION ALL SELECT r_name, CAST(2 AS BIGINT), '<people' FROM {region}
+UNION ALL SELECT r_name, c_custkey * 4 + 100, concat('<person id="I', c_custkey, '"') FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, c_custkey * 4 + 101, concat('<name', chr(10)) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, c_custkey * 4 + 102, concat(c_name, ' &gt; a', '</name') FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, c_custkey * 4 + 103, '</person' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, CAST(1000000000000 AS BIGINT), '</people' FROM {region}
+UNION ALL SELECT r_name, CAST(1000000000001 AS BIGINT), '<places' FROM {region}
+UNION ALL SELECT country, base + 1, concat(chr(10), '  <placeobj handle="_', geoid, '" id="', geoid, '"') FROM xml_objects
+UNION ALL SELECT country, base + 2, '<ptitle' FROM xml_objects
+UNION ALL SELECT country, base + 3, concat(name, ', ', country, '</ptitle') FROM xml_objects
+UNION ALL SELECT country, base + 4, concat('<pname value="', name, '"/') FROM xml_objects WHERE tier = 3
+UNION ALL SELECT country, base + 5, concat('<coord long="', lon, '" lat="', lat, '"/') FROM xml_objects WHERE tier > 0
+UNION ALL SELECT country, base + 6, '<url href="http://x/?a=1&amp;b=2"/' FROM xml_objects
+UNION ALL SELECT country, base + 7, concat(chr(10), '  </placeobj') FROM xml_objects WHERE nth % 9 <> 0
+UNION ALL SELECT r_name, CAST(3000000000000 AS BIGINT), concat(chr(10), '</places') FROM {region}
+UNION ALL SELECT r_name, CAST(3000000000001 AS BIGINT), '<notes' FROM {region}
+UNION ALL SELECT r_name, 3000000000002 + o_orderkey, concat('<note id="', o_orderkey, '" text="', o_orderpriority, '"/')
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, CAST(4000000000000 AS BIGINT), '</notes' FROM {region}
+UNION ALL SELECT r_name, CAST(4000000000001 AS BIGINT), '</database' FROM {region}
+UNION ALL SELECT r_name, CAST(4000000000002 AS BIGINT), chr(10) FROM {region}
+) AS x
+"""
+
+# the place objects of those documents, in their order
+VIEWS["xml_objects"] = """
+SELECT *, 1000000000010 + nth * 10 AS base FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY geoid) AS nth FROM gaz) AS g
+"""
+
 _NEEDS = {name: [v for v in VIEWS if re.search(rf"\bFROM {v}\b", text)] for name, text in VIEWS.items()}
 
 
 def with_views(*names: str) -> str:
     """``WITH`` clause that defines the views over plain table names."""
     ordered: list[str] = []
+
+    def add(name: str) -> None:
+        for view in _NEEDS[name]:
+            add(view)
+        if name not in ordered:
+            ordered.append(name)
+
     for name in names:
-        for view in (*_NEEDS[name], name):
-            if view not in ordered:
-                ordered.append(view)
+        add(name)
     plain = {t: t for t in TABLES}
     return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({VIEWS[v].format(**plain)})" for v in ordered)
 
@@ -180,11 +219,14 @@ def _table(spark, sf_dir: str, name: str) -> str:
     return alias
 
 
-def view(spark, sf_dir: str, name: str):
-    """The view as a DataFrame over the Parquet files of a folder."""
-    used = re.findall(r"\{(\w+)\}", " ".join(VIEWS[v] for v in (*_NEEDS[name], name)))
-    files = {t: _table(spark, sf_dir, t) for t in used}
+def _text(spark, sf_dir: str, name: str) -> str:
+    files = {t: _table(spark, sf_dir, t) for t in re.findall(r"\{(\w+)\}", VIEWS[name])}
     text = VIEWS[name].format(**files)
     for needed in _NEEDS[name]:
-        text = re.sub(rf"\bFROM {needed}\b", f"FROM ({VIEWS[needed].format(**files)}) AS {needed}", text)
-    return spark.sql(text)
+        text = re.sub(rf"\bFROM {needed}\b", lambda _, inner=_text(spark, sf_dir, needed), at=needed: f"FROM ({inner}) AS {at}", text)
+    return text
+
+
+def view(spark, sf_dir: str, name: str):
+    """The view as a DataFrame over the Parquet files of a folder."""
+    return spark.sql(_text(spark, sf_dir, name))

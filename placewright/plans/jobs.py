@@ -14,7 +14,7 @@ from placewright.operators.skew import salted_join
 from placewright.schemas import CANDIDATE_FIELDS, CITY, NO_MATCH_SCORE
 from placewright.sources import gazetteer as gaz_source
 from placewright.sources.gedcom import read_gedcom
-from placewright.sources.gramps import read_gramps
+from placewright.sources.gramps import corrections, document, parse_placeobj, placeobj_fragments, read_rows
 from placewright.workspace import stage
 
 
@@ -256,8 +256,9 @@ def resolve_gedcom(spark: SparkSession, paths: str | list[str], gazetteer: DataF
 
 
 def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataFrame, tables: Tables) -> dict[str, DataFrame]:
-    """Corrected place objects, the hierarchy of matched places and what is wrong in it, for Gramps XML files."""
-    objects = stage(read_gramps(spark, paths), "placeobj")
+    """Corrected documents and place objects, the hierarchy of matched places and what is wrong in it, for Gramps XML files."""
+    rows = read_rows(spark, paths)
+    objects = stage(parse_placeobj(placeobj_fragments(rows)), "placeobj")
     found = objects.where("place_text IS NOT NULL").select(
         "file", F.lit(0).cast("long").alias("rec"), "pos", "place_text", F.lit(0).alias("event_year")
     )
@@ -265,13 +266,13 @@ def resolve_gramps(spark: SparkSession, paths: str | list[str], gazetteer: DataF
     written = settled.rows.where(F.col("disposition").isin("REPLACE", "UPDATE"))
     corrected = objects.join(written.select("file", "pos", "text", "place"), ["file", "pos"], "left").select(
         "file", "pos", "handle", "change", "id", "type", "ptitle", "pname", "placerefs", "had_coord", "place_text", "fragment",
-        F.col("text").alias("new_text"), F.coalesce("place.lat", "lat").alias("lat"), F.coalesce("place.lon", "lon").alias("lon"),
+        "end", "closed", "lead", "tail", F.col("text").alias("new_text"), F.coalesce("place.lat", "lat").alias("lat"), F.coalesce("place.lon", "lon").alias("lon"),
     )
     numbered = objects.select("file", "pos", "id").join(written, ["file", "pos"]).withColumn("seq", F.struct("file", "pos"))
     tree = hierarchy.build_hierarchy(stage(hierarchy_places(numbered, gazetteer), "matched"), gazetteer)
     queue = review_rows(settled)
     return {
-        "places": corrected, "hierarchy": tree, "violations": hierarchy.enclosure_violations(tree),
+        "document": document(rows, stage(corrections(corrected), "spans")), "places": corrected, "hierarchy": tree, "violations": hierarchy.enclosure_violations(tree),
         "stats": disposition.run_stats(settled.rows, objects.groupBy("file").agg(F.count_if(F.col("place_text").isNotNull()).alias("places"))),
         "review": queue, "listing": review_listing(settled, queue, rule_list(tables.rules), tables.pad_years),
     }

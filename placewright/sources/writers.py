@@ -55,3 +55,16 @@ def write_gramps(places: DataFrame, path: str) -> None:
     rows = gramps_rows(places).select(F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), F.md5("file").alias("source"), "pos", "text")
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("name", "source", "text").write.partitionBy("name", "source").text(path)
+
+
+def write_documents(document: DataFrame, path: str) -> None:
+    """Whole XML documents: a folder per input file, in which ``at=0`` holds all up to the last tag and ``at=1`` what follows it.
+
+    The parts, ordered by their paths, are the document. What follows the last tag ends in LF, so a document that ends in a tag or in LF comes
+    back byte for byte but for what was corrected.
+    """
+    order = ["name", "source", "pos"]
+    named = document.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), F.md5("file").alias("source"), "pos", "text", "is_tail")
+    for at, rows, separator in ((0, named.where(~F.col("is_tail")), ">"), (1, named.where("is_tail").withColumn("text", F.regexp_replace("text", r"\n\z", "")), "\n")):
+        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        ordered.select("name", "source", F.lit(at).alias("at"), "text").write.mode("append").partitionBy("name", "source", "at").option("lineSep", separator).text(path)

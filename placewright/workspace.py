@@ -10,8 +10,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Rows of a staged table that may be broadcast, after they have been counted; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,3 +35,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``staged``, a table of few narrow rows, with a broadcast hint if it is counted to be one, else as it is."""
+    return F.broadcast(staged) if staged.count() <= most else staged

@@ -142,6 +142,89 @@ def test_gramps_objects_lose_nothing(spark, tmp_path):
     assert changed == want.replace('<pname value="second" lang="fr"/>', '<pname value="second" lang="fr"/><coord long="-2.0" lat="1.5"/>')
 
 
+DOCUMENT = XML.replace("<people>", "<tags/><events><event id='E1'><description>Dover, Kent &gt; \n x</description></event></events>\n <people>").replace(
+    "<objects/>", "<objects/>\n <notes><note id='N1'><text>a > b <![CDATA[ x > y ]]></text></note></notes>")
+
+
+def rebuilt(folder) -> str:
+    return "".join(p.read_bytes().decode() for p in sorted(folder.glob("name=*/source=*/at=*/part-*")))
+
+
+def spans_of(rows, new_text):
+    places = gramps.parse_placeobj(gramps.placeobj_fragments(rows)).withColumn("new_text", new_text)
+    return gramps.corrections(places.withColumns({"lat": F.coalesce("lat", F.lit(7.5)), "lon": F.coalesce("lon", F.lit(-8.5))}))
+
+
+@pytest.mark.parametrize("layout, end", [("as is", ""), ("as is", "\n\n"), ("one line", ""), ("no places", "\n"), ("empty places", "\n")])
+def test_an_unedited_document_comes_back_byte_for_byte(spark, tmp_path, small_splits, layout, end):
+    text = DOCUMENT.rstrip("\n") + end
+    if layout == "one line":
+        text = " ".join(line.strip() for line in text.splitlines()) + end
+    if layout in ("no places", "empty places"):
+        text = text[:text.index("<places>")] + ("<places/>" if layout == "empty places" else "") + text[text.index("</places>") + 9:]
+    (tmp_path / "a.gramps").write_text(text)
+    rows = gramps.read_rows(spark, str(tmp_path / "a.gramps"))
+    writers.write_documents(gramps.document(rows, spans_of(rows, F.lit(None).cast("string"))), str(tmp_path / "out"))
+    assert rebuilt(tmp_path / "out") == text
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_an_edited_document_changes_in_its_places_only(spark, tmp_path, small_splits, zipped):
+    from xml.etree import ElementTree
+
+    for name in ("a.gramps", "b.gramps"):
+        (tmp_path / name).write_bytes(gzip.compress(DOCUMENT.encode()) if zipped else DOCUMENT.encode())
+    rows = gramps.read_rows(spark, str(tmp_path / "*.gramps"))
+    new = F.when(F.col("id") != "P0002", F.concat(F.lit("New & <"), "id"))
+    writers.write_documents(gramps.document(rows, spans_of(rows, new)), str(tmp_path / "out"))
+    parts = lambda text: ElementTree.fromstring(text.encode())
+    for name in ("a.gramps", "b.gramps"):
+        text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob(f"name={name}/source=*/at=*/part-*")))
+        before, after = parts(DOCUMENT), parts(text)
+        assert [e.tag for e in before] == [e.tag for e in after]
+        space = before.tag[:before.tag.index("}") + 1]
+        for was, now in zip(before, after):
+            if not was.tag.endswith("places"):
+                assert ElementTree.tostring(was) == ElementTree.tostring(now)
+        objects = {o.get("id"): o for o in after.find(f"{space}places")}
+        assert list(objects) == ["P0001", "P0002", "P0003", "P0004", "P0005"]
+        assert objects["P0001"].find(f"{space}ptitle").text == "New & <P0001" == objects["P0001"].find(f"{space}pname").get("value")
+        assert objects["P0001"].find(f"{space}coord").attrib == {"long": "1.5", "lat": "2.0"}
+        assert objects["P0002"].find(f"{space}ptitle").text == "Kent & more, England" and objects["P0002"].find(f"{space}coord") is None
+        assert objects["P0005"].find(f"{space}coord").attrib == {"long": "-8.5", "lat": "7.5"}
+        cut = lambda t: (t[:t.index("<placeobj")], t[t.index("</places>"):])
+        assert cut(text) == cut(DOCUMENT)
+        assert '      <ptitle>New &amp; &lt;P0001</ptitle>\n      <pname value="New &amp; &lt;P0001"/>' in text and "\n    </placeobj><placeobj handle=" in text
+
+
+def test_rows_outside_the_places_meet_no_exchange(spark, tmp_path):
+    (tmp_path / "a.gramps").write_text(DOCUMENT)
+    rows = gramps.read_rows(spark, str(tmp_path / "a.gramps"))
+    inside, outside = gramps.in_places(rows, gramps.sections(rows))
+    plan = outside._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert all("raw" not in line and "file" in line for line in moved) and "SortMergeJoin" not in plan
+    assert {r.raw.strip() for r in inside.collect()} >= {"<places", "</places"}
+    assert not any("placeobj" in r.raw for r in outside.collect())
+    assert inside.count() + outside.count() == rows.count()
+
+
+@pytest.mark.parametrize("where", ["between", "last", "last of a document without an end"])
+def test_an_object_that_is_not_closed_ends_at_the_next_tag(spark, tmp_path, where):
+    good = '<placeobj id="G"><pname value="good"/></placeobj>'
+    bad = '<placeobj id="B"><pname value="bad"/>'
+    inner = bad + good if where == "between" else good + bad
+    notes = "<notes>" + "<note/>" * 50 + "</notes>"
+    text = f"<database><places>{inner}" + ("" if "without" in where else "</places>") + notes + "</database>"
+    (tmp_path / "a.gramps").write_text(text)
+    rows = gramps.read_rows(spark, str(tmp_path / "a.gramps"))
+    read = {r.id: r for r in gramps.parse_placeobj(gramps.placeobj_fragments(rows)).collect()}
+    assert {k: (r.place_text, r.closed) for k, r in read.items()} == {"G": ("good", True), "B": ("bad", False)}
+    assert "note" not in read["B"].fragment
+    writers.write_documents(gramps.document(rows, spans_of(rows, F.lit("new"))), str(tmp_path / "out"))
+    assert rebuilt(tmp_path / "out") == text.replace('<pname value="good"/>', '<pname value="new"/><coord long="-8.5" lat="7.5"/>')
+
+
 def test_lookup_tables_keep_versions(spark, tmp_path):
     path = str(tmp_path / "table")
     empty, missing = tables.read_table(spark, path)
