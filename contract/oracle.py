@@ -140,7 +140,9 @@ ORACLE["replacement_apply"] = keyed("repl", "gaz", "skips") + ",\n" + REPL + """
 SELECT key, n, repl_result, geoid AS repl_geoid, prefix AS repl_prefix, name AS repl_name FROM keys JOIN rpl USING (key)"""
 ORACLE["skip_split"] = keyed("repl", "gaz", "skips") + ",\n" + REPL + """
 SELECT key, n, key IN (SELECT key FROM sk) AND key NOT IN (SELECT key FROM rpl) AS skipped FROM keys"""
-ORACLE["normalize_text"] = f"SELECT doc_id, {norm('text')} AS normalized, {norm('text', False)} AS no_commas FROM documents"
+_PLANTED = "concat('constanta,timisoara,ha noi,angstrom αθηνα е и,\u1100\u1161\u11a8 \u1109\u1165\u110b\u116e\u11af \u304b\u3099 \u09a1\u09bc ', doc_id)"
+ORACLE["normalize_text"] = f"""
+SELECT doc_id, {norm('text')} AS normalized, {norm('text', False)} AS no_commas, {_PLANTED} AS composed, {_PLANTED} AS decomposed FROM documents"""
 ORACLE["dict_rekey"] = with_views("repl") + f"""
 SELECT {norm('key')} AS key, concat(arg_max(val, seq), '1') AS val FROM (
 SELECT 0 AS seq, upper(key) AS key, val FROM repl UNION ALL SELECT 1, concat(' ', key, '. '), val FROM repl) AS x GROUP BY 1"""

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters folded to their base letter in a key, pair by pair.
-ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšşťţùúûüūůűųýÿźžż"
-BASE = "aaaaaaaaacccddeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
-assert len(ACCENTED) == len(BASE)
+# Letters without a canonical decomposition that are folded to a base letter all the same, pair by pair.
+UNDECOMPOSED, THEIR_BASE = "đøł", "dol"
+
+
+def _decomposed() -> dict[str, str]:
+    """Each letter that has a canonical decomposition and no lower-case form of its own, with what it is without Latin accents."""
+    letters = (chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    plain = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f").translate(str.maketrans(UNDECOMPOSED, THEIR_BASE))
+    return {c: plain(c) for c in letters if unicodedata.category(c)[0] == "L" and c.lower() == c and unicodedata.normalize("NFD", c) != c}
+
+
+_FORMS = _decomposed()
+_ONE = {c: form for c, form in _FORMS.items() if len(form) == 1}
+#: Letters of scripts whose marks stay: one letter is several in the other form. So is a Hangul syllable, by its number.
+_SEVERAL = {c: form for c, form in _FORMS.items() if len(form) > 1 and not "\uac00" <= c <= "\ud7a3"}
+ACCENTED = "".join(_ONE) + UNDECOMPOSED
+BASE = "".join(_ONE.values()) + THEIR_BASE
+COMPOSED = "\uac00-\ud7a3" + "".join(_SEVERAL)
+PARTS = max(map(len, _SEVERAL.values()))
+
 
 # Accents that are characters of their own go like those that are part of a letter; the marks of other scripts stay.
 DROPPED = r"[.'’`\"\u0300-\u036F]"
@@ -18,9 +37,35 @@ BLANKED = r"[^\p{L}\p{M}\p{N},*#_&/-]+"
 CASE_RUNS = r"(\p{L}+(?:(?<=\p{L}[a-zA-Z])'[A-Za-z]\p{L}*)*|\P{L}+)"
 
 
+def _nth_part(letter: Column, nth: int) -> Column:
+    """The ``nth`` character of a composed letter's other form, an empty text where it has fewer."""
+    having = [c for c, form in _SEVERAL.items() if len(form) > nth]
+    lacking = [c for c, form in _SEVERAL.items() if len(form) <= nth]
+    return F.translate(letter, "".join(having + lacking), "".join(_SEVERAL[c][nth] for c in having))
+
+
+def _syllable(letter: Column) -> Column:
+    """The two or three letters of a Hangul syllable: 19 firsts of 21 middles of 27 lasts or none."""
+    nth = F.ascii(letter) - 0xAC00
+    one = lambda first, count, n: F.substring(F.lit("".join(map(chr, range(first, first + count)))), n.cast("int") + 1, F.lit(1))
+    last = nth % 28
+    return F.concat(one(0x1100, 19, F.floor(nth / 588)), one(0x1161, 21, F.floor(nth % 588 / 28)), F.when(last > 0, one(0x11A8, 27, last - 1)).otherwise(""))
+
+
+def decomposed(text: Column) -> Column:
+    """Letters that are several in their other form written in that form. Texts without such letters cost one search."""
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    spelt = F.transform(letters, lambda c: F.when(c.between("\uac00", "\ud7a3"), _syllable(c)).when(
+        _nth_part(c, 0) != c, F.concat(*[_nth_part(c, n) for n in range(PARTS)])).otherwise(c))
+    return F.when(F.rlike(text, F.lit(f"[{COMPOSED}]")), F.array_join(spelt, "")).otherwise(text)
+
+
 def normalize(text: Column, remove_commas: bool = False) -> Column:
-    """Canonical key text: lower case, no accents or full stops, single blanks, commas kept unless asked otherwise."""
-    t = F.translate(F.lower(text), ACCENTED, BASE)
+    """Canonical key text: lower case, no accents or full stops, single blanks, commas kept unless asked otherwise.
+
+    A letter gives the same key whether it is one character or a base letter with marks after it.
+    """
+    t = F.translate(decomposed(F.lower(text)), ACCENTED, BASE)
     t = F.regexp_replace(t, DROPPED, "")
     t = F.regexp_replace(t, BLANKED, " ")
     if remove_commas:

@@ -218,9 +218,61 @@ def _by_mask(mask: int) -> Column:
     return F.concat_ws("|", *[F.col(WILD_PARTS[i]) for i in order])
 
 
+def also_as_cities(locations: DataFrame) -> DataFrame:
+    """Locations, and those that end at a county once more as cities without one: the first of three parts may be either."""
+    named = locations.select("loc", *LOCATION)
+    return named.unionByName(named.where(F.col("m_tier") == 2).withColumns({"m_tier": F.lit(CITY), "n_admin2": F.lit("")}))
+
+
+GRAM = 3
+ANY = "*"
+POSTING = ["m_tier", "g_country", "gram"]
+
+
+def grams(text: Column) -> Column:
+    """Distinct runs of ``GRAM`` characters in a name, or in the literal parts of a pattern; its two ends count as characters."""
+    ended = F.concat(F.lit("^"), text, F.lit("$"))
+    runs = F.transform(F.sequence(F.lit(1), F.length(ended) - GRAM + 1), lambda i: F.substring(ended, i, F.lit(GRAM)))
+    return F.when(F.length(ended) >= GRAM, F.array_distinct(F.filter(runs, lambda g: ~F.contains(g, F.lit("*"))))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(m_tier, g_country, gram, n_country, m_name): the names under the grams in ``asked``, by country or under ``ANY`` country.
+
+    A name is filed once for each of its own grams that someone asks for, however many patterns there are.
+    """
+    filed = names.select(*NAME, F.explode(grams(F.col("m_name"))).alias("gram"))
+    wanted = asked.select(*POSTING).distinct()
+    return filed.withColumn("g_country", F.explode(F.array("n_country", F.lit(ANY)))).join(wanted, POSTING, "left_semi")
+
+
 def wildcard_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
     """(loc, score, candidate fields) for locations with ``*`` in their name, admin1 or country.
 
+    A pattern whose name holds three literal characters in a row, its ends included, is looked up by the rarest such run among the names
+    of its country, or of all countries where that is a pattern too. The few others are tested by :func:`wildcard_by_lead`.
+    """
+    wild = stage(locations.where(is_pattern(*WILD_PARTS)).select("loc", *LOCATION, grams(F.col("m_name")).alias("grams")), "patterns")
+    country = F.when(is_pattern("n_country"), F.lit(ANY)).otherwise(F.col("n_country"))
+    asked = wild.select("loc", *LOCATION, country.alias("g_country"), F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    filed = stage(postings(rows.select(*NAME).distinct(), asked), "postings")
+    counts = filed.groupBy(*POSTING).agg(F.count("*").alias("n"))
+    rarest = salted_join(asked, counts, POSTING, spread=["loc"], how="inner", **salting).groupBy("loc", *LOCATION, "g_country").agg(
+        F.min(F.struct("n", "gram"))["gram"].alias("gram"), F.count("*").alias("held"), F.max("all").alias("all"))
+    rarest = rarest.where("held = all").select("m_tier", "g_country", "gram", "loc", F.col("n_country").alias("p_country"), F.col("n_admin1").alias("p_admin1"),
+                                               F.col("n_admin2").alias("p_admin2"), F.col("m_name").alias("p_name"))
+    names = salted_join(filed, rarest, POSTING, spread=["n_country", "m_name"], how="inner", counts=counts, **salting)
+    like = lambda part, pattern: F.rlike(part, wildcard_regex(F.col(pattern)))
+    names = names.where(like("m_name", "p_name") & like("n_country", "p_country")).drop("g_country", "gram", "p_name", "p_country")
+    places = salted_join(rows, names, NAME, spread=["geoid"], how="inner", **salting).where(like("n_admin1", "p_admin1"))
+    score = WILDCARD + F.when(like("n_admin2", "p_admin2"), 0.0).otherwise(PER_PART)
+    by_gram = places.select("loc", score.alias("score"), *CANDIDATE_FIELDS)
+    return best_each(by_gram.unionByName(wildcard_by_lead(wild.where(F.size("grams") == 0).drop("grams"), rows, **salting)))
+
+
+def wildcard_by_lead(wild: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+    """(loc, score, candidate fields) for patterns without three literal characters in a row.
+
     Joined on the tier, on which parts hold a ``*``, and on the literal text before the first one, when the parts without
     ``*`` are put in front. So a pattern is tested only on places that agree with its literal parts and begin like the
     next. Places are keyed only by the kinds and lengths of patterns that there are.
@@ -228,9 +280,7 @@ def wildcard_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFram
     masks = range(1, 1 << len(WILD_PARTS))
     mask = sum(F.contains(part, F.lit("*")).cast("int") * (1 << i) for i, part in enumerate(WILD_PARTS))
     text = F.coalesce(*[F.when(F.col("mask") == m, _by_mask(m)) for m in masks])
-    # Staged, since they are few and read twice.
-    wild = stage(locations.where(is_pattern(*WILD_PARTS)).select("loc", *LOCATION, mask.alias("mask")), "patterns")
-    patterns = wild.select(
+    patterns = wild.withColumn("mask", mask).select(
         "loc", "m_tier", "mask", F.regexp_extract(text, r"^([^*]*)", 1).alias("lead"), F.col("n_admin2").alias("p_admin2"),
         *[F.col(part).alias(f"p_{part}") for part in WILD_PARTS],
     )
@@ -243,7 +293,7 @@ def wildcard_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFram
         pairs = pairs.where(F.rlike(part, wildcard_regex(F.col(f"p_{part}"))))
     same_admin2 = F.rlike("n_admin2", wildcard_regex(F.col("p_admin2")))
     score = WILDCARD + F.when(same_admin2, 0.0).otherwise(PER_PART)
-    return best_each(pairs.select("loc", score.alias("score"), *CANDIDATE_FIELDS))
+    return pairs.select("loc", score.alias("score"), *CANDIDATE_FIELDS)
 
 
 NAME = ["m_tier", "n_country", "m_name"]

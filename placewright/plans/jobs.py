@@ -88,7 +88,7 @@ def resolve_locations(
         wild, open_ = left.where(patterns), left.where(~patterns)
         for name, result, find in stages:
             asked = wild if name == "WILDCARD" else open_
-            hits = stage(find(asked, rows), "candidates")
+            hits = stage(find(asked if name == "SPELLING" else match.also_as_cities(asked), rows), "candidates")
             looked = stage(asked.join(match.summary(hits), "loc", "left"), "looked")
             found = found.unionByName(looked.where("best IS NOT NULL").select("loc", F.lit(result).alias("result"), F.lit(name).alias("stage"), "n", "best"))
             candidates = candidates.unionByName(hits)

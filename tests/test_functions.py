@@ -54,6 +54,16 @@ def test_normalize(spark):
     assert column(spark, ["Dover, Kent"], lambda c: text.normalize(c, remove_commas=True)) == ["dover kent"]
 
 
+def test_every_letter_gives_one_key_in_both_forms(spark):
+    import sys
+    import unicodedata
+
+    forms = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0x80, sys.maxunicode)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c) != c}
+    assert len(forms) > 12_000 and "각" in forms and "ế" in forms and "が" in forms
+    apart = [c for c, one, other in zip(forms, column(spark, [f"a{c} b" for c in forms], text.normalize), column(spark, [f"a{d} b" for d in forms.values()], text.normalize)) if one != other]
+    assert not apart, apart[:20]
+
+
 def test_normalize_is_idempotent(spark):
     pick = random.Random(5)
     values = ["".join(pick.choice(string.printable + "éüßñ,,  ") for _ in range(20)) for _ in range(500)]

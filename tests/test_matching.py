@@ -229,3 +229,50 @@ def test_spelling_reads_the_built_vocabulary(spark, gazetteer, countries, tmp_pa
     asked, rows = locs.select("loc", *match.LOCATION), match.searchable(gazetteer)
     assert [r.geoid for r in jobs.spelling_match(asked, rows, words).collect()] == ["g5"]
     assert jobs.spelling_match(asked, rows, words.where("word != 'dover'")).count() == 0
+
+
+def test_three_part_texts_are_tried_as_cities_by_every_stage(spark, gazetteer, countries):
+    cases = {
+        "Dov*,England,United Kingdom": "WILDCARD", "Kent Dover,England,United Kingdom": "PARTIAL", "Dofer,England,United Kingdom": "SOUNDEX", "Dxover,England,United Kingdom": "SPELLING",
+        "Andrews,New Brunswick,Canada": "WORD", "K*t,England,United Kingdom": "WILDCARD",
+    }
+    out = settled(spark, gazetteer, countries, list(cases))
+    stages = {r.key: r.stage for r in out.keys.collect()}
+    geoids = {r.place_text: r.geoid for r in out.rows.collect()}
+    assert {t: stages[t.lower()] for t in cases} == cases | {"Kent Dover,England,United Kingdom": "PARTIAL"}
+    assert geoids == {t: "g6" if "Andrews" in t else "g4" if t.startswith("K") else "g5" for t in cases}
+
+
+def test_wildcards_are_looked_up_by_their_rarest_gram(spark, monkeypatch):
+    names = [f"saint mary {i}" for i in range(300)] + ["saint xylophone", "dover", "old dover"]
+    rows = same_names(spark, names)
+    seen = []
+    plain = match.postings
+    monkeypatch.setattr(match, "postings", lambda *a: seen.append(plain(*a)) or seen[-1])
+    few = ["saint x*", "*ver"]
+    many = few + ["d*r", "do*", "dov*", "dove*", "s* xylo*", "sa*xylophone", "*xylophone", "*lophon*"]
+
+    def hits(patterns):
+        got = match.wildcard_match(located(spark, patterns), rows, hot_rows=20).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.loc.rsplit("|", 1)[1], []).append(r.name)
+        return {k: sorted(v) for k, v in by.items()}
+
+    assert hits(few) == {"saint x*": ["saint xylophone"], "*ver": ["dover", "old dover"]}
+    found_ = hits(many)
+    assert found_["s* xylo*"] == found_["*lophon*"] == ["saint xylophone"] and found_["do*"] == ["dover"] and found_["d*r"] == ["dover"]
+    # A name is filed once under a gram that is asked for, whatever the number of patterns and the lengths of what they begin with.
+    for filed in seen:
+        assert filed.count() == filed.distinct().count()
+    assert seen[1].where("gram = 'ver'").count() == seen[0].where("gram = 'ver'").count() == 2
+    assert seen[1].select("gram").distinct().count() <= len("".join(many)) + 2 * len(many)
+
+
+def test_a_leading_star_on_a_hot_country(spark):
+    rows = same_names(spark, [f"place {i}" for i in range(500)] + ["dover"])
+    got = match.wildcard_match(located(spark, ["*9", "*", "*over"]), rows, hot_rows=10)
+    counts = {}
+    for r in got.collect():
+        counts[r.loc.rsplit("|", 1)[1]] = counts.get(r.loc.rsplit("|", 1)[1], 0) + 1
+    assert counts == {"*9": 50, "*": 501, "*over": 1}
