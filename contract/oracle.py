@@ -355,6 +355,29 @@ words AS (SELECT id, unnest([m1, w2, m2]) AS term, unnest([1, 2, 3]) AS k FROM m
 """ + _NEAR + """
 SELECT id, string_agg(coalesce(c.word, w.term), ' ' ORDER BY k) AS corrected FROM words w LEFT JOIN closest c ON c.term = w.term AND c.rk = 1 GROUP BY id"""
 
+# Every cut of a phrase into units, spelled out; the cheapest wins.
+ORACLE["spell_compound"] = with_views("misspelt", "part_gaz") + ",\n" + VOCAB.format(names="part_gaz") + """,
+phrases AS (SELECT id * 10 + k AS id, phrase FROM (SELECT id, unnest([0, 1, 2, 3, 4, 5]) AS k, unnest([w1 || w2, left(w2, 2) || ' ' || substr(w2, 3), m1 || ' ' || w2, m1 || w2,
+  w1 || ' ' || left(w2, 2) || ' ' || substr(w2, 3), w1 || ' ' || w1 || w2 || ' ' || m2]) AS phrase FROM misspelt) AS p),
+spelt AS (SELECT id, list_filter(string_split(phrase, ' '), lambda w: w <> '') AS ws FROM phrases),
+singles AS (SELECT DISTINCT unnest(ws) AS w FROM spelt),
+pairs AS (SELECT DISTINCT ws[i] || ws[i + 1] AS w FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM spelt) AS p),
+cuts AS (SELECT w, left(w, CAST(k AS INT)) AS a, substr(w, CAST(k AS INT) + 1) AS b FROM (SELECT w, unnest(range(1, length(w))) AS k FROM singles) AS c),
+terms AS (SELECT w AS term FROM singles UNION SELECT w FROM pairs UNION SELECT a FROM cuts UNION SELECT b FROM cuts),
+""" + _NEAR + """,
+top AS (SELECT term, word, freq, distance FROM closest WHERE rk = 1),
+options AS (
+  SELECT w, 1 AS n, distance AS cost, freq, word AS text FROM singles JOIN top ON term = w
+  UNION ALL SELECT w, 1, 3, 0, w FROM singles
+  UNION ALL SELECT w, 1, 1 + x.distance + y.distance, x.freq + y.freq, x.word || ' ' || y.word FROM cuts JOIN top x ON x.term = a JOIN top y ON y.term = b
+    WHERE w NOT IN (SELECT term FROM top WHERE distance = 0)
+  UNION ALL SELECT w, 2, 1 + distance, freq, word FROM pairs JOIN top ON term = w),
+units AS (SELECT w, n, cost, freq, text FROM options QUALIFY row_number() OVER (PARTITION BY w, n ORDER BY cost, freq DESC, text) = 1),
+walk AS (SELECT id, ws, CAST(0 AS BIGINT) AS used, 0 AS cost, CAST(0 AS BIGINT) AS freq, '' AS text FROM spelt
+  UNION ALL SELECT id, ws, used + n, walk.cost + units.cost, CAST(walk.freq + units.freq AS BIGINT), concat_ws(' ', nullif(walk.text, ''), units.text)
+  FROM walk JOIN units ON (n = 1 AND w = ws[used + 1]) OR (n = 2 AND w = ws[used + 1] || ws[used + 2]))
+SELECT id, text AS corrected, CAST(cost AS INT) AS cost FROM walk WHERE used = len(ws) QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, freq DESC, text) = 1"""
+
 # --- hierarchy -------------------------------------------------------------------------------------------------------
 
 _KEY = lambda t: f"""upper(concat_ws('_', CASE WHEN {t} >= 4 THEN nullif(trim(prefix), '') END, CASE WHEN {t} >= 3 THEN nullif(trim(city), '') END,

@@ -461,6 +461,16 @@ def spell_phrase(spark, d):
     return spelling.correct_phrases(phrases, _part_vocabulary(spark, d))
 
 
+@query
+def spell_compound(spark, d):
+    """Names glued into one word, torn apart, misspelt, and all of it."""
+    wrong = view(spark, d, "misspelt")
+    glued, torn = F.concat("w1", "w2"), F.concat_ws(" ", F.substring("w2", 1, 2), F.expr("substring(w2, 3)"))
+    phrases = wrong.select(F.inline(F.array(*[F.struct((F.col("id") * 10 + k).alias("id"), phrase.alias("phrase")) for k, phrase in enumerate(
+        [glued, torn, F.concat_ws(" ", "m1", "w2"), F.concat("m1", "w2"), F.concat_ws(" ", "w1", torn), F.concat_ws(" ", "w1", glued, "m2")])])))
+    return spelling.correct_compound(phrases, _part_vocabulary(spark, d))
+
+
 # --- hierarchy -------------------------------------------------------------------------------------------------------
 
 

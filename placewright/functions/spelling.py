@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 # Fixed value: the largest edit distance of a suggestion.
 MAX_DISTANCE = 2
 
-# Words of up to this length are keyed by their deletions, longer ones by segments; the forms overlap where lengths can
-# meet across the border.
-LONGEST_BY_DELETION = 40
-SEGMENTS = 5
+# Fixed value: how much of a word its keys are made of.
+PREFIX = 7
 
 
 def within_distance(left: Column, right: Column) -> Column:
@@ -69,40 +67,12 @@ def _one_deleted(word: Column) -> Column:
     )
 
 
-def _deletions(word: Column) -> Column:
-    once = _one_deleted(word)
-    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, _one_deleted))))
+def deletion_keys(word: Column) -> Column:
+    """The word's first ``PREFIX`` characters, less up to two of them: 29 keys at most, however long the word is.
 
-
-def _segment(word: Column, length: Column, nth: Column, shift: Column) -> Column:
-    start = F.floor(nth * length / SEGMENTS).cast("int")
-    end = F.floor((nth + 1) * length / SEGMENTS).cast("int")
-    return F.concat_ws(":", F.lit("#"), nth, length, F.substring(word, start + shift + 1, end - start))
-
-
-def _by_length(word: Column, segments: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.concat(
-        F.when(F.length(word) <= LONGEST_BY_DELETION, _deletions(word)).otherwise(none),
-        F.when(F.length(word) > LONGEST_BY_DELETION - MAX_DISTANCE, segments).otherwise(none),
-    )
-
-
-def vocabulary_keys(word: Column) -> Column:
-    """Keys under which a known word is filed."""
-    nth = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
-    return _by_length(word, F.transform(nth, lambda k: _segment(word, F.length(word), k, F.lit(0))))
-
-
-def term_keys(term: Column) -> Column:
-    """Keys under which a term looks; any word within the distance is filed under one of them.
-
-    Two edits leave one of five segments of a word whole, at most two places from where it was.
+    Two words within the distance share one. They can be made equal by leaving out at most two characters of each, and so can their
+    beginnings: where fewer lie in the one, it gives up its last characters instead.
     """
-    reach = F.sequence(F.lit(-MAX_DISTANCE), F.lit(MAX_DISTANCE))
-    nth = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
-    segments = F.flatten(F.transform(reach, lambda d: F.flatten(F.transform(nth, lambda k: F.transform(
-        F.filter(reach, lambda s: F.floor(k * (F.length(term) + d) / SEGMENTS) + s >= 0),
-        lambda s: _segment(term, F.length(term) + d, k, s)
-    )))))
-    return _by_length(term, segments)
+    start = F.substring(word, F.lit(1), F.lit(PREFIX))
+    once = _one_deleted(start)
+    return F.array_distinct(F.concat(F.array(start), once, F.flatten(F.transform(once, _one_deleted))))

@@ -65,7 +65,8 @@ def normalize(text: Column, remove_commas: bool = False) -> Column:
 
     A letter gives the same key whether it is one character or a base letter with marks after it.
     """
-    t = F.translate(decomposed(F.lower(text)), ACCENTED, BASE)
+    lower = F.lower(text)
+    t = F.when(F.octet_length(text) == F.length(text), lower).otherwise(F.translate(decomposed(lower), ACCENTED, BASE))  # ASCII needs no folding
     t = F.regexp_replace(t, DROPPED, "")
     t = F.regexp_replace(t, BLANKED, " ")
     if remove_commas:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placewright.workspace import stage
+
 HOT_ROWS = 200_000
 SHARE = 4
 
@@ -13,13 +15,14 @@ def hot_keys(counts: DataFrame, on: list[str], count: str = "n", hot_rows: int =
     """(on, salts): the keys that hold too many rows for one task, and into how many parts each is cut.
 
     Too many are more than ``hot_rows`` and more than a quarter of an even partition's share of all rows. So there are at
-    most four such keys for each shuffle partition, whatever the data, and no part is larger than that share.
+    most four such keys for each shuffle partition, whatever the data, and no part is larger than that share. ``counts`` is worked out once:
+    what is staged of it is a row for each key of more than ``hot_rows``, and one for all others.
     """
-    spark = counts.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = counts.agg(F.sum(count)).scalar()
-    most = F.greatest(F.lit(hot_rows), F.coalesce(F.ceil(total / (SHARE * partitions)), F.lit(0)))
-    return counts.where(F.col(count) > most).select(*on, F.ceil(F.col(count) / most).cast("int").alias("salts"))
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = F.when(F.col(count) > hot_rows, F.struct(*on)).alias("key")
+    lumps = stage(counts.groupBy(many).agg(F.sum(count).alias("rows")), "key-counts")
+    most = F.greatest(F.lit(hot_rows), F.coalesce(F.ceil(lumps.agg(F.sum("rows")).scalar() / (SHARE * partitions)), F.lit(0)))
+    return lumps.where(F.col("key").isNotNull() & (F.col("rows") > most)).select("key.*", F.ceil(F.col("rows") / most).cast("int").alias("salts"))
 
 
 def salted_join(
@@ -30,11 +33,14 @@ def salted_join(
 
     ``spread`` names columns of ``rows`` that tell its rows apart. Only the table rows of hot keys are copied. ``counts``
     can hand in row counts per key that are known already; else they are counted with a map-side combine. The list of
-    hot keys is broadcast: its size is bounded by the number of partitions.
+    hot keys is broadcast: its size is bounded by the number of partitions. Without one this is a plain join.
     """
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias(count))
-    hot = F.broadcast(hot_keys(counts, on, count, hot_rows).withColumnRenamed("salts", "_salts"))
+    found = hot_keys(counts, on, count, hot_rows)
+    if found.isEmpty():
+        return rows.join(table, on, how)
+    hot = F.broadcast(found.withColumnRenamed("salts", "_salts"))
     left = rows.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*spread), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     ).drop("_salts")

@@ -23,7 +23,7 @@ from placewright.workspace import stage
 class Tables:
     """Lookup tables of a run. ``replacements``, ``skips``: (key, val). ``countries``: (n_country, supported) over all
     countries. ``validity``: (country_iso, admin1_id, first_year). ``rules``: (seq, orig, repl), few. A ``seq`` column in
-    ``replacements`` is the order in which the last of equal keys wins. ``vocabulary``: what :func:`build_spelling` wrote.
+    ``replacements`` is the order in which the last of equal keys wins. ``vocabulary`` and ``spelling_index``: what :func:`build_spelling` wrote.
     ``pad_years``: years by which an event may come before a name without being flagged."""
 
     replacements: DataFrame
@@ -32,6 +32,7 @@ class Tables:
     validity: DataFrame | None = None
     rules: DataFrame | None = None
     vocabulary: DataFrame | None = None
+    spelling_index: DataFrame | None = None
     pad_years: int = 0
 
 
@@ -62,7 +63,7 @@ def events_by_century(places: DataFrame) -> DataFrame:
 
 
 def resolve_locations(
-    locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True, vocabulary: DataFrame | None = None,
+    locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True, vocabulary: DataFrame | None = None, filed: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(loc, result, stage, n, best) for distinct locations, and the candidate rows (loc, score, fields) behind them.
 
@@ -81,7 +82,7 @@ def resolve_locations(
     left = tried.where("best IS NULL").select("loc", *match.LOCATION)
     stages = [
         ("WILDCARD", "WILDCARD_MATCH", match.wildcard_match), ("WORD", "WORD_MATCH", match.word_match), ("PARTIAL", "PARTIAL_MATCH", match.partial_match),
-        ("SOUNDEX", "SOUNDEX_MATCH", match.soundex_match), ("SPELLING", "PARTIAL_MATCH", partial(spelling_match, vocabulary=vocabulary)),
+        ("SOUNDEX", "SOUNDEX_MATCH", match.soundex_match), ("SPELLING", "PARTIAL_MATCH", partial(spelling_match, vocabulary=vocabulary, filed=filed)),
     ]
     if fuzzy:
         patterns = match.is_pattern(*match.WILD_PARTS)
@@ -102,18 +103,19 @@ def resolve_locations(
     return found.unionByName(nothing), candidates
 
 
-def spelling_match(locations: DataFrame, rows: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(loc, score, candidate fields) by equality after correcting the spelling of the name.
+def spelling_match(locations: DataFrame, rows: DataFrame, vocabulary: DataFrame | None = None, filed: DataFrame | None = None) -> DataFrame:
+    """(loc, score, candidate fields) by equality after correcting the spelling of the name, words glued together or torn apart included.
 
-    For a whole phrase the best suggestion is taken even if it begins with another letter. ``vocabulary`` is the table that
-    :func:`build_spelling` wrote; without it the words are counted anew.
+    For a whole phrase the best suggestion is taken even if it begins with another letter. ``vocabulary`` and ``filed`` are the tables that
+    :func:`build_spelling` wrote; without them the words are counted and filed anew.
     """
     asked = locations.where(spelling.correction_allowed(F.col("m_name")))
     known = vocabulary if vocabulary is not None else spelling.vocabulary(rows, "m_name")
     # No digits are asked for, so a word with more digits than edits cannot be near.
     words = known.where(F.regexp_count("word", F.lit(r"\d")) <= spelling.MAX_DISTANCE)
-    fixed = spelling.correct_phrases(asked.select("loc", F.col("m_name").alias("phrase")), words, keep="loc")
-    again = asked.join(fixed, "loc").where("corrected != m_name").withColumn("m_name", F.col("corrected")).drop("corrected")
+    index = filed if filed is None else filed.where(F.regexp_count("word", F.lit(r"\d")) <= spelling.MAX_DISTANCE)
+    fixed = spelling.correct_compound(asked.select("loc", F.col("m_name").alias("phrase")), words, keep="loc", filed=index)
+    again = asked.join(fixed, "loc").where("corrected != m_name").withColumn("m_name", F.col("corrected")).drop("corrected", "cost")
     hits = match.exact_candidates(match.with_exact(again, rows), rows)
     return hits.withColumn("score", F.col("score") + match.SPELLING)
 
@@ -130,7 +132,7 @@ class Settled:
 
 def settle(
     places: DataFrame, replacements: DataFrame, skips: DataFrame, rows: DataFrame, countries: DataFrame,
-    fuzzy: bool = True, rules: Column | None = None, vocabulary: DataFrame | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"), **salting,
+    fuzzy: bool = True, rules: Column | None = None, vocabulary: DataFrame | None = None, filed: DataFrame | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"), **salting,
 ) -> Settled:
     """Settle every place row of ``places`` (place_text and whatever else it has).
 
@@ -145,7 +147,7 @@ def settle(
         match.with_location(status, sample="sample").withColumn("looked_up", looked_up)
         .withColumn("loc", F.when(F.col("looked_up"), F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), "keys"
     )
-    found, candidates = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy, vocabulary)
+    found, candidates = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy, vocabulary, filed)
     resolved = salted_join(parsed, found.withColumnRenamed("n", "n_candidates"), ["loc"], spread=["key"], **salting)
 
     result = F.when(F.col("repl_result").isNotNull(), F.col("repl_result")).when(F.col("key") == "", "DELETE").when(F.col("skipped"), None).otherwise(F.col("result"))
@@ -232,7 +234,7 @@ def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Set
     order = "seq" if "seq" in tables.replacements.columns else "key"
     replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements, order), gazetteer)
     rows = stage(match.searchable(gazetteer, tables.validity), "searchable")
-    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=tables.vocabulary)
+    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=tables.vocabulary, filed=tables.spelling_index)
     return Settled(stage(settled.rows, "settled"), settled.keys, settled.candidates)
 
 
@@ -284,7 +286,10 @@ def apply_decisions(replacements: DataFrame, skips: DataFrame, decisions: DataFr
 
 
 def build_spelling(gazetteer: DataFrame, path: str) -> None:
-    spelling.vocabulary(gazetteer, "norm").write.mode("overwrite").parquet(path)
+    """Write the vocabulary at ``path``, and its deletion index, laid out by key, at ``path`` + ``-index``."""
+    words = stage(spelling.vocabulary(gazetteer, "norm"), "vocabulary")
+    words.write.mode("overwrite").parquet(path)
+    spelling.index(words).repartitionByRange("key", "word").sortWithinPartitions("key", "word").write.mode("overwrite").parquet(f"{path}-index")
 
 
 build_gazetteer = gaz_source.build_gazetteer

@@ -130,7 +130,7 @@ def mutate(pick, word):
 
 
 def test_edit_distance_and_keys_against_brute_force(spark):
-    """Every pair within two edits shares a key, across the border between the two forms of keys as well."""
+    """Every pair within two edits shares a key, and a word has at most 29 of them."""
     pick = random.Random(7)
     pairs = []
     for size in [*range(0, 12), 30, 37, 38, 39, 40, 41, 42, 43, 60, 90]:
@@ -140,10 +140,11 @@ def test_edit_distance_and_keys_against_brute_force(spark):
     frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i INT, a STRING, b STRING")
     got = frame.select(
         "i", spelling.within_distance(F.col("a"), F.col("b")).alias("d"),
-        F.arrays_overlap(spelling.vocabulary_keys(F.col("a")), spelling.term_keys(F.col("b"))).alias("meet"),
+        F.arrays_overlap(spelling.deletion_keys(F.col("a")), spelling.deletion_keys(F.col("b"))).alias("meet"), F.size(spelling.deletion_keys(F.col("a"))).alias("keys"),
     ).orderBy("i").collect()
     for row, (a, b) in zip(got, pairs):
         assert row.d == min(osa(a, b), 3), (a, b)
+        assert row.keys <= 29
         if row.d <= 2:
             assert row.meet, (a, b)
 

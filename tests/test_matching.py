@@ -222,13 +222,75 @@ def test_wildcards_in_every_part(spark, gazetteer, pattern, hit):
     assert [r.geoid for r in match.wildcard_match(locs.select("loc", *match.LOCATION), match.searchable(gazetteer)).collect()] == [hit]
 
 
-def test_spelling_reads_the_built_vocabulary(spark, gazetteer, countries, tmp_path):
+def test_spelling_reads_the_built_vocabulary_and_index(spark, gazetteer, countries, tmp_path):
     jobs.build_spelling(gazetteer, str(tmp_path / "words"))
-    words = spark.read.parquet(str(tmp_path / "words"))
-    locs = match.with_location(spark.createDataFrame([("dxover,kent,england,united kingdom",)], "place_text STRING").withColumn("key", F.col("place_text")))
+    words, filed = spark.read.parquet(str(tmp_path / "words")), spark.read.parquet(str(tmp_path / "words-index"))
+    locs = match.with_location(spark.createDataFrame([("dxover,kent,england,united kingdom",), ("do ver,kent,england,united kingdom",)], "place_text STRING").withColumn("key", F.col("place_text")))
     asked, rows = locs.select("loc", *match.LOCATION), match.searchable(gazetteer)
-    assert [r.geoid for r in jobs.spelling_match(asked, rows, words).collect()] == ["g5"]
+    for index in (None, filed):
+        assert [r.geoid for r in jobs.spelling_match(asked, rows, words, index).collect()] == ["g5", "g5"]
     assert jobs.spelling_match(asked, rows, words.where("word != 'dover'")).count() == 0
+    assert jobs.spelling_match(asked, rows, words.where("word != 'dover'"), filed.where("word != 'dover'")).count() == 0
+    keys = filed.groupBy("word").count().collect()
+    assert len(keys) == words.count() and max(r["count"] for r in keys) <= 29
+
+
+def test_a_key_that_very_many_words_share_is_cut_into_parts(spark):
+    vocab = spark.createDataFrame([(f"a{c}{d}", 1) for c in "bcdefghij" for d in "bcdefghijklmnopqrstuvwxyz"], "word STRING, freq LONG")
+    terms = spark.createDataFrame([("axq",), ("bb",)], "term STRING")
+    plain = sorted(map(str, spelling.ranked_suggestions(terms, vocab).collect()))
+    spread = spelling.ranked_suggestions(terms, vocab, hot_rows=20)
+    assert sorted(map(str, spread.collect())) == plain
+    assert "_salt" in spread._jdf.queryExecution().analyzed().toString()
+
+
+COMPOUND = {
+    "newyork": ("new york", 1), "do ver": ("dover", 1), "new york": ("new york", 0), "nwe yrok": ("new york", 2), "doverr castel": ("dover castle", 2), "dovercastle": ("dover castle", 1),
+    "new yorkdover": ("new york dover", 1), "qqqqqqqq": ("qqqqqqqq", 3), "": ("", 0), "n ew york": ("new york", 1), "dvoercastle": ("dover castle", 2), "  dover  ": ("dover", 0), "a": ("a", 3),
+}
+
+
+def test_compound_spelling(spark):
+    vocab = spark.createDataFrame([("new", 50), ("york", 40), ("dover", 30), ("castle", 20)], "word STRING, freq LONG")
+    phrases = spark.createDataFrame([(p, p) for p in COMPOUND], "id STRING, phrase STRING")
+    got = {r.id: (r.corrected, r.cost) for r in spelling.correct_compound(phrases, vocab).collect()}
+    assert got == {p: v for p, v in COMPOUND.items() if p}  # no words, no row
+
+
+def test_compound_spelling_against_every_cut(spark):
+    pick = random.Random(4)
+    vocab = {"".join(pick.choice("abcd") for _ in range(pick.randrange(3, 6))): pick.randrange(1, 9) for _ in range(25)}
+    phrases = [" ".join("".join(pick.choice("abcd") for _ in range(pick.randrange(1, 8))) for _ in range(pick.randrange(1, 5))) for _ in range(40)]
+    phrases += [" ".join(pick.sample(list(vocab), 2)).replace(" ", "") for _ in range(10)]
+
+    def best(term):
+        near = [(osa(term, w), -f, w) for w, f in vocab.items() if osa(term, w) <= 2] if len(term) > 1 else []
+        return min(near) if near else None
+
+    def unit(w):
+        options = [(3, 0, w)] + ([best(w)] if best(w) else [])
+        if not best(w) or best(w)[0]:
+            for k in range(1, len(w)):
+                x, y = best(w[:k]), best(w[k:])
+                if x and y:
+                    options.append((1 + x[0] + y[0], x[1] + y[1], f"{x[2]} {y[2]}"))
+        return min(options)
+
+    def cuts(ws):
+        if not ws:
+            yield 0, 0, ""
+        for n in (1, 2):
+            if len(ws) >= n:
+                own = unit(ws[0]) if n == 1 else best(ws[0] + ws[1]) and (1 + best(ws[0] + ws[1])[0], *best(ws[0] + ws[1])[1:])
+                for rest in cuts(ws[n:]) if own else ():
+                    yield own[0] + rest[0], own[1] + rest[1], (own[2] + " " + rest[2]).strip()
+
+    got = {r.id: (r.cost, r.corrected) for r in spelling.correct_compound(spark.createDataFrame([(i, p) for i, p in enumerate(phrases)], "id INT, phrase STRING"),
+                                                                          spark.createDataFrame(list(vocab.items()), "word STRING, freq LONG"), hot_rows=15).collect()}
+    for i, p in enumerate(phrases):
+        cheapest = min(cuts(p.split()))
+        assert got[i][0] == cheapest[0]
+        assert got[i][1] in {c[2] for c in cuts(p.split()) if c[:2] == cheapest[:2]}
 
 
 def test_three_part_texts_are_tried_as_cities_by_every_stage(spark, gazetteer, countries):
