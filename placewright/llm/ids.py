@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 from array import array
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -58,6 +61,7 @@ class ByteWords(Words):
     def __init__(self, path: str):
         super().__init__(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.first = Memo(self._first, 100_000)
 
     def _word(self, word: str) -> bytes | None:
         if not word or word[-1].isspace():
@@ -71,6 +75,37 @@ class ByteWords(Words):
             return self.piece[" " + word[:-1]] + self.piece[word[-1]]
         return b"".join([self.piece[m] for m in self.pattern.findall(spaced)])
 
+    def _first(self, word: str) -> bytes | None:
+        return self.whole(word) if word and not word[-1].isspace() else None
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has; no text is null.
+
+        The words of the batch are told apart in Arrow; only distinct ones are looked up, and numpy puts their ids together.
+        """
+        pieces = pc.split_pattern(texts, " ")
+        words, offsets = pieces.flatten(), pieces.offsets.to_numpy().astype(np.int64)
+        begins = offsets[:-1] - offsets[0]
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        found = [self.word[w] for w in coded.dictionary.to_pylist()]
+        first = words.take(pa.array(begins)).dictionary_encode()
+        at[begins] = len(found) + first.indices.to_numpy()
+        found += [self.first[w] for w in first.dictionary.to_pylist()]
+        uncut = np.add.reduceat(np.array([f is None for f in found])[at], begins, dtype=np.int64) > 0
+        odd = np.flatnonzero(uncut)
+        at[begins[odd]] = len(found) + np.arange(len(odd))
+        found += [self.whole(t) for t in texts.take(pa.array(odd)).to_pylist()]
+        sizes = np.array([len(f or b"") // 4 for f in found], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        if len(odd):
+            others = np.repeat(uncut, np.diff(offsets))
+            others[begins] = False
+            counts[others] = 0
+        take = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return np.frombuffer(b"".join(f or b"" for f in found), dtype=np.uint32)[take], np.add.reduceat(counts, begins)
+
     def ids(self, text: str) -> bytes:
         first, *others = text.split(" ")
         if not first or first[-1].isspace():

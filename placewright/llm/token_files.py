@@ -17,22 +17,34 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm.common import file_system, new_folder, partitions, text_rows
-from placewright.llm.ids import END, words
+from placewright.llm.common import file_system, new_folder, partitions
+from placewright.llm.ids import END, ByteWords, words
 
 VOCABULARY = "byte_bpe_50k.json"
 NO_ID = -(1 << 63)
 SHARD = "shard int, name string, width int, n_docs long, n_tokens long"
 BATCH = 4000
+#: Bytes of texts that are encoded at a time, about.
+PART = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and whole texts of (id, text) in parts of about ``PART`` bytes, a longer text alone; a null text is an empty one."""
+    texts = batch.column(1).fill_null("")
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // PART
+    for at, stop in pairwise([0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]):
+        if at < stop:
+            yield batch.column(0).slice(at, stop - at).to_pylist(), texts.slice(at, stop - at)
 
 
 def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END,
@@ -49,19 +61,18 @@ def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text"
         width = 2 if own.library.get_vocab_size() <= 1 << 16 else 4
         name, total, count, files = f"{shard:06d}-{uuid.uuid4().hex}", 0, 0, []
         system, root = file_system(folder)
-        ending = np.array([end], dtype=f"<u{width}").tobytes()
-        for keys, texts in text_rows(batches):
+        for keys, texts in ((keys, texts) for batch in batches for keys, texts in pieces(batch)):
             if not files:
                 system.create_dir(root, recursive=True)
                 files = [system.open_output_stream(f"{root}/{kind}-{name}.bin") for kind in ("tokens", "offsets", "docs")]
-            lengths = []
-            for t in texts:
-                ids = np.frombuffer(own.ids(t), dtype=np.uint32)
-                files[0].write(ids.astype(f"<u{width}").tobytes() + ending)
-                lengths.append(len(ids) + 1)
-            ends = np.cumsum(lengths, dtype="<u8") + np.uint64(total)
-            starts = np.concatenate([[total], ends[:-1]]).astype("<u8")
-            files[1].write(starts.tobytes())
+            if isinstance(own, ByteWords):
+                ids, lengths = own.batch(texts)
+            else:
+                found = [np.frombuffer(own.ids(t), dtype=np.uint32) for t in texts.to_pylist()]
+                ids, lengths = np.concatenate(found), np.array([len(f) for f in found])
+            files[0].write(np.insert(ids, np.cumsum(lengths), end).astype(f"<u{width}").tobytes())
+            ends = np.cumsum(lengths + 1).astype("<u8") + np.uint64(total)
+            files[1].write(np.concatenate([[total], ends[:-1]]).astype("<u8").tobytes())
             files[2].write(np.array([NO_ID if k is None else k for k in keys], dtype="<i8").tobytes())
             total, count = int(ends[-1]), count + len(keys)
         if files:

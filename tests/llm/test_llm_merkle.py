@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 from hashlib import sha256
 
-from cases import documents, empty
+from tests.llm.cases import documents, empty
 
 from placewright.llm import merkle
 
