@@ -63,17 +63,20 @@ class ByteWords(Words):
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.first = Memo(self._first, 100_000)
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a space and a word of letters, which the pattern never cuts."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_text)
+        return array("I", [t.id for t in self.model.tokenize(self.byte_text[32] + mapped)]).tobytes()
+
     def _word(self, word: str) -> bytes | None:
+        if word.isalpha():
+            return self._letters(word) if word.isascii() or LATIN.fullmatch(word) else self.whole(" " + word)
         if not word or word[-1].isspace():
             return None
+        if word[-1] in ",." and word[:-1].isalpha() and LATIN.fullmatch(word):
+            return (self.word.get(word[:-1]) or self._letters(word[:-1])) + self.piece[word[-1]]
         spaced = " " + word
-        if not self._plain(word):
-            return self.whole(spaced)
-        if word.isalpha():
-            return self.piece[spaced]
-        if word[-1] in ",." and word[:-1].isalpha():
-            return self.piece[" " + word[:-1]] + self.piece[word[-1]]
-        return b"".join([self.piece[m] for m in self.pattern.findall(spaced)])
+        return b"".join([self.piece[m] for m in self.pattern.findall(spaced)]) if self._plain(word) else self.whole(spaced)
 
     def _first(self, word: str) -> bytes | None:
         return self.whole(word) if word and not word[-1].isspace() else None
@@ -88,7 +91,10 @@ class ByteWords(Words):
         begins = offsets[:-1] - offsets[0]
         coded = words.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        found = [self.word[w] for w in coded.dictionary.to_pylist()]
+        known, found = self.word, []
+        for w, n in zip(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)).tolist(), strict=True):
+            # A word that occurs once here is hardly worth remembering.
+            found.append(known[w] if n > 1 or w in known else self._word(w))
         first = words.take(pa.array(begins)).dictionary_encode()
         at[begins] = len(found) + first.indices.to_numpy()
         found += [self.first[w] for w in first.dictionary.to_pylist()]
