@@ -215,6 +215,12 @@ HOMONYMS = f"""ranked AS (
 SELECT concat('3|everywhere|||', {norm('name')}) AS loc, geoid, row_number() OVER (PARTITION BY name ORDER BY geoid) AS rank FROM part_gaz)"""
 ORACLE["candidate_rank"] = with_views("part_gaz") + ",\n" + HOMONYMS + """
 SELECT loc, CAST(rank AS INT) AS rank, geoid, CAST(0 AS DOUBLE) AS score FROM ranked"""
+ORACLE["asof_match"] = with_views("part_gaz", "raw_places") + f""",
+named AS (SELECT {norm('name')} AS m_name, geoid, CASE WHEN CAST(substr(geoid, 2) AS BIGINT) % 11 = 0 THEN NULL ELSE CAST(1993 + CAST(substr(geoid, 2) AS BIGINT) * 7 % 9 AS INT) END AS first_year FROM part_gaz),
+years AS (SELECT DISTINCT event_year AS year FROM raw_places UNION SELECT 0),
+ranked AS (SELECT concat_ws('|', m_name, year) AS loc, geoid, first_year, count(*) OVER (PARTITION BY m_name, year) AS n,
+  row_number() OVER (PARTITION BY m_name, year ORDER BY NOT (year = 0 OR first_year IS NULL OR first_year <= year), geoid) AS rk FROM named, years)
+SELECT loc, n, geoid, first_year FROM ranked WHERE rk = 1"""
 ORACLE["multiple_match"] = with_views("part_gaz") + ",\n" + HOMONYMS + """
 SELECT loc, CASE WHEN count(*) = 1 THEN 'STRONG_MATCH' ELSE 'MULTIPLE_MATCHES' END AS result, count(*) AS candidates
 FROM ranked GROUP BY loc"""

@@ -305,6 +305,16 @@ def exact_match(spark, d):
     return found.select("loc", match.exact_result(F.col("n")).alias("result"), F.col("n").alias("candidates"), "best.geoid", "best.score")
 
 
+@query
+def asof_match(spark, d):
+    """Products of one name that came into use in different years, asked for in every year of an order."""
+    rows = _part_rows(spark, d, country="'EVERYWHERE'").withColumn("first_year", F.expr("CASE WHEN substring(geoid, 2) % 11 = 0 THEN NULL ELSE CAST(1993 + substring(geoid, 2) * 7 % 9 AS INT) END"))
+    years = view(spark, d, "raw_places").select(F.col("event_year").alias("year")).distinct().unionByName(spark.range(1).select(F.lit(0).alias("year")))
+    names = match.distinct_locations(_part_locations(rows.select(F.lit("EVERYWHERE").alias("country"), "name")))
+    asked = names.join(F.broadcast(years.agg(F.collect_set("year").alias("years")).withColumn("m_tier", F.lit(3))), "m_tier").withColumn("year", F.explode("years")).withColumn("loc", F.concat_ws("|", "m_name", "year"))
+    return match.with_exact(asked.select("loc", *match.LOCATION, "year"), rows).select("loc", "n", "best.geoid", "best.first_year")
+
+
 @query
 def city_without_county(spark, d):
     """Cities asked for by three parts, which read as a county."""

@@ -32,14 +32,26 @@ def first_occurrence(places: DataFrame, order: list[str], keep: list[str]) -> Da
     ).select("key", "n", *[F.col(f"first.{c}").alias(f"first_{c}") for c in (*order, *keep)])
 
 
-def distinct_texts(places: DataFrame, text: str = "place_text") -> DataFrame:
-    """(place_text, n, key): the distinct texts with their row counts; only these are normalised, not the rows."""
-    return places.groupBy(F.col(text).alias("place_text")).agg(F.count("*").alias("n")).withColumn("key", normalize(F.col("place_text")))
+def distinct_texts(places: DataFrame, text: str = "place_text", order: tuple[str, ...] = ()) -> DataFrame:
+    """(place_text, n, key): the distinct texts with their row counts; only these are normalised, not the rows.
+
+    With ``order``, also ``first``: what comes first by it, with its event year.
+    """
+    first = [F.min(F.struct(*order, "event_year")).alias("first")] if order else []
+    return places.groupBy(F.col(text).alias("place_text")).agg(F.count("*").alias("n"), *first).withColumn("key", normalize(F.col("place_text")))
 
 
 def distinct_keys(texts: DataFrame) -> DataFrame:
-    """(key, n, sample): the distinct keys, their row counts and one text each, the least, to read the parts from."""
-    return texts.groupBy("key").agg(F.sum("n").alias("n"), F.min("place_text").alias("sample"))
+    """(key, n, sample): the distinct keys, their row counts and one text each, the least, to read the parts from; and ``first``, if known."""
+    first = [F.min("first").alias("first")] if "first" in texts.columns else []
+    return texts.groupBy("key").agg(F.sum("n").alias("n"), F.min("place_text").alias("sample"), *first)
+
+
+def distinct_locations(parsed: DataFrame) -> DataFrame:
+    """The distinct locations; with ``year``, the event year of the first place that asks for each, if that is known."""
+    if "first" not in parsed.columns:
+        return parsed.select("loc", *LOCATION).distinct()
+    return parsed.groupBy("loc", *LOCATION).agg(F.min("first").alias("first")).select("loc", *LOCATION, F.coalesce("first.event_year", F.lit(0)).alias("year"))
 
 
 def parse_place(df: DataFrame, text: str = "place_text") -> DataFrame:
@@ -120,15 +132,38 @@ def key_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_candidate(F.lit(EXACT))).alias("best"))
 
 
+def key_summary_by_year(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, best, steps): as :func:`key_summary`, and the best for each first year there is under a key.
+
+    A key has at most as many steps as years in which names came into use, however many rows bear it.
+    """
+    by_year = key_summary(rows, [*keys, "first_year"])
+    return by_year.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("best").alias("best"), F.collect_list(F.struct("first_year", "best")).alias("steps"))
+
+
+def as_of(best: Column, steps: Column, year: Column, pad_years: int = 0) -> Column:
+    """The best among those whose names were in use in ``year``; without any, the best of all."""
+    in_use = F.filter(steps, lambda s: valid_year(year, s["first_year"], pad_years))
+    return F.coalesce(F.array_min(F.transform(in_use, lambda s: s["best"])), best)
+
+
 def best_each(candidates: DataFrame) -> DataFrame:
     """(loc, score, candidate fields): each place once per location, with its best score."""
     best = candidates.groupBy("loc", "geoid").agg(F.min(_candidate(F.col("score"))).alias("cand"))
     return best.select("loc", "cand.*")
 
 
-def summary(candidates: DataFrame) -> DataFrame:
-    """(loc, n, best) of candidate rows: how many a location has, and the best by score, then geoid."""
-    return candidates.groupBy("loc").agg(F.count("*").alias("n"), F.min(_candidate(F.col("score"))).alias("best"))
+def summary(candidates: DataFrame, years: DataFrame | None = None, pad_years: int = 0, **salting) -> DataFrame:
+    """(loc, n, best) of candidate rows: how many a location has, and the best by score, then geoid.
+
+    With ``years`` (loc, year), of equal scores a name that was in use in that year comes before one that wasn't.
+    """
+    if years is None:
+        return candidates.groupBy("loc").agg(F.count("*").alias("n"), F.min(_candidate(F.col("score"))).alias("best"))
+    dated = salted_join(candidates, years.select("loc", "year"), ["loc"], spread=["geoid"], **salting)
+    late = ~valid_year(F.col("year"), F.col("first_year"), pad_years)
+    found = dated.groupBy("loc").agg(F.count("*").alias("n"), F.min(F.struct("score", late.alias("late"), _candidate(F.col("score")).alias("best"))).alias("least"))
+    return found.select("loc", "n", "least.best")
 
 
 def ranked(candidates: DataFrame, by: str = "loc") -> DataFrame:
@@ -159,21 +194,25 @@ def _cities(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("m_tier") == CITY)
 
 
-def with_exact(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+def with_exact(locations: DataFrame, rows: DataFrame, pad_years: int = 0, **salting) -> DataFrame:
     """Add ``n``, ``best`` and ``lookup`` by equality of all parts ("full"), else of a city's name, admin1 and country ("city").
 
     The second is for cities with a wrong or missing admin2, and for texts of three parts, whose first may be a city as well
-    as a county. A location that is settled by the first lookup takes a key of its own into the second.
+    as a county. A location that is settled by the first lookup takes a key of its own into the second. Where locations have a ``year``,
+    the best is the best as of that year.
     """
-    full = key_summary(rows, LOCATION).withColumnsRenamed({"n": "_n_full", "best": "_full"})
-    loose = key_summary(_cities(rows), LOOSE[1:]).withColumnsRenamed({"n": "_n_loose", "best": "_loose", "m_name": "_name"})
+    dated = "year" in locations.columns
+    summed = key_summary_by_year if dated else key_summary
+    full = summed(rows, LOCATION).withColumnsRenamed({"n": "_n_full", "best": "_full", "steps": "_full_steps"})
+    loose = summed(_cities(rows), LOOSE[1:]).withColumnsRenamed({"n": "_n_loose", "best": "_loose", "m_name": "_name", "steps": "_loose_steps"})
     again = F.col("_full").isNull() & (F.col("m_tier") >= 2)
     tried = locations.join(full, LOCATION, "left").withColumn("_name", F.when(again, F.col("m_name")).otherwise(F.concat(F.lit("="), "loc")))
     key = [*LOOSE[1:3], "_name"]
     counts = locations.groupBy(*LOOSE[1:3], F.col("m_name").alias("_name")).agg(F.count("*").alias("n"))
     found = salted_join(tried, loose, key, spread=["loc"], counts=counts, **salting)
+    best = lambda c: as_of(F.col(c), F.col(f"{c}_steps"), F.col("year"), pad_years) if dated else F.col(c)
     return found.select(
-        *locations.columns, F.coalesce("_n_full", "_n_loose").alias("n"), F.coalesce("_full", rescored(F.col("_loose"), F.lit(PER_PART))).alias("best"),
+        *locations.columns, F.coalesce("_n_full", "_n_loose").alias("n"), F.coalesce(best("_full"), rescored(best("_loose"), F.lit(PER_PART))).alias("best"),
         F.when(F.col("_full").isNotNull(), "full").when(F.col("_loose").isNotNull(), "city").alias("lookup"),
     )
 

@@ -11,18 +11,19 @@ HOT_ROWS = 200_000
 SHARE = 4
 
 
-def hot_keys(counts: DataFrame, on: list[str], count: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(on, salts): the keys that hold too many rows for one task, and into how many parts each is cut.
+def hot_keys(counts: DataFrame, on: list[str], count: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(on, salts): the keys that hold too many rows for one task, and into how many parts each is cut; None without such keys.
 
     Too many are more than ``hot_rows`` and more than a quarter of an even partition's share of all rows. So there are at
-    most four such keys for each shuffle partition, whatever the data, and no part is larger than that share. ``counts`` is worked out once:
-    what is staged of it is a row for each key of more than ``hot_rows``, and one for all others.
+    most four such keys for each shuffle partition, whatever the data, and no part is larger than that share. What comes to the driver is two
+    numbers: the rows there are, and those of the most frequent key.
     """
     partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = F.when(F.col(count) > hot_rows, F.struct(*on)).alias("key")
-    lumps = stage(counts.groupBy(many).agg(F.sum(count).alias("rows")), "key-counts")
-    most = F.greatest(F.lit(hot_rows), F.coalesce(F.ceil(lumps.agg(F.sum("rows")).scalar() / (SHARE * partitions)), F.lit(0)))
-    return lumps.where(F.col("key").isNotNull() & (F.col("rows") > most)).select("key.*", F.ceil(F.col("rows") / most).cast("int").alias("salts"))
+    total, top = counts.agg(F.sum(count), F.max(count)).first()
+    most = max(hot_rows, -(-int(total or 0) // (SHARE * partitions)))
+    if (top or 0) <= most:
+        return None
+    return stage(counts.where(F.col(count) > most).select(*on, F.ceil(F.col(count) / most).cast("int").alias("salts")), "hot-keys")
 
 
 def salted_join(
@@ -38,7 +39,7 @@ def salted_join(
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias(count))
     found = hot_keys(counts, on, count, hot_rows)
-    if found.isEmpty():
+    if found is None:
         return rows.join(table, on, how)
     hot = F.broadcast(found.withColumnRenamed("salts", "_salts"))
     left = rows.join(hot, on, "left").withColumn(

@@ -64,15 +64,18 @@ def events_by_century(places: DataFrame) -> DataFrame:
 
 def resolve_locations(
     locations: DataFrame, rows: DataFrame, countries: DataFrame, fuzzy: bool = True, vocabulary: DataFrame | None = None, filed: DataFrame | None = None,
+    pad_years: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(loc, result, stage, n, best) for distinct locations, and the candidate rows (loc, score, fields) behind them.
 
     Cheap equality lookups first; each later stage sees only what the earlier ones left open. What a stage leaves is
-    staged, since the next stage and the result both read it. Candidate rows are worked out for listings only.
+    staged, since the next stage and the result both read it. Candidate rows are worked out for listings only. Where locations have a
+    ``year``, names in use in it come first among equal candidates, in every stage.
     """
+    years = locations.select("loc", "year") if "year" in locations.columns else None
     supported = F.col("support").isNull()
     checked = match.country_support(locations, countries)
-    tried = stage(match.with_exact(checked.where(supported).drop("support"), rows), "exact")
+    tried = stage(match.with_exact(checked.where(supported).drop("support"), rows, pad_years), "exact")
     outcome = ("result", "stage", "n", "best")
     unsupported = checked.where(~supported).select(
         "loc", F.col("support").alias("result"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("long").alias("n"), F.lit(None).cast(tried.schema["best"].dataType).alias("best"))
@@ -90,7 +93,7 @@ def resolve_locations(
         for name, result, find in stages:
             asked = wild if name == "WILDCARD" else open_
             hits = stage(find(asked if name == "SPELLING" else match.also_as_cities(asked), rows), "candidates")
-            looked = stage(asked.join(match.summary(hits), "loc", "left"), "looked")
+            looked = stage(asked.join(match.summary(hits, years, pad_years), "loc", "left"), "looked")
             found = found.unionByName(looked.where("best IS NOT NULL").select("loc", F.lit(result).alias("result"), F.lit(name).alias("stage"), "n", "best"))
             candidates = candidates.unionByName(hits)
             rest = looked.where("best IS NULL").select("loc", *match.LOCATION)
@@ -132,14 +135,16 @@ class Settled:
 
 def settle(
     places: DataFrame, replacements: DataFrame, skips: DataFrame, rows: DataFrame, countries: DataFrame,
-    fuzzy: bool = True, rules: Column | None = None, vocabulary: DataFrame | None = None, filed: DataFrame | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"), **salting,
+    fuzzy: bool = True, rules: Column | None = None, vocabulary: DataFrame | None = None, filed: DataFrame | None = None, spread: tuple[str, ...] = ("file", "rec", "pos"),
+    pad_years: int = 0, **salting,
 ) -> Settled:
     """Settle every place row of ``places`` (place_text and whatever else it has).
 
     Work narrows step by step: rows to distinct texts, texts to distinct keys, keys to distinct locations, each counted
-    with a map-side combine. The ways back up meet popular texts, so they are salted by counts already taken.
+    with a map-side combine. The ways back up meet popular texts, so they are salted by counts already taken. A location is looked up
+    once, as of the event year of the first place, by ``spread``, that asks for it.
     """
-    texts = stage(match.distinct_texts(places), "texts")
+    texts = stage(match.distinct_texts(places, order=spread if "event_year" in places.columns else ()), "texts")
     status = lookup.apply_tables(match.distinct_keys(texts), replacements, skips)
     looked_up = F.col("repl_result").isNull() & ~F.col("skipped") & (F.col("key") != "")
     # Texts that are not looked up get a location of their own, so that they do not all join on null.
@@ -147,7 +152,7 @@ def settle(
         match.with_location(status, sample="sample").withColumn("looked_up", looked_up)
         .withColumn("loc", F.when(F.col("looked_up"), F.col("loc")).otherwise(F.concat(F.lit("="), "key"))), "keys"
     )
-    found, candidates = resolve_locations(parsed.where("looked_up").select("loc", *match.LOCATION).distinct(), rows, countries, fuzzy, vocabulary, filed)
+    found, candidates = resolve_locations(match.distinct_locations(parsed.where("looked_up")), rows, countries, fuzzy, vocabulary, filed, pad_years)
     resolved = salted_join(parsed, found.withColumnRenamed("n", "n_candidates"), ["loc"], spread=["key"], **salting)
 
     result = F.when(F.col("repl_result").isNotNull(), F.col("repl_result")).when(F.col("key") == "", "DELETE").when(F.col("skipped"), None).otherwise(F.col("result"))
@@ -171,7 +176,7 @@ def settle(
         decided.withColumn("long_name", F.when(written, name))
         .withColumn("text", F.when(written, tx.output_text(F.col("prefix"), F.col("long_name")))).drop("_rules"), "settled_keys"
     )
-    by_text = salted_join(texts.drop("n"), keys.drop("n", "n_candidates", "loc", "stage"), ["key"], spread=["place_text"], how="inner", **salting)
+    by_text = salted_join(texts.drop("n", "first"), keys.drop("n", "n_candidates", "loc", "stage"), ["key"], spread=["place_text"], how="inner", **salting)
     return Settled(salted_join(places, by_text, ["place_text"], spread=list(spread), counts=texts, **salting), keys, candidates)
 
 
@@ -234,7 +239,7 @@ def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Set
     order = "seq" if "seq" in tables.replacements.columns else "key"
     replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements, order), gazetteer)
     rows = stage(match.searchable(gazetteer, tables.validity), "searchable")
-    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=tables.vocabulary, filed=tables.spelling_index)
+    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=tables.vocabulary, filed=tables.spelling_index, pad_years=tables.pad_years)
     return Settled(stage(settled.rows, "settled"), settled.keys, settled.candidates)
 
 

@@ -338,3 +338,26 @@ def test_a_leading_star_on_a_hot_country(spark):
     for r in got.collect():
         counts[r.loc.rsplit("|", 1)[1]] = counts.get(r.loc.rsplit("|", 1)[1], 0) + 1
     assert counts == {"*9": 50, "*": 501, "*over": 1}
+
+
+@pytest.mark.parametrize("year, geoid", [(0, "a"), (1700, "a"), (1850, "b"), (1890, "b"), (1900, "a")])
+def test_names_in_use_in_the_year_come_first(spark, year, geoid):
+    hits = spark.createDataFrame([("x", 5.0, g, "n", 1.0, 2.0, *["t"] * 1, 3, *["t"] * 6, first) for g, first in (("a", 1900), ("b", 1800))] + [("x", 9.0, "c", "n", 1.0, 2.0, "t", 3, *["t"] * 6, 1)],
+                                 "loc STRING, score DOUBLE, geoid STRING, name STRING, lat DOUBLE, lon DOUBLE, feature STRING, tier INT, country_iso STRING, country_name STRING, admin1_id STRING, admin1_name STRING, admin2_id STRING, admin2_name STRING, first_year INT")
+    row = match.summary(hits, spark.createDataFrame([("x", year)], "loc STRING, year INT")).first()
+    assert (row.n, row.best.geoid, row.best.score) == (3, geoid, 5.0)
+
+
+@pytest.mark.parametrize("year, geoid", [(1850, "b")])
+def test_the_year_reaches_every_stage(spark, countries, year, geoid):
+    """Two of one name, the lesser geoid in use from 1900, the other from 1800; before that neither is."""
+    rows = [(g, "Dover", "PPL", "gb", "United Kingdom", "ENG", "England", county, "Kent", 1.0, 2.0, "dover", 3, first) for g, county, first in (("a", "K1", 1900), ("b", "K2", 1800))]
+    gaz = spark.createDataFrame(rows, "geoid STRING, name STRING, feature STRING, country_iso STRING, country_name STRING, admin1_id STRING, admin1_name STRING, admin2_id STRING, admin2_name STRING, lat DOUBLE, lon DOUBLE, norm STRING, tier INT, first_year INT")
+    searchable = match.searchable(gaz.drop("first_year")).drop("first_year").join(gaz.select("geoid", "first_year"), "geoid")
+    texts = ["Dover,Kent,England,United Kingdom", "Dover,Essex,England,United Kingdom", "Dov*,Kent,England,United Kingdom", "Old Dover,Kent,England,United Kingdom", "Dofer,Kent,England,United Kingdom"]
+    repl, skips = no_tables(spark, gaz)
+    later = [("g", 0, i, t, 1 if year == 0 else 0 if i % 2 else 2000) for i, t in enumerate(texts)]  # what comes after the first doesn't matter
+    places = place_rows(spark, texts, dict.fromkeys(texts, year)).unionByName(spark.createDataFrame(later, "file STRING, rec LONG, pos LONG, place_text STRING, event_year INT"))
+    out = jobs.settle(places, repl, skips, searchable, countries)
+    assert {r.stage for r in out.keys.collect()} == {"EXACT", "WILDCARD", "PARTIAL", "SOUNDEX"}
+    assert {r.geoid for r in out.keys.collect()} == {geoid}
