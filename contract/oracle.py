@@ -154,6 +154,28 @@ evts AS (SELECT -1 AS seq, key, 'save' AS op, 'BASE' AS geoid, 'base' AS prefix
 SELECT 'replace' AS list, key, concat('@', arg_max(geoid, seq) FILTER (WHERE op <> 'prefix'), '@', arg_max(prefix, seq)) AS val
 FROM evts GROUP BY key HAVING count(*) FILTER (WHERE op <> 'prefix') > 0
 UNION ALL SELECT DISTINCT 'skip', {norm('key')}, ' ' FROM decisions WHERE op = 'skip'"""
+_CODE = "left(n_name, 2)"
+ORACLE["table_upsert"] = with_views("decisions", "gaz") + f""",
+base AS (SELECT DISTINCT lower(key) AS key FROM decisions),
+evts AS (SELECT -1 AS seq, key, 'save' AS op, 'BASE' AS geoid, 'base' AS prefix FROM base
+         UNION ALL SELECT seq, {norm('key')}, op, CASE op WHEN 'delete' THEN '' ELSE geoid END, CASE op WHEN 'delete' THEN '' ELSE prefix END
+         FROM decisions WHERE op IN ('save', 'delete', 'prefix')),
+changes AS (
+SELECT 'replacements' AS list, 1 AS seq, key, concat('@', arg_max(geoid, seq) FILTER (WHERE op <> 'prefix'), '@', arg_max(prefix, seq)) AS val
+FROM evts GROUP BY key HAVING count(*) FILTER (WHERE op <> 'prefix') > 0
+UNION ALL SELECT 'skips', 1, {norm('key')}, ' ' FROM decisions WHERE op = 'skip'
+UNION ALL SELECT 'features', 0, upper(feature), '' FROM gaz
+UNION ALL SELECT 'features', 1 + n_nationkey, upper(trim({_CODE})), CASE WHEN n_nationkey % 3 > 0 THEN '' END FROM nation
+UNION ALL SELECT 'features', 1, 'ADM2', NULL
+UNION ALL SELECT 'languages', 0, lower(lang), '' FROM documents
+UNION ALL SELECT 'languages', 1, lower(source), '' FROM documents
+UNION ALL SELECT 'languages', 2, lower({_CODE}), '' FROM nation
+UNION ALL SELECT 'languages', 3, 'en', NULL
+UNION ALL SELECT 'rules', 0, n_name, 'x' FROM nation
+UNION ALL SELECT 'rules', 1 + n_nationkey, concat('New ', {_CODE}), concat('N', n_nationkey) FROM nation
+UNION ALL SELECT 'countries', 0, lower(n_name), ' ' FROM nation
+UNION ALL SELECT 'countries', 1 + n_nationkey, lower({_CODE}), lower(n_name) FROM nation)
+SELECT list, key, val FROM (SELECT * FROM changes WHERE list <> 'languages' OR length(key) = 2 QUALIFY row_number() OVER (PARTITION BY list, key ORDER BY seq DESC) = 1) AS x WHERE val IS NOT NULL"""
 ORACLE["dict_delete"] = with_views("repl") + " SELECT key, val FROM repl WHERE val <> '@@'"
 
 _LONG = lambda t="": f"""concat_ws(', ', CASE WHEN {t}tier >= 3 THEN {t}name END, nullif({t}admin2, ''), nullif({t}admin1, ''), {t}country)"""

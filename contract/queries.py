@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from placewright.operators import context, disposition, hierarchy, lookup, match
 from placewright.operators.skew import salted_join
 from placewright.plans import jobs
 from placewright.sources import gazetteer as gaz_source
-from placewright.sources import gedcom, gramps, writers
+from placewright.sources import gedcom, gramps, tables, writers
+from placewright import workspace
 from placewright.workspace import stage
 
 QUERIES = {}
@@ -232,6 +234,33 @@ def dict_upsert(spark, d):
     return replaced.select(F.lit("replace").alias("list"), "key", "val").unionByName(skipped.select(F.lit("skip").alias("list"), "key", "val"))
 
 
+@query
+def table_upsert(spark, d):
+    """All six lookup tables, kept in buckets: a first version, then additions and removals, then read back."""
+    nation, decisions = spark.read.parquet(f"{d}/nation.parquet"), view(spark, d, "decisions")
+    key, none = F.lower("key"), F.lit(None).cast("string")
+    rows = lambda df, seq, key, val: df.select(F.expr(seq).cast("long").alias("seq"), key.alias("key"), val.alias("val"))
+    base = decisions.select(key.alias("key"), F.lit("@BASE@base").alias("val")).distinct()
+    docs, code = spark.read.parquet(f"{d}/documents.parquet"), F.substring("n_name", 1, 2)
+    parts = {
+        "replacements": (rows(base, "0", F.col("key"), F.col("val")), rows(lookup.upsert_replacements(base, decisions), "1", F.col("key"), F.col("val"))),
+        "skips": (rows(base.limit(0), "0", F.col("key"), F.col("val")), rows(lookup.upsert_skips(base.where("false"), decisions), "1", F.col("key"), F.col("val"))),
+        "features": (rows(view(spark, d, "gaz"), "0", F.col("feature"), F.lit("")), rows(nation, "n_nationkey", F.concat(F.lit(" "), code), F.when(F.col("n_nationkey") % 3 > 0, "")).unionByName(
+            rows(nation, "1", F.lit("adm2"), none)).unionByName(rows(nation, "1", F.lit(" "), F.lit("")))),
+        "languages": (rows(docs, "0", F.upper("lang"), F.lit("")), rows(docs, "1", F.col("source"), F.lit("")).unionByName(rows(nation, "2", code, F.lit(""))).unionByName(rows(nation, "3", F.lit("EN"), none))),
+        "rules": (rows(nation, "n_nationkey", F.col("n_name"), F.lit("x")), rows(nation, "n_nationkey", F.concat(F.lit("New "), code), F.concat(F.lit("N"), "n_nationkey"))),
+        "countries": (rows(nation, "n_nationkey", F.lit(" "), F.col("n_name")), rows(nation, "n_nationkey", F.concat(code, F.lit(" ")), F.col("n_name"))),
+    }
+    out = None
+    for name, (first, more) in parts.items():
+        path = f"{workspace.folder(spark)}/table-{uuid.uuid4().hex}"
+        version = tables.merge(lookup.added(name, first), path, 0)
+        tables.merge(lookup.added(name, more), path, version)
+        read = tables.read_merged(spark, path)[0].select(F.lit(name).alias("list"), "key", "val")
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 @query
 def dict_delete(spark, d):
     gone = view(spark, d, "repl").where("val = '@@'").select("key")

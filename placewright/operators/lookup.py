@@ -100,6 +100,28 @@ def upsert_skips(table: DataFrame, decisions: DataFrame) -> DataFrame:
     return upsert(table, added)
 
 
+#: The lookup tables and how an added key is written: replacements, skips, feature codes, languages, output rules, countries by code.
+KEY_FORMS = {
+    "replacements": normalize, "skips": normalize, "features": lambda key: F.upper(F.trim(key)), "languages": F.lower, "rules": lambda key: key,
+    "countries": lambda key: F.lower(F.trim(key)),
+}
+
+
+def added(table: str, additions: DataFrame) -> DataFrame:
+    """(seq, key, val): what a person adds (seq, key, val) to a lookup table, in the form the table has; a null ``val`` takes the key away.
+
+    Features and languages have no value. Blank keys are ignored, and so are language codes that aren't two letters. A country without a
+    code is kept under its name with a blank value.
+    """
+    key, val = F.col("key"), F.col("val")
+    if table == "countries":
+        key, val = F.when(F.trim(key) == "", val).otherwise(key), F.when(F.trim(key) == "", F.lit(" ")).otherwise(F.lower(F.trim(val)))
+    elif table in ("features", "languages"):
+        val = F.when(val.isNotNull(), F.lit(""))
+    out = additions.select(F.col("seq").cast("long").alias("seq"), KEY_FORMS[table](key).alias("key"), val.alias("val")).where("trim(key) != ''")
+    return out.where(F.length("key") == 2) if table == "languages" else out
+
+
 def delete_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys.select("key").distinct(), "key", "left_anti")
 

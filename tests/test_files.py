@@ -235,3 +235,46 @@ def test_lookup_tables_keep_versions(spark, tmp_path):
         assert tables.write_table(more, path) == version
     table, missing = tables.read_table(spark, path)
     assert not missing and sorted(r.key for r in table.collect()) == ["k1", "k2"]
+
+
+def changes(spark, *rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq LONG, key STRING, val STRING")
+
+
+def test_a_merge_replaces_only_the_buckets_it_changes(spark, tmp_path):
+    path = str(tmp_path / "table")
+    empty, none = tables.read_merged(spark, path)
+    assert none == 0 and empty.count() == 0 and empty.columns == ["key", "val"]
+    assert tables.merge(changes(spark, *[(f"k{i}", "old") for i in range(300)]), path) == 1
+    before = tables.layout(spark, path, 1)
+    assert len(before) == tables.BUCKETS
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("part-*.parquet")}
+    assert tables.merge(changes(spark, ("k7", "first"), ("k7", "new"), ("k8", None), ("more", "x"), ("gone", None)), path, 1) == 2
+    rows = {r.key: r.val for r in tables.read_merged(spark, path)[0].collect()}
+    assert rows == {f"k{i}": "old" for i in range(300) if i != 8} | {"k7": "new", "more": "x"}
+    after = tables.layout(spark, path, 2)
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 4
+    assert {p: p.stat().st_mtime_ns for p in stamps} == stamps
+    assert tables.read_merged(spark, path, 1)[0].where("key = 'k8'").count() == 1  # the old version can still be read
+
+
+def test_a_bucket_may_lose_all_its_rows(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.merge(changes(spark, ("a", "1")), path)
+    tables.merge(changes(spark, ("a", None)), path)
+    assert tables.read_merged(spark, path)[0].count() == 0
+    assert tables.merge(changes(spark, ("a", "2")), path) == 3 and tables.read_merged(spark, path)[0].first().val == "2"
+
+
+def test_of_two_writers_on_one_version_one_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    tables.merge(changes(spark, ("a", "1")), path)
+    plain = tables.versions
+    monkeypatch.setattr(tables, "versions", lambda *a: [1])  # what both saw before either wrote
+    assert tables.merge(changes(spark, ("a", "mine")), path, 1) == 2
+    with pytest.raises(tables.VersionConflict):
+        tables.merge(changes(spark, ("a", "theirs")), path, 1)
+    monkeypatch.setattr(tables, "versions", plain)
+    with pytest.raises(tables.VersionConflict):
+        tables.merge(changes(spark, ("a", "late")), path, 1)
+    assert [tuple(r) for r in tables.read_merged(spark, path)[0].collect()] == [("a", "mine")]
