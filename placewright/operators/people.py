@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placewright.operators.context import _set_by_line
 from placewright.operators.running import carry_last
 from placewright.operators.skew import salted_join
+from placewright.workspace import stage
 
 # Fixed value: pointers are followed this many steps beyond the first lookup.
 POINTER_STEPS = 4
@@ -24,11 +25,11 @@ def person_names(lines: DataFrame, **running) -> DataFrame:
     )
 
 
-def resolve_pointers(names: DataFrame) -> DataFrame:
+def resolve_pointers(names: DataFrame, **salting) -> DataFrame:
     """Replace names that are pointers to other ids; null where a pointer leads to no entry.
 
-    The steps run over the distinct pointers, which are unique on both sides of each join. Only the last join, back to
-    the records, can meet a popular target, and that one is salted.
+    The steps run over the distinct pointers. After the first step many of them may have reached one id, and in the last join, back to
+    the records, one pointer may be that of many; both are salted.
     """
     points = F.startswith("name", F.lit("@"))
     direct = names.where(~points)
@@ -39,13 +40,11 @@ def resolve_pointers(names: DataFrame) -> DataFrame:
     chain = pending.select("file", F.col("name").alias("target")).distinct().withColumn("reached", F.col("target"))
     for _ in range(POINTER_STEPS):
         open_ = F.startswith("reached", F.lit("@"))
-        chain = (
-            chain.withColumn("_at", F.when(open_, F.col("reached")).otherwise(settled))
-            .join(entries, ["file", "_at"], "left")
-            .select("file", "target", F.when(open_, F.col("_next")).otherwise(F.col("reached")).alias("reached"))
-        )
+        placed = chain.withColumn("_at", F.when(open_, F.col("reached")).otherwise(settled))
+        chain = stage(salted_join(placed, entries, ["file", "_at"], spread=["target"], **salting).select(
+            "file", "target", F.when(open_, F.col("_next")).otherwise(F.col("reached")).alias("reached")), "pointers")
     followed = salted_join(
-        pending.withColumnRenamed("name", "target"), chain, ["file", "target"], spread=["id"]
+        pending.withColumnRenamed("name", "target"), chain, ["file", "target"], spread=["id"], **salting
     ).select("file", "id", F.col("reached").alias("name"))
     return direct.select("file", "id", "name").unionByName(followed)
 

@@ -22,7 +22,7 @@ from placewright.workspace import stage
 @dataclass
 class Tables:
     """Lookup tables of a run. ``replacements``, ``skips``: (key, val). ``countries``: (n_country, supported) over all
-    countries. ``validity``: (country_iso, admin1_id, first_year). ``rules``: (seq, orig, repl), few. A ``seq`` column in
+    countries; with a ``country_iso`` too, only the files of the countries that are asked for are read from a gazetteer laid out by country. ``validity``: (country_iso, admin1_id, first_year). ``rules``: (seq, orig, repl), few. A ``seq`` column in
     ``replacements`` is the order in which the last of equal keys wins. ``vocabulary`` and ``spelling_index``: what :func:`build_spelling` wrote.
     ``pad_years``: years by which an event may come before a name without being flagged."""
 
@@ -234,12 +234,33 @@ def hierarchy_places(settled: DataFrame, gazetteer: DataFrame) -> DataFrame:
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 
+#: Countries that a list of files is cut down to; of more, all are read.
+MOST_COUNTRIES = 1000
+
+
+def of_asked_countries(gazetteer: DataFrame, places: DataFrame, countries: DataFrame) -> DataFrame:
+    """The rows of the countries that ``places`` name, as a filter on ``country_iso`` that the reader prunes folders with.
+
+    Everything is looked up within its country, so the other rows can't be found. All rows stay where the countries come without codes, or a
+    place has a pattern as its country.
+    """
+    if "country_iso" not in countries.columns:
+        return gazetteer
+    last = places.select(F.substring_index("place_text", ",", -1).alias("part")).distinct()
+    asked = stage(last.select(tx.normalize(F.col("part")).alias("n_country")).distinct(), "asked-countries")
+    if not asked.where(F.contains("n_country", F.lit("*"))).isEmpty():
+        return gazetteer
+    codes = [r[0] for r in countries.join(asked, "n_country", "left_semi").select(F.lower("country_iso")).distinct().limit(MOST_COUNTRIES + 1).collect()]
+    return gazetteer if len(codes) > MOST_COUNTRIES else gazetteer.where(F.col("country_iso").isin(sorted(codes)))
+
+
 def _settle_with(places: DataFrame, gazetteer: DataFrame, tables: Tables) -> Settled:
     skips = tables.skips.select(tx.normalize(F.col("key")).alias("key"), "val")
     order = "seq" if "seq" in tables.replacements.columns else "key"
     replacements = lookup.resolve_replacements(lookup.rekey(tables.replacements, order), gazetteer)
-    rows = stage(match.searchable(gazetteer, tables.validity), "searchable")
-    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=tables.vocabulary, filed=tables.spelling_index, pad_years=tables.pad_years)
+    rows = stage(match.searchable(of_asked_countries(gazetteer, places, tables.countries), tables.validity), "searchable")
+    words = tables.vocabulary if tables.vocabulary is not None else spelling.vocabulary(gazetteer, "norm")
+    settled = settle(places, replacements, skips, rows, tables.countries, rules=rule_list(tables.rules), vocabulary=words, filed=tables.spelling_index, pad_years=tables.pad_years)
     return Settled(stage(settled.rows, "settled"), settled.keys, settled.candidates)
 
 

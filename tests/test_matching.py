@@ -361,3 +361,29 @@ def test_the_year_reaches_every_stage(spark, countries, year, geoid):
     out = jobs.settle(places, repl, skips, searchable, countries)
     assert {r.stage for r in out.keys.collect()} == {"EXACT", "WILDCARD", "PARTIAL", "SOUNDEX"}
     assert {r.geoid for r in out.keys.collect()} == {geoid}
+
+
+def test_files_of_countries_that_nobody_asks_for_are_not_read(spark, gazetteer, countries, tmp_path):
+    path = str(tmp_path / "gaz")
+    gazetteer.write.partitionBy("country_iso").parquet(path)
+    stored = spark.read.schema(gazetteer.schema).parquet(path)
+    for part in (tmp_path / "gaz" / "country_iso=ca").glob("part-*"):
+        part.write_bytes(b"not a table")
+        (part.parent / f".{part.name}.crc").unlink()
+    coded = countries.withColumn("country_iso", F.when(F.col("n_country") == "canada", "CA").when(F.col("n_country") == "france", "FR").otherwise("GB"))
+    here = place_rows(spark, ["Dover, Kent, England,  united KINGDOM", "Nowhere", "Paris, France", ""])
+    assert {r.geoid for r in jobs.of_asked_countries(stored, here, coded).collect()} == {f"g{i}" for i in range(1, 6)}
+    for texts in (["St. Andrews, Canada"], ["Dover, Un*"]):
+        with pytest.raises(Exception, match="(?i)parquet"):
+            jobs.of_asked_countries(stored, place_rows(spark, texts), coded).collect()
+    assert jobs.of_asked_countries(stored, here, countries) is stored
+    assert jobs.of_asked_countries(stored, place_rows(spark, ["Nowhere"]), coded).count() == 0
+
+
+def test_pointers_that_lead_to_one_id_are_spread(spark):
+    from placewright.operators import people
+
+    names = [("f", "@I1@", "Ann /Lee/")] + [("f", f"@F{i}@", "@I1@" if i % 2 else f"@F{i + 1}@") for i in range(200)] + [("f", "@X@", "@none@")]
+    frame = spark.createDataFrame(names, "file STRING, id STRING, name STRING")
+    got = {r.id: r.name for r in people.resolve_pointers(frame, hot_rows=10).collect()}
+    assert got == {"@I1@": "Ann /Lee/", "@X@": None} | {f"@F{i}@": "Ann /Lee/" for i in range(200)}

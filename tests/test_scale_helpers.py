@@ -50,6 +50,7 @@ def test_hot_key_is_spread(spark):
     rows = spark.range(2000).select(F.lit(1).alias("k"), "id")
     hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], hot_rows=100)
     assert [tuple(r) for r in hot.collect()] == [(1, 16)]  # four parts for each of four partitions
+    assert hot_keys(spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("n")), ["k"], hot_rows=100) is None
     joined = salted_join(rows, spark.createDataFrame([(1, "v")], "k INT, v STRING"), ["k"], spread=["id"], hot_rows=100)
     assert joined.where("v = 'v'").count() == 2000
 
