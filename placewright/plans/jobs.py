@@ -69,7 +69,7 @@ def resolve_locations(
     """(loc, result, stage, n, best) for distinct locations, and the candidate rows (loc, score, fields) behind them.
 
     Cheap equality lookups first; each later stage sees only what the earlier ones left open. What a stage leaves is
-    staged, since the next stage and the result both read it. Candidate rows are worked out for listings only. Where locations have a
+    staged, since the next stage and the result both read it; a stage that nothing is left for is passed over. Candidate rows are worked out for listings only. Where locations have a
     ``year``, names in use in it come first among equal candidates, in every stage.
     """
     years = locations.select("loc", "year") if "year" in locations.columns else None
@@ -92,6 +92,8 @@ def resolve_locations(
         wild, open_ = left.where(patterns), left.where(~patterns)
         for name, result, find in stages:
             asked = wild if name == "WILDCARD" else open_
+            if asked.isEmpty():
+                continue
             hits = stage(find(asked if name == "SPELLING" else match.also_as_cities(asked), rows), "candidates")
             looked = stage(asked.join(match.summary(hits, years, pad_years), "loc", "left"), "looked")
             found = found.unionByName(looked.where("best IS NOT NULL").select("loc", F.lit(result).alias("result"), F.lit(name).alias("stage"), "n", "best"))
