@@ -42,7 +42,7 @@ def test_rules_keep_rows_as_they_were(spark):
     docs = documents(spark)
     out = quality_rules.kept(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 12, 12] or 11 in {r.doc_id for r in out.collect()}
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 12, 12]
     assert quality_rules.judged(empty(spark)).count() == 0
 
 
