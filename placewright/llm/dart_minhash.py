@@ -8,28 +8,33 @@ signatures agree in a coordinate with the probability of their sets' weighted Ja
 elements and the darts, however large K or the weights are.
 
 Coordinates form bands, and documents that agree on a band are compared: at first with the first documents of that band's bucket
-and with the one before. Whole signatures settle what is clear; else the shingles are compared. Then every pair of a bucket that is
-not in one class by now has its signatures compared in blocks, so that no pair sharing a band is passed over.
+and with the one before. Whole signatures settle what is clear; else the shingles are compared. Then all pairs of a bucket that are
+not in one class by now are looked at within blocks of documents, so that no pair sharing a band is passed over and none but
+those that join two classes leaves its task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewright.llm import stars
 from placewright.llm.common import checked_broadcast, columns_of, partitions, stage
-from placewright.llm.fingerprints import Fingerprints, mixed
+from placewright.llm.fingerprints import mixed
+from placewright.llm.shingles import Together, shingles
 
 BANDS, ROWS = 40, 6
 WORDS, SIMILARITY = 5, 0.8
 LEADERS = 2
 #: Documents in a block of a bucket, about; a task compares two blocks at a time.
 BLOCK = 512
+#: Shingles in a block of a bucket, about, or those of its longest document.
+BLOCK_SHINGLES = 1 << 19
 #: Parts that a bucket's rows are dealt over where they are joined by band.
 SALTS = 16
 #: Partners of a document, about, whose shingles are sent or compared in one row's part.
@@ -40,16 +45,17 @@ TOO_LOW, CLEAR = 0.65, 0.92
 NO_ID = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 NTH = np.arange(1, 13, dtype=np.uint64) * ODD
-#: Chances of at most 0, 1, 2, ... darts in a cell of unit area.
+#: A 64-bit hash is below the first k of these if a cell of unit area holds at most k - 1 darts: the Poisson distribution.
 POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)])
+POISSON = (np.minimum(POISSON, 1 - 2.0**-53) * 2.0**64).astype(np.uint64)
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, rank: float) -> tuple[np.ndarray, np.ndarray]:
-    """The ranks and hashes of the darts below each element's weight and below ``rank``.
+def darts(elements: np.ndarray, weights: np.ndarray, rank: float, start: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks and hashes of the darts below each element's weight, from rank ``start`` and below ``rank``.
 
     The weights from 2^(v-1) to 2^v (from 0 to 1 for v = 0) make one row of cells of unit area, as high in rank as they are narrow.
     """
@@ -60,42 +66,49 @@ def darts(elements: np.ndarray, weights: np.ndarray, rank: float) -> tuple[np.nd
         above = weights > low
         if not above.any():
             break
-        own, weight = elements[above], weights[above]
-        cells = np.arange(int(np.ceil(rank * width)), dtype=np.uint64)
+        own, weight = (elements, weights) if above.all() else (elements[above], weights[above])
+        full = bool((weight >= low + width).all())
+        cells = np.arange(int(start * width), int(np.ceil(rank * width)), dtype=np.uint64)
         step = max(1, (1 << 20) // len(own))
         for at in range(0, len(cells), step):
             some = cells[at:at + step]
-            h = mixed(own[:, None] + mixed(some * ODD + np.uint64(level + 1))[None, :])
-            count = np.searchsorted(POISSON, uniform(h))
-            for nth in range(int(count.max(initial=0))):
-                i, j = np.nonzero(count > nth)
-                dart = mixed(h[i, j] + NTH[nth])
-                place = uniform(mixed(dart ^ ODD))
-                its_rank = (some[j].astype(np.float64) + uniform(dart)) / width
-                hit = (its_rank < rank) & (low + width * place < weight[i])
-                ranks.append(its_rank[hit])
-                hashes.append(dart[hit])
+            h = mixed((own[:, None] + mixed(some * ODD + np.uint64(level + 1))[None, :]).ravel())
+            count = np.searchsorted(POISSON, h, side="right")
+            cell = np.repeat(np.arange(len(h)), count)
+            nth = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+            dart = mixed(h[cell] + NTH[nth])
+            its_rank = (some[cell % len(some)].astype(np.float64) + uniform(dart)) / width
+            hit = (its_rank < rank) & (its_rank >= start)
+            if not full:
+                hit &= low + width * uniform(mixed(dart ^ ODD)) < weight[cell // len(some)]
+            ranks.append(its_rank[hit])
+            hashes.append(dart[hit])
         level += 1
     return np.concatenate(ranks or [np.zeros(0)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
 
 
 def signature(elements: np.ndarray, weights: np.ndarray | None = None, size: int = BANDS * ROWS) -> np.ndarray:
-    """The signature of a weighted set: for each coordinate the hash of its earliest dart. An empty set has none."""
+    """The signature of a weighted set: for each coordinate the hash of its earliest dart. An empty set has none.
+
+    About K (ln K + 2) darts fill K coordinates seven times in eight; else the next ranks are looked at, for the empty ones.
+    """
     weights = np.ones(len(elements)) if weights is None else weights
     total = float(weights.sum())
     if total <= 0:
         return np.zeros(0, dtype=np.uint64)
-    rank = size * (np.log(size) + 4) / total
+    start, rank = 0.0, size * (np.log(size) + 2) / total
+    out, filled = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=bool)
     while True:
-        ranks, hashes = darts(elements, weights, rank)
-        at = (mixed(hashes) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
-        order = np.lexsort((hashes, ranks))[::-1]
-        out, filled = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=bool)
-        out[at[order]] = hashes[order]  # of several, the last to be written is the earliest
+        ranks, hashes = darts(elements, weights, rank, start)
+        at = ((mixed(hashes) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+        earliest = np.full(size, np.inf)
+        np.minimum.at(earliest, at, ranks)
+        first = (ranks == earliest[at]) & ~filled[at]
+        out[at[first]] = hashes[first]
         filled[at] = True
         if filled.all():
             return out
-        rank *= 2
+        start, rank = rank, rank + 2 * size / total
 
 
 def bands_of(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -106,8 +119,8 @@ def bands_of(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def shingle_set(own: Fingerprints, text: str, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    found, counts = np.unique(own.terms(text), return_counts=True)
+def shingle_set(text: str, words: int = WORDS, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    found, counts = np.unique(shingles(text, words), return_counts=True)
     return found, counts.astype(float) if weighted else np.ones(len(found))
 
 
@@ -120,24 +133,27 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(df: DataFrame, doc_id: str, text: str, words: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """(doc, key, bands, sketch) of each row: the text's hash, its band hashes, and eight bits of each coordinate."""
+    """(doc, key, bands, sketch, weight) of each row: the text's hash, its band hashes, eight bits of each coordinate, its set's weight."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = Fingerprints(words), {}
+        known: dict = {}
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
         for docs, keys, texts in columns_of(batches):
             found = []
             for key, t in zip(keys, texts, strict=True):
                 if key not in known:
                     if len(known) >= 20_000:
                         known.clear()
-                    values = signature(*shingle_set(own, t, weighted), bands * rows)
-                    known[key] = (bands_of(values, bands, rows).tobytes(), values.astype(np.uint8).tobytes()) if len(values) else (b"", b"")
+                    elements, weights = shingle_set(t, words, weighted)
+                    values = signature(elements, weights, bands * rows)
+                    packed = (bands_of(values, bands, rows).tobytes(), values.astype(np.uint8).tobytes()) if len(values) else (b"", b"")
+                    known[key] = (*packed, float(weights.sum()))
                 found.append(known[key])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(keys, pa.binary()), *[pa.array(c, pa.binary()) for c in zip(*found, strict=True)]] if found else
-                [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())], ["doc", "key", "bands", "sketch"])
+            columns = [docs, keys, *zip(*found, strict=True)] if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "key", "bands", "sketch", "weight"])
 
-    return keyed(df, doc_id, text).select("_doc", "_key", F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, "doc long, key binary, bands binary, sketch binary")
+    return keyed(df, doc_id, text).select("_doc", "_key", F.coalesce(F.col(text), F.lit(""))).mapInArrow(
+        run, "doc long, key binary, bands binary, sketch binary, weight double")
 
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -224,77 +240,146 @@ def candidates(reps: DataFrame, leaders: int = LEADERS) -> tuple[DataFrame, Data
     return pairs, found.where(F.col("kind") == 3).select(F.col("a").alias("band")).unionByName(over.select("band")).distinct()
 
 
-def left_out(reps: DataFrame, bands: DataFrame, roots: DataFrame, size: int) -> DataFrame:
-    """Distinct (a, b, estimate) from ``TOO_LOW`` on of all pairs in the buckets of ``bands`` whose documents have different roots.
+def left_out(reps: DataFrame, bands: DataFrame, roots: DataFrame, texts: DataFrame, size: int, words: int, weighted: bool, least: float) -> DataFrame:
+    """(a, b): links between documents of different roots that share one of the buckets ``bands``, enough to join all that are alike.
 
-    A bucket's largest class is one side and the rest the other, both cut into blocks by a hash. Every block of the rest meets every
-    block of either side in a unit of its own, so that the largest class, which may be all of a hot bucket but a few, is never
-    compared with itself. Signatures that settle a pair join its classes within the unit, which leaves out the pairs in them.
+    A bucket's largest class is one side and the rest the other, both cut into blocks by a hash, so that a block has few documents and
+    few shingles. Every block of the rest meets every block of either side in a unit of its own, so that the largest class, which may
+    be all of a hot bucket but a few, is never compared with itself. No pair is ever a row. A unit is looked at twice: signatures
+    join what is clearly alike and tell which documents have a partner that isn't clear; these come back with their shingles,
+    which are compared within the unit. Either time only such pairs are handed on that join two classes of the unit. A pair is
+    looked at in the first of the bands that it shares.
     """
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     bands = stage(salted(bands), "large-buckets")
     members = banded(reps).select("band", "doc", salt).join(checked_broadcast(bands, bands.count()), ["band", "salt"])
-    members = stage(members.join(roots, "doc", "left").select("band", "salt", "doc", F.coalesce("root", "doc").alias("root")), "bucket-members")
-    classes_of = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    members = members.join(roots, "doc", "left").join(reps.select("doc", "weight"), "doc")
+    members = stage(members.select("band", "salt", "doc", "weight", F.coalesce("root", "doc").alias("root")), "bucket-members")
+    classes_of = members.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).groupBy("band").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "root", "w")).alias("most"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     sides = classes_of.where(F.col("n") > F.col("most.n")).select(
-        "band", F.col("most.root").alias("most"), blocks(F.col("n") - F.col("most.n")).alias("rest"), blocks(F.col("most.n")).alias("own"))
+        "band", F.col("most.root").alias("most"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("rest"),
+        blocks(F.col("most.n"), F.col("most.w")).alias("own"))
     sides = stage(salted(sides), "bucket-sides")
     is_most, order = F.col("root") == F.col("most"), F.xxhash64("doc", F.lit(1))
     dealt = members.join(checked_broadcast(sides, sides.count()), ["band", "salt"]).select(
         "band", "doc", "root", F.when(is_most, F.col("rest") + F.pmod(order, "own")).otherwise(F.pmod(order, "rest")).cast("int").alias("block"),
         F.when(is_most, F.col("rest")).otherwise(F.col("rest") + F.col("own")).alias("meets"))
-    dealt = dealt.join(reps.select("doc", "sketch"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
-    units = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", "sketch")
+    dealt = dealt.join(reps.select("doc", "sketch", "weight", "bands"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    units = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "root", "sketch", "weight", "bands")
 
-    def pairs_of(unit: list[pa.RecordBatch]) -> list[tuple[np.ndarray, ...]]:
+    def column(unit: list[pa.RecordBatch], k: int) -> np.ndarray:
+        return np.concatenate([part.column(k).to_numpy() for part in unit])
+
+    def packed(unit: list[pa.RecordBatch], k: int) -> list[bytes]:
+        return [v for part in unit for v in part.column(k).to_pylist()]
+
+    def partners(unit: list[pa.RecordBatch], roots: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Each document, the first that it is to be compared with, and which from there on have other roots."""
         i, j = unit[0].column(1)[0].as_py(), unit[0].column(2)[0].as_py()
-        at, docs, roots = (np.concatenate([part.column(k).to_numpy() for part in unit]) for k in (3, 4, 5))
-        sketches = np.frombuffer(b"".join(v for part in unit for v in part.column(6).to_pylist()), dtype=np.uint8).reshape(-1, size)
-        roots, kept = roots.copy(), []
-        end = len(docs) if i == j else int((at == i).sum())  # block i comes first
+        end = len(roots) if i == j else int((column(unit, 3) == i).sum())  # block i comes first
         for x in range(end):
-            y = np.arange(x + 1 if i == j else end, len(docs))
-            y = y[roots[y] != roots[x]]
-            if not len(y):
-                continue
+            first = x + 1 if i == j else end
+            other = roots[first:] != roots[x]
+            if other.any():
+                yield x, first, other
+
+    def joined(docs: np.ndarray, roots: np.ndarray, x: int, alike: np.ndarray, kept: list) -> None:
+        for y in alike:
+            if roots[y] != roots[x]:
+                kept.append((0, 0, 0, 0, 0, docs[x], docs[y]))
+                roots[roots == roots[y]] = roots[x]
+
+    def by_signatures(unit: list[pa.RecordBatch]) -> list[tuple]:
+        band = unit[0].column(0)[0].as_py()
+        blocks, docs, roots, weights = column(unit, 3), column(unit, 4), column(unit, 5).copy(), column(unit, 7)
+        sketches = np.frombuffer(b"".join(packed(unit, 6)), dtype=np.uint8).reshape(-1, size)
+        of_bands = np.frombuffer(b"".join(packed(unit, 8)), dtype=np.int64).reshape(len(docs), -1)
+        before = of_bands[:, :int((of_bands == band).any(axis=0).argmax())]
+        kept, asked = [], []
+        for x, first, other in partners(unit, roots):
+            y = first + np.flatnonzero(other & (np.minimum(weights[first:], weights[x]) >= (least - 1e-9) * np.maximum(weights[first:], weights[x])))
             estimate = ((sketches[y] == sketches[x]).mean(axis=1) * 256 - 1) / 255
             y, estimate = y[estimate >= TOO_LOW], estimate[estimate >= TOO_LOW]
-            for nth in np.flatnonzero(estimate >= CLEAR):
-                if roots[y[nth]] != roots[x]:
-                    kept.append((docs[[x]], docs[y[[nth]]], estimate[[nth]]))
-                    roots[roots == roots[y[nth]]] = roots[x]
-            unclear = np.flatnonzero(estimate < CLEAR)
-            if len(unclear := unclear[roots[y[unclear]] != roots[x]]):
-                kept.append((np.full(len(unclear), docs[x]), docs[y[unclear]], estimate[unclear]))
-        return kept
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, unit, kept = None, [], []
+            new = ~(before[y] == before[x]).any(axis=1)
+            y, estimate = y[new], estimate[new]
+            joined(docs, roots, x, y[estimate >= CLEAR], kept)
+            asked.append((x, y[estimate < CLEAR]))
+        wanted = np.zeros(len(docs), dtype=bool)
+        for x, y in asked:
+            y = y[roots[y] != roots[x]]
+            wanted[y] = True
+            wanted[x] |= len(y) > 0
+        i, j = unit[0].column(1)[0].as_py(), unit[0].column(2)[0].as_py()
+        return kept + [(1, band, i, j, blocks[x], docs[x], roots[x]) for x in np.flatnonzero(wanted)]
 
-        def out() -> pa.RecordBatch:
-            a, b, estimate = (np.concatenate(c) for c in zip(*kept, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(estimate)], ["a", "b", "estimate"])
+    def by_shingles(unit: list[pa.RecordBatch]) -> list[tuple]:
+        docs, roots, kept = column(unit, 4), column(unit, 5).copy(), []
+        sets = Together([(np.frombuffer(d, dtype=np.uint64), np.frombuffer(w)) for d, w in zip(packed(unit, 6), packed(unit, 7), strict=True)])
+        for x, first, other in partners(unit, roots):
+            joined(docs, roots, x, first + np.flatnonzero(other & (sets.similarities(x, first) >= least)), kept)
+        return kept
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            for at, end in pairwise([0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]):
-                if now != (key := tuple(keys[:, at])):
-                    kept += pairs_of(unit) if unit else []
-                    now, unit = key, []
-                    if sum(len(k[0]) for k in kept[-1000:]) > 10_000 or len(kept) > 1000:
-                        yield out()
-                        kept = []
-                unit.append(batch.slice(at, end - at))
-        kept += pairs_of(unit) if unit else []
-        if kept:
-            yield out()
-
-    compared = units.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block").mapInArrow(run, "a long, b long, estimate double")
-    return compared.groupBy("a", "b").agg(F.first("estimate").alias("estimate"))
+    names = ["kind", "band", "i", "j", "block", "doc", "other"]
+
+    def each(look: Callable[[list[pa.RecordBatch]], list[tuple]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(np.array(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, unit = None, []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+                for at, end in pairwise([0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]):
+                    if now != (key := tuple(keys[:, at])):
+                        if unit and (found := look(unit)):
+                            yield out(found)
+                        now, unit = key, []
+                    unit.append(batch.slice(at, end - at))
+            if unit and (found := look(unit)):
+                yield out(found)
+
+        return run
+
+    def in_units(df: DataFrame, look: Callable[[list[pa.RecordBatch]], list[tuple]]) -> DataFrame:
+        dealt = df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block")
+        return dealt.mapInArrow(each(look), "kind int, band long, i int, j int, block int, doc long, other long")
+
+    def set_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, held in columns_of(batches):
+            for doc, text in zip(docs, held, strict=True):
+                found, weights = shingle_set(text, words, weighted)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc], pa.int64()), pa.array([found.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], ["doc", "data", "weights"])
+
+    seen = stage(in_units(units, by_signatures), "by-signatures")
+    asked = seen.where(F.col("kind") == 1).select("band", "i", "j", "block", "doc", F.col("other").alias("root"))
+    own_texts = texts.join(asked.select("doc").distinct().hint("shuffle_hash"), "doc").dropDuplicates(["doc", "key"])
+    sets = own_texts.select("doc", "text").mapInArrow(set_of, "doc long, data binary, weights binary")
+    with_sets = beside(asked, "doc", stage(sets, "shingle-sets"), "doc", crowded(asked, "doc"), F.xxhash64("band", "i", "j"))
+    exact = in_units(with_sets.select("band", "i", "j", "block", "doc", "root", "data", "weights"), by_shingles)
+    links = seen.where(F.col("kind") == 0).select("doc", "other").unionByName(exact.select("doc", "other"))
+    return links.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+
+
+def crowded(pairs: DataFrame, name: str) -> DataFrame:
+    """(doc, parts) of the documents that are ``name`` in more than ``PART`` rows: a staged table, broadcast if it is small."""
+    counts = pairs.groupBy(F.col(name).alias("doc")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where(F.col("parts") > 1)
+    counts = stage(counts, "crowded")
+    return checked_broadcast(counts, counts.count())
+
+
+def beside(pairs: DataFrame, name: str, rows: DataFrame, key: str, hot: DataFrame, by: Column) -> DataFrame:
+    """``pairs`` with the columns of the ``rows`` whose ``key`` is ``name``; a hot one's pairs are dealt over its parts ``by`` a hash."""
+    one = lambda: F.coalesce("parts", F.lit(1))
+    dealt = pairs.withColumn("_by", by).join(hot.withColumnRenamed("doc", name), name, "left").withColumn("_part", F.pmod("_by", one()).cast("int")).drop("_by", "parts")
+    spread = rows.join(hot.withColumnRenamed("doc", key), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one() - 1))).drop("parts")
+    return dealt.join(spread.withColumnRenamed(key, name), [name, "_part"]).drop("_part")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -307,12 +392,18 @@ def estimated(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
             agree = (x == y).mean(axis=1) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((agree * 256 - 1) / 255)], ["a", "b", "estimate"])
 
-    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, estimate double")
+    rated = beside(pairs, "a", sketch("a"), "a", crowded(pairs, "a"), F.xxhash64("b"))
+    rated = beside(rated, "b", sketch("b"), "b", crowded(pairs, "b"), F.xxhash64("a"))
+    return rated.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, estimate double")
 
 
 def asked_of(pairs: DataFrame, counts_a: DataFrame, counts_b: DataFrame) -> DataFrame:
-    """(doc, nth, of, to): to whom, as (a, part of a), each document b sends its shingles; one of its ``of`` parts in a row."""
-    numbered = pairs.select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "a").alias("g")).join(counts_a, "a").join(counts_b, "b")
+    """(doc, nth, of, to): to whom, as (a, part of a), each document b sends its shingles; one of its ``of`` parts in a row.
+
+    The counts need not have those of one part.
+    """
+    numbered = pairs.select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "a").alias("g")).join(counts_a, "a", "left").join(counts_b, "b", "left")
+    numbered = numbered.fillna(1, ["parts_a", "parts_b"])
     placed = numbered.select("a", F.pmod("h", "parts_a").cast("int").alias("part"), F.col("b").alias("doc"), F.pmod("g", "parts_b").cast("int").alias("nth"), F.col("parts_b").alias("of"))
     return placed.groupBy("doc", "nth", "of").agg(F.collect_list(F.struct("a", "part")).alias("to"))
 
@@ -324,24 +415,23 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, weighted: bool, lea
     document's own. A document with very many partners is cut into parts by count on either side: each part of what it is
     compared with is a task's row, and so is each part of those that it is sent to, dealt over the tasks with its text.
     """
-    counted = lambda name: pairs.groupBy(name).agg(F.ceil(F.count("*") / PART).cast("int").alias(f"parts_{name}"))
-    counts_a, counts_b = counted("a"), counted("b")
-    asked, own_parts = asked_of(pairs, counts_a, counts_b), counts_a.select(F.col("a").alias("doc"), F.col("parts_a").alias("parts"))
+    renamed = lambda hot, name: hot.select(F.col("doc").alias(name), F.col("parts").alias(f"parts_{name}"))
+    hot_a, hot_b = crowded(pairs, "a"), crowded(pairs, "b")
+    asked = asked_of(pairs, renamed(hot_a, "a"), renamed(hot_b, "b"))
+    own_parts = pairs.groupBy(F.col("a").alias("doc")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     few = asked.where(F.col("of") == 1).select("doc", "to").join(own_parts, "doc", "full")
     sent = texts.join(few.hint("shuffle_hash"), "doc").select("doc", "text", "to.a", "to.part", "parts")
-    hot = stage(counts_b.where(F.col("parts_b") > 1).select(F.col("b").alias("doc")), "sent-to-many")
-    n_hot = hot.count()
-    if n_hot:
-        hot_texts = stage(texts.join(checked_broadcast(hot, n_hot), "doc"), "texts-sent-to-many")
+    some_hot = not hot_b.isEmpty()
+    if some_hot:
+        hot_texts = stage(texts.join(hot_b.select("doc"), "doc"), "texts-sent-to-many")
         many = asked.where(F.col("of") > 1).join(hot_texts, "doc").select("doc", "text", "to.a", "to.part", "nth")
         many = many.repartition("doc", "nth").select("doc", "text", "a", "part", F.lit(None).cast("int").alias("parts"))
 
-    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Fingerprints(words)
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in columns_of(batches):
             out: list[tuple] = []
             for doc, text, to, to_part, parts in zip(*columns, strict=True):
-                found, weights = shingle_set(own, text or "", weighted)
+                found, weights = shingle_set(text or "", words, weighted)
                 data, extra = found.tobytes(), weights.tobytes() if weighted else b""
                 for a, p, is_own in chain(((doc, p, True) for p in range(parts or 0)), ((a, p, False) for a, p in zip(to or [], to_part or [], strict=True))):
                     out.append((a, p, is_own, doc, data, extra))
@@ -368,56 +458,34 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, weighted: bool, lea
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     shape = "a long, part int, own boolean, doc long, data binary, extra binary"
-    moved = sent.mapInArrow(shingles, shape)
-    if n_hot:
-        moved = moved.unionByName(many.mapInArrow(shingles, shape))
+    moved = sent.mapInArrow(sets, shape)
+    if some_hot:
+        moved = moved.unionByName(many.mapInArrow(sets, shape))
     return moved.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("own"), "doc").mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(doc, root) for every document in the links (a, b) that is not its component's smallest, which is ``root``.
-
-    Alternating stars: every document hands its larger neighbours its smallest one, then its smaller neighbours; the links become
-    stars in about as many rounds as the logarithm of a component's size. Each round is a written table.
-    """
-    edges = stage(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u != v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = stage(small.where("u != v").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
+def components(links: DataFrame) -> DataFrame:
+    """(doc, root) for every document in the links (a, b) that is not its component's smallest, which is ``root``."""
+    return stars.components(links).withColumnRenamed("id", "doc")
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS,
-            rows: int = ROWS, weighted: bool = False) -> DataFrame:
+            rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """(doc, key, class, n_links) of each row: its class is the smallest id among the documents it is linked to, however far.
 
     Equal texts are one class from the start, and one row for all that follows; null and empty texts are equal. Rows of one id are one document. ``n_links``
-    is the number of other texts that the row's text was found to resemble. A text of fewer words than a shingle is one
+    is the number of other texts that the row's text was found to resemble. A shingle weighs as often as it occurs, or 1 if not ``weighted``. A text of fewer words than a shingle is one
     shingle. Rows without an id count as the lowest integer.
     """
     marked = stage(signed(df, doc_id, text, words, bands, rows, weighted), "signatures")
-    reps = stage(marked.groupBy("key").agg(F.min(F.struct("doc", "bands", "sketch")).alias("x")).select("key", "x.*"), "texts")
+    reps = stage(marked.groupBy("key").agg(F.min(F.struct("doc", "bands", "sketch", "weight")).alias("x")).select("key", "x.*"), "texts")
     pairs, large = candidates(reps)
-    rated = stage(estimated(pairs, reps, bands * rows).where(F.col("estimate") >= TOO_LOW), "estimates")
+    rated = stage(estimated(stage(pairs, "pairs"), reps, bands * rows).where(F.col("estimate") >= TOO_LOW), "estimates")
     texts = keyed(df, doc_id, text).select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = linked(rated, texts, words, weighted, least)
     roots = components(links)
-    more = stage(left_out(reps, large, roots, bands * rows).join(rated.select("a", "b"), ["a", "b"], "left_anti"), "further-estimates")
-    if not more.isEmpty():
-        further = linked(more, texts, words, weighted, least)
+    further = stage(left_out(reps, large, roots, texts, bands * rows, words, weighted, least), "further-links")
+    if not further.isEmpty():
         roots = components(further.unionByName(roots.select(F.col("root").alias("a"), F.col("doc").alias("b"))))
         links = links.unionByName(further)
     return settled(marked, reps, links, roots)

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import re
 import zipfile
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from placewright.llm import dart_minhash, warc_zip
+from placewright.llm import dart_minhash, shingles, warc_zip
 from placewright.llm.fingerprints import Fingerprints
 from tests.llm.cases import CLASHING, by_id, documents, edited, empty, prose
 
@@ -112,12 +113,71 @@ def test_documents_with_many_partners_are_cut_on_both_sides(spark, monkeypatch):
     asked = dart_minhash.asked_of(pairs, *counts).collect()
     assert sum(len(r.to) for r in asked) == 200 and max(len(r.to) for r in asked) < 30
     found = dart_minhash.verified(pairs, spark.createDataFrame(rows, "doc long, text string"), 5, False, 0.8).collect()
-    own, texts = Fingerprints(), dict(rows)
-    sets = {doc: dart_minhash.shingle_set(own, t) for doc, t in texts.items()}
+    sets = {doc: dart_minhash.shingle_set(t, weighted=False) for doc, t in rows}
     alike = sorted((r.a, r.b) for r in pairs.collect() if dart_minhash.similarity(sets[r.a], sets[r.b]) >= 0.8)
     assert sorted((r.a, r.b) for r in found) == alike and 0 < len(alike) < 200
 
 
+def counted(text: str) -> dict:
+    words = text.split()
+    found: dict = {}
+    for i in range(max(1, len(words) - 4)):
+        found[tuple(words[i:i + 5])] = found.get(tuple(words[i:i + 5]), 0) + 1
+    return found
+
+
+def test_repeated_passages_weigh_as_often_as_they_occur(spark):
+    """Two texts of the same shingles are alike or not by how often a passage is repeated; and a plain copy of either is its own."""
+    passage, rows = prose(1, 60).replace("\n", " "), []
+    for i in range(12):
+        text = " ".join([prose(50 + i // 4, 40).replace("\n", " ")] + [passage] * (1 + 3 * (i % 4)))
+        rows += [(i, text), (100 + i, edited(text, i, 1))]
+    sets = {doc: counted(text) for doc, text in rows}
+    root = {doc: doc for doc in sets}
+    for _ in rows:
+        for a in sets:
+            for b in sets:
+                if weighted_similarity(sets[a], sets[b]) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    found = by_id(dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: r.class_id for k, r in found.items()} == root and 3 < len(set(root.values())) < 24
+
+
+def test_word_hashes_follow_the_words():
+    texts = ["", " \t\n", "a", "a b", " a  b\r\n", "ab", "a\x1cb", "日本 語", "x" * 31, "x" * 32, "x" * 33 + " " + "x" * 500, "x" * 500 + "y", "é e\u0301"]
+    known = {}
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        hashes = shingles.word_hashes(text).tolist()
+        assert len(hashes) == len(words)
+        for word, h in zip(words, hashes, strict=True):
+            assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+    assert len(shingles.shingles("a b c", 5)) == 1 and len(shingles.shingles("a b c d e f", 5)) == 2
+
+
+def test_sets_together_equal_sets_one_by_one():
+    chance = np.random.default_rng(2)
+    sets = [(np.unique(chance.integers(0, 60, 40)).astype(np.uint64), None) for _ in range(20)]
+    sets = [(s, chance.integers(1, 5, len(s)).astype(float)) for s, _ in sets]
+    together = shingles.Together(sets)
+    for x in range(19):
+        assert together.similarities(x, x + 1) == pytest.approx([dart_minhash.similarity(sets[x], s) for s in sets[x + 1:]])
+
+
+def test_no_row_for_each_pair_of_a_group(spark, monkeypatch):
+    """Loose variants, hardly any two of them alike: what is compared a second time grows with the group, not with its pairs."""
+    made = {}
+    plain = dart_minhash.stage
+    monkeypatch.setattr(dart_minhash, "stage", lambda df, name: made.setdefault((name, len(made)), plain(df, name)))
+    original = prose(5, 300)
+    rows = [(i, edited(original, i, 9)) for i in range(400)]
+    found = by_id(dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: r.class_id for k, r in found.items()} == quick_classes(rows)
+    most = {name: df.count() for (name, _), df in made.items() if name in ("by-signatures", "shingle-sets", "further-links")}
+    assert most["by-signatures"] <= 400 * dart_minhash.BANDS and most["shingle-sets"] <= 400 and most["further-links"] < 400 * dart_minhash.BANDS
+
+
 def test_estimates_lose_fewer_pairs_than_bands():
     size, alike = dart_minhash.BANDS * dart_minhash.ROWS, dart_minhash.SIMILARITY
     agree = alike + (1 - alike) / 256  # eight bits of a coordinate
