@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import gzip
+import io
+import string
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +38,14 @@ def scan(
         F.expr("_metadata.file_block_start = 0 AND substring(CAST(value AS BINARY), 1, 2) = X'1F8B'").alias("gz"),
     )
     staged = stage(derive(rows), "scan")
-    blocks = stage(staged.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("rows")), "blocks")
+    counts = [F.min("seq").alias("first"), F.count("*").alias("rows")]
+    blocks = stage(staged.groupBy("file", "block").agg(*counts, F.min_by("gz", "seq").alias("gz")), "blocks")
 
-    zipped = [
-        r.file for r in staged.where("gz").join(blocks, ["file", "block"]).where("seq = first").select("file").collect()
-    ]
-    if zipped:
-        inflated = stage(derive(_inflate(spark, zipped, line_sep)), "inflated")
-        staged = staged.where(~F.col("file").isin(zipped)).unionByName(inflated)
-        blocks = stage(staged.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("rows")), "blocks")
+    zipped = blocks.where("gz").select("file")
+    inflated = stage(derive(_inflate(zipped, line_sep)), "inflated")
+    staged = staged.join(zipped, "file", "left_anti").unionByName(inflated)
+    plain = blocks.drop("gz").join(zipped, "file", "left_anti")
+    blocks = plain.unionByName(inflated.groupBy("file", "block").agg(*counts))
 
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
@@ -54,42 +59,53 @@ def scan(
     )
 
 
-def _inflate(spark: SparkSession, paths: list[str], line_sep: str | None) -> DataFrame:
-    """Rows of gzip files whose suffix the file system does not know; each is streamed by one task, as any gzip is."""
+def _inflate(files: DataFrame, line_sep: str | None) -> DataFrame:
+    """Rows of gzip files whose suffix the file system does not know; each is streamed by one task, as any gzip is.
 
-    def unzip(batches):
-        import gzip
-        import io
-
-        import pandas as pd
-
-        def pieces(text):
-            if line_sep is None:
-                for line in text:
-                    yield line[:-1] if line.endswith("\n") else line
-                return
-            held = ""
-            while chunk := text.read(1 << 20):
-                *whole, held = (held + chunk).split(line_sep)
-                yield from whole
-            if held:
-                yield held
+    ``files`` is (file), a table of its own: the paths never reach the driver, and no file is held as a whole. Their
+    store must be one that pyarrow opens (local, HDFS, S3, GCS, Azure); in another, give such files the suffix ``.gz``.
+    """
 
+    def unzip(batches):
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"]):
-                newline = None if line_sep is None else ""
-                with io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(content)), "utf-8", "replace", newline) as text:
-                    held, number = [], 0
-                    for piece in pieces(text):
-                        held.append(piece)
-                        if len(held) == 50_000:
-                            yield frame(pd, file, number, held)
-                            held, number = [], number + len(held)
-                    if held:
-                        yield frame(pd, file, number, held)
-
-    def frame(pd, file, number, held):
-        return pd.DataFrame({"file": file, "block": 0, "seq": range(number, number + len(held)), "raw": held, "gz": False})
-
-    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "content")
-    return files.mapInPandas(unzip, ROWS)
+            for file in batch.column(0).to_pylist():
+                number = 0
+                for held in _batches(_lines(file, line_sep)):
+                    columns = [[file] * len(held), [0] * len(held), range(number, number + len(held)), held, [False] * len(held)]
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "block", "seq", "raw", "gz"])
+                    number += len(held)
+
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "file").mapInArrow(unzip, ROWS)
+
+
+def _lines(file: str, line_sep: str | None) -> Iterator[str]:
+    """The lines of a gzip file that is read as a stream; members that follow each other are one text."""
+    scheme, colon, rest = quote(file, safe=string.punctuation).partition(":")  # letters beyond ASCII are still plain in it
+    system, path = fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest)
+    newline = None if line_sep is None else ""
+    with system.open_input_stream(path, compression=None) as packed, io.TextIOWrapper(gzip.GzipFile(fileobj=packed), "utf-8", "replace", newline) as text:
+        if line_sep is None:
+            for line in text:
+                yield line.removesuffix("\n")
+            return
+        held = ""
+        while chunk := text.read(1 << 20):
+            *whole, held = (held + chunk).split(line_sep)
+            yield from whole
+        if held:
+            yield held
+
+
+def _batches(lines: Iterable[str], rows: int = 50_000, characters: int = 1 << 23) -> Iterator[list[str]]:
+    """Lists of lines that are limited in number and, but for a last long line, in length."""
+    held, size = [], 0
+    for line in lines:
+        held.append(line)
+        size += len(line)
+        if len(held) >= rows or size >= characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placewright.operators import context, rewrite
 from placewright.sources import gedcom, gramps, tables, writers
+from placewright.sources import scan as scanning
 from placewright.sources.scan import scan
 
 RECORDS = "0 HEAD\n1 CHAR UTF-8\n" + "".join(
@@ -46,6 +47,38 @@ def test_line_ends(spark, tmp_path, newline, small_splits):
     assert text_of(scan(spark, str(tmp_path / "a.ged"))) == RECORDS.splitlines()
 
 
+def test_many_misnamed_gzip_files_beside_plain_ones(spark, tmp_path):
+    """Paths with spaces and accents, files of several members, an empty one; plain files stay as they are."""
+    for i in range(500):
+        (tmp_path / f"né {i}%.ged").write_bytes(gzip.compress(f"0 HEAD\r\n1 NOTE {i}\r".encode()) + gzip.compress(b"0 TRLR"))
+    (tmp_path / "none.ged").write_bytes(gzip.compress(b""))
+    (tmp_path / "plain.ged").write_text("0 HEAD\n1 NOTE plain\n0 TRLR\n")
+    lines = scan(spark, str(tmp_path)).select("file", "pos", "raw").collect()
+    found = {}
+    for r in sorted(lines, key=lambda r: (r.file, r.pos)):
+        found.setdefault(r.file, []).append((r.pos, r.raw))
+    assert len(found) == 501
+    assert sorted(tuple(raw for _, raw in v) for v in found.values()) == sorted(("0 HEAD", f"1 NOTE {i}", "0 TRLR") for i in [*range(500), "plain"])
+    assert all([at for at, _ in v] == [0, 1, 2] for v in found.values())
+
+
+def test_gzip_is_read_in_batches_of_bounded_size(tmp_path):
+    (tmp_path / "a.ged").write_bytes(gzip.compress(b"\n".join(b"x" * 1000 for _ in range(30_000)) + b"\n" + b"y" * 9_000_000))
+    sizes = [(len(held), sum(map(len, held))) for held in scanning._batches(scanning._lines(f"file://{tmp_path}/a.ged", None))]
+    assert sum(n for n, _ in sizes) == 30_001 and sum(size for _, size in sizes) == 39_000_000
+    assert max(size for _, size in sizes) < (1 << 23) + 9_000_000 and len(sizes) == 4
+    assert [len(held) for held in scanning._batches(iter("abcdefg"), rows=3)] == [3, 3, 1] and list(scanning._batches(iter([]))) == []
+
+
+def test_scan_brings_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.ged").write_bytes(gzip.compress(RECORDS.encode()))
+    for name in ("collect", "toPandas", "first", "count", "isEmpty", "toLocalIterator"):
+        monkeypatch.setattr(type(spark.range(1)), name, lambda *_: pytest.fail("an action"))
+    lines = scan(spark, str(tmp_path))
+    monkeypatch.undo()
+    assert text_of(lines) == RECORDS.splitlines()
+
+
 def test_gzip_with_and_without_suffix(spark, tmp_path):
     for name in ("a.ged.gz", "b.ged"):
         (tmp_path / name).write_bytes(gzip.compress(RECORDS.encode()))
