@@ -7,7 +7,9 @@ import re
 import zipfile
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -263,3 +265,46 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         nothing = stage(spark, docs.where("false"), str(tmp_path))
         assert nothing.columns == docs.columns and nothing.count() == 0, name
+
+
+def plain_lines(rows: dict) -> dict:
+    """Texts without the lines that three documents or more have, but for the largest id's."""
+    key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({c: c + 32 for c in range(65, 91)})
+    owners: dict = {}
+    for doc, text in rows.items():
+        for line in (text or "").split("\n"):
+            owners.setdefault(key(line), set()).add(doc)
+    lost = lambda doc, k: len(k) >= 20 and len(owners[k]) >= 3 and doc != max(owners[k])
+    return {doc: "\n".join(line for line in (text or "").split("\n") if not lost(doc, key(line))) for doc, text in rows.items()}
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path, monkeypatch):
+    """Shared lines, exact and near copies, a long text and clashing columns through all stages; each is held against its own input."""
+    rows = {i: prose(i, 150) for i in range(60)}
+    rows |= {60 + i: prose(i, 150) for i in range(5)} | {70 + i: edited(prose(20 + i, 150), i, 1 + i % 2) for i in range(10)}
+    footer = "This Footer stands below every second document"
+    for i in range(30, 50, 2):
+        rows[i] += "\n" + ("  " + footer.upper() + "\t" if i % 4 else footer)
+    rows[90] = prose(90, 20_000)
+    bad = {100 + i: "%%% ".join(prose(100 + i, 100).split(" ")) for i in range(12)}
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in (rows | bad).items()], names)
+    docs.withColumns({c.split()[0]: F.lit("clash") for c in CLASHING.split(", ")}).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in bad]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda *_: f"{tmp_path}/stages")
+
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {name: {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/stages/{name}").collect()} for name, _ in corpus_pipeline.STAGES[:-1]}
+    assert set(texts["quality_classifier"]) == set(rows) and all(texts["quality_classifier"][k] == t for k, t in rows.items())
+    left = texts["line_dedup"]
+    assert left == plain_lines(rows) and sum(left[k] != t for k, t in rows.items()) == 9
+    assert all(r.n_chars == len(r.text) and r.key == "clash" for r in spark.read.parquet(f"{tmp_path}/stages/line_dedup").collect())
+    root = brute_classes(list(left.items()))
+    assert texts["near_dedup"] == {k: left[k] for k in root if root[k] == k} and len(texts["near_dedup"]) == 61
+    whole: dict = {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == whole.get(r.doc_id, 0)
+        whole[r.doc_id] = r.start + r.length
+    model = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    assert whole == {k: len(model.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts["near_dedup"].items()}
