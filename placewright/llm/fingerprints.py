@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from placewright.llm.common import Memo, columns_of, partitions
+from placewright.llm.common import Memo, checked_broadcast, columns_of, partitions, stage
 
 BITS = 128
 WORDS = 5
 RADIUS = 3
+#: Fingerprints of one block, about, that one part of it has.
+PART = 4096
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -107,13 +109,20 @@ def within(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFra
     """(query, doc_id, bits) for each row within ``radius`` bits of each query; both sides are (doc_id, fingerprint).
 
     Both are reduced to distinct fingerprints before they meet in the block tables, so a group of equal rows is one entry there;
-    pairs of different fingerprints are found once, and ids are attached at the end. Null fingerprints match nothing.
+    pairs of different fingerprints are found once, and ids are attached at the end. A block that very many fingerprints share is
+    cut into parts by its count, each of which meets all queries of that block. Null fingerprints match nothing.
     """
     asked = queries.where(F.col("fingerprint").isNotNull()).select(F.col("doc_id").alias("query"), F.col("fingerprint").alias("asked"))
     known = rows.where(F.col("fingerprint").isNotNull()).select("doc_id", "fingerprint")
     left = asked.select("asked").distinct().select("asked", F.inline(blocks(F.col("asked"), radius)))
     right = known.select("fingerprint").distinct().select("fingerprint", F.inline(blocks(F.col("fingerprint"), radius)))
-    pairs = left.join(right, ["table", "block"]).select("asked", "fingerprint").distinct()
+    counts = right.groupBy("table", "block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where(F.col("parts") > 1)
+    counts = stage(counts, "hot-blocks")
+    hot = checked_broadcast(counts, counts.count())
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(hot, ["table", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    right = right.join(hot, ["table", "block"], "left").withColumn("part", F.pmod(F.xxhash64("fingerprint"), parts).cast("int")).drop("parts")
+    pairs = left.join(right, ["table", "block", "part"]).select("asked", "fingerprint").distinct()
     near = pairs.withColumn("bits", distance("asked", "fingerprint")).where(F.col("bits") <= radius)
     return asked.join(near, "asked").join(known, "fingerprint").select("query", "doc_id", "bits")
 

@@ -1,10 +1,12 @@
 """Quality rules and classifier, line dedup and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,8 +142,6 @@ def test_compared_fingerprints(spark):
 
 
 def test_within_finds_all_near_fingerprints(spark):
-    import random
-
     chance = random.Random(8)
     base = [chance.getrandbits(128) for _ in range(20)]
     marks = [(i, f"{base[i % 20] ^ sum(1 << b for b in chance.sample(range(128), chance.randint(0, 6))):032x}") for i in range(200)] + [(500, None)]
@@ -151,6 +151,32 @@ def test_within_finds_all_near_fingerprints(spark):
     assert got == {(q, d, bits(a, b)) for q, a in marks[:-1] for d, b in marks[:-1] if q % 7 == 0 and bits(a, b) <= 3}
 
 
+def test_within_cuts_a_block_that_most_share(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PART", 16)
+    chance = random.Random(8)
+    marks = [(i, f"{0xABCD0123:08x}" + f"{chance.getrandbits(96):024x}") for i in range(300)]  # one block is the same in all
+    marks += [(1000 + i, f"{int(m, 16) ^ (1 << i % 96) ^ (2 << i % 90):032x}") for i, m in marks]
+    rows = spark.createDataFrame(marks, "doc_id long, fingerprint string")
+    got = [(r.query, r.doc_id, r.bits) for r in fingerprints.within(rows.where("doc_id % 7 = 0"), rows, 3).collect()]
+    far = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    assert sorted(got) == sorted((q, d, far(a, b)) for q, a in marks if q % 7 == 0 for d, b in marks if far(a, b) <= 3)
+
+
+def test_the_vote_written_out():
+    """Each bit has the majority of the terms' bits, a term of three occurrences has three votes, and a tie is a zero."""
+    own = fingerprints.Fingerprints()
+    for text in (prose(3, 80), "a b c d e f g " * 9, "one two", "x y z w v u"):
+        terms = [int(t) for t in own.terms(text)]
+        votes = [0] * fingerprints.BITS
+        for t in terms:
+            second = int(fingerprints.mixed(np.array([t], dtype=np.uint64) ^ fingerprints.MIX[1])[0])
+            for bit in range(fingerprints.BITS):
+                votes[bit] += 1 if (t | second << 64) >> bit & 1 else -1
+        value = sum(1 << bit for bit, v in enumerate(votes) if v > 0)
+        assert own.of(own.terms(text)) == value.to_bytes(fingerprints.BITS // 8, "little").hex()
+        assert len(terms) == max(1, len(text.split()) - 4)
+
+
 def test_near_texts_have_near_fingerprints(spark):
     text = prose(1, 400)
     docs = spark.createDataFrame([(1, text), (2, text), (3, edited(text, 1, 3)), (4, prose(2, 400)), (5, None)], "doc_id long, text string")
