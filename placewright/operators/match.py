@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import hierarchy_key
 from placewright.functions.text import normalize, words
-from placewright.operators.skew import salted_join
+from placewright.operators.skew import TASK_PAIRS, dealt_out, salted_join, sized_join
 from placewright.schemas import CANDIDATE_FIELDS, CITY, PREFIX
 from placewright.workspace import stage
 
@@ -240,6 +240,14 @@ def wildcard_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^\\Q"), F.replace(pattern, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
 
 
+def like(part: str, pattern: str) -> Column:
+    """Whether ``part`` is as ``pattern`` says. Only patterns with several ``*`` need a regular expression, which is compiled for each row."""
+    text, asked = F.col(part), F.col(pattern)
+    stars = F.length(asked) - F.length(F.replace(asked, F.lit("*"), F.lit("")))
+    ends = F.startswith(text, F.substring_index(asked, "*", 1)) & F.endswith(text, F.substring_index(asked, "*", -1))
+    return F.when(stars == 0, text == asked).when(stars == 1, ends & (F.length(text) >= F.length(asked) - 1)).otherwise(F.rlike(text, wildcard_regex(asked)))
+
+
 def is_pattern(*parts: str) -> Column:
     """Whether any of these parts of a location holds a ``*``."""
     out = F.lit(False)
@@ -275,38 +283,83 @@ def grams(text: Column) -> Column:
     return F.when(F.length(ended) >= GRAM, F.array_distinct(F.filter(runs, lambda g: ~F.contains(g, F.lit("*"))))).otherwise(F.array().cast("array<string>"))
 
 
-def postings(names: DataFrame, asked: DataFrame) -> DataFrame:
-    """(m_tier, g_country, gram, n_country, m_name): the names under the grams in ``asked``, by country or under ``ANY`` country.
+#: Characters of a pattern's beginning or end that names are filed by, at most.
+MOST_ENDS = 40
+BEGINNING, END = "<", ">"
+
+
+def pattern_keys(pattern: Column) -> Column:
+    """What a name must hold to match: the pattern's grams, its literal beginning and its literal end, the latter two marked as such."""
+    pieces = F.split(F.concat(F.lit("^"), pattern, F.lit("$")), r"\*")
+    first, last = F.substring(F.get(pieces, F.lit(0)), 1, MOST_ENDS), F.right(F.element_at(pieces, -1), F.lit(MOST_ENDS))
+    ends = [F.when(F.length(text) > GRAM, F.concat(F.lit(kind), text)) for kind, text in ((BEGINNING, first), (END, last))]
+    return F.concat(grams(pattern), F.array_compact(F.array(*ends)))
+
+
+def filings(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(m_tier, n_country, m_name, g_country, gram): the names under all their keys of the kinds and lengths that ``keys`` has, by country.
 
-    A name is filed once for each of its own grams that someone asks for, however many patterns there are.
+    A name is filed under ``ANY`` country, too, if one of ``keys`` is.
     """
-    filed = names.select(*NAME, F.explode(grams(F.col("m_name"))).alias("gram"))
+    kind = F.when(F.length("gram") == GRAM, "").otherwise(F.left("gram", F.lit(1)))
+    kinds = keys.agg(F.collect_set(F.struct(kind.alias("kind"), (F.length("gram") - 1).alias("length")))).scalar()
+    anywhere = keys.agg(F.bool_or(F.col("g_country") == ANY)).scalar()
+    ended = F.concat(F.lit("^"), F.col("m_name"), F.lit("$"))
+    of = lambda kind: F.filter("_kinds", lambda k: (k["kind"] == kind) & (k["length"] <= F.length(ended)))
+    runs = F.when(F.exists("_kinds", lambda k: k["kind"] == ""), grams(F.col("m_name"))).otherwise(F.array().cast("array<string>"))
+    firsts = F.transform(of(BEGINNING), lambda k: F.concat(F.lit(BEGINNING), F.substring(ended, F.lit(1), k["length"])))
+    lasts = F.transform(of(END), lambda k: F.concat(F.lit(END), F.right(ended, k["length"])))
+    filed = names.withColumn("_kinds", kinds).select(*NAME, F.explode(F.concat(runs, firsts, lasts)).alias("gram"))
+    return filed.select(*NAME, F.explode(F.when(anywhere, F.array("n_country", F.lit(ANY))).otherwise(F.array("n_country"))).alias("g_country"), "gram")
+
+
+def postings(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(m_tier, n_country, m_name, g_country, gram): the names under the keys in ``asked``, each once under a key, however many patterns there are."""
     wanted = asked.select(*POSTING).distinct()
-    return filed.withColumn("g_country", F.explode(F.array("n_country", F.lit(ANY)))).join(wanted, POSTING, "left_semi")
+    return filings(names, wanted).join(wanted, POSTING, "left_semi")
+
+
+def rarest_keys(asked: DataFrame, names: DataFrame, **salting) -> DataFrame:
+    """(m_tier, p_country, p_name, g_country, gram): for each name asked for the key that the fewest names have; none if one of its keys has no name.
+
+    ``asked`` is (m_tier, p_country, p_name, g_country, all, gram). Names are counted under their keys with a map-side combine; no list is made of them.
+    """
+    counts = filings(names, asked).groupBy(*POSTING).agg(F.count("*").alias("n"))
+    wanted = asked.groupBy(*POSTING).agg(F.count("*").alias("_asked"))
+    known = stage(counts.join(wanted, POSTING), "key-counts")
+    held = salted_join(asked, known.drop("_asked"), POSTING, spread=["p_name"], how="inner", counts=known.select(*POSTING, F.col("_asked").alias("n")), **salting)
+    return held.groupBy("m_tier", "p_country", "p_name", "g_country").agg(
+        F.max(F.struct(-F.col("n"), "gram"))["gram"].alias("gram"), F.count("*").alias("held"), F.max("all").alias("all")).where("held = all").drop("held", "all")
 
 
-def wildcard_match(locations: DataFrame, rows: DataFrame, **salting) -> DataFrame:
+def wildcard_match(locations: DataFrame, rows: DataFrame, task_pairs: int = TASK_PAIRS, **salting) -> DataFrame:
     """(loc, score, candidate fields) for locations with ``*`` in their name, admin1 or country.
 
-    A pattern whose name holds three literal characters in a row, its ends included, is looked up by the rarest such run among the names
-    of its country, or of all countries where that is a pattern too. The few others are tested by :func:`wildcard_by_lead`.
+    A pattern whose name holds three literal characters in a row, its ends included, is looked up by the rarest of its keys, such runs and its
+    literal beginning and end, among the names of its country, or of all countries where that is a pattern too. Each pattern of a name is
+    looked up once in a country, however many locations share it; these come in with the places, by their admin1 where it is none. All joins are dealt out by the
+    pairs they make. The few others are tested by :func:`wildcard_by_lead`.
     """
-    wild = stage(locations.where(is_pattern(*WILD_PARTS)).select("loc", *LOCATION, grams(F.col("m_name")).alias("grams")), "patterns")
-    country = F.when(is_pattern("n_country"), F.lit(ANY)).otherwise(F.col("n_country"))
-    asked = wild.select("loc", *LOCATION, country.alias("g_country"), F.size("grams").alias("all"), F.explode("grams").alias("gram"))
-    filed = stage(postings(rows.select(*NAME).distinct(), asked), "postings")
-    counts = filed.groupBy(*POSTING).agg(F.count("*").alias("n"))
-    rarest = salted_join(asked, counts, POSTING, spread=["loc"], how="inner", **salting).groupBy("loc", *LOCATION, "g_country").agg(
-        F.min(F.struct("n", "gram"))["gram"].alias("gram"), F.count("*").alias("held"), F.max("all").alias("all"))
-    rarest = rarest.where("held = all").select("m_tier", "g_country", "gram", "loc", F.col("n_country").alias("p_country"), F.col("n_admin1").alias("p_admin1"),
-                                               F.col("n_admin2").alias("p_admin2"), F.col("m_name").alias("p_name"))
-    names = salted_join(filed, rarest, POSTING, spread=["n_country", "m_name"], how="inner", counts=counts, **salting)
-    like = lambda part, pattern: F.rlike(part, wildcard_regex(F.col(pattern)))
-    names = names.where(like("m_name", "p_name") & like("n_country", "p_country")).drop("g_country", "gram", "p_name", "p_country")
-    places = salted_join(rows, names, NAME, spread=["geoid"], how="inner", **salting).where(like("n_admin1", "p_admin1"))
+    wild = stage(locations.where(is_pattern(*WILD_PARTS)).select("loc", *LOCATION, F.size(grams(F.col("m_name"))).alias("grams")), "patterns")
+    places = wild.where("grams > 0").select("loc", "m_tier", F.col("n_country").alias("p_country"), F.col("n_admin1").alias("p_admin1"),
+                                            F.col("n_admin2").alias("p_admin2"), F.col("m_name").alias("p_name"))
+    country = F.when(F.contains("p_country", F.lit("*")), F.lit(ANY)).otherwise(F.col("p_country"))
+    asked = places.select("m_tier", "p_country", "p_name").distinct().withColumn("keys", pattern_keys(F.col("p_name"))).select(
+        "m_tier", "p_country", "p_name", country.alias("g_country"), F.size("keys").alias("all"), F.explode("keys").alias("gram"))
+    asked = stage(asked, "asked-keys")
+    names = dealt_out(stage(rows.select(*NAME).distinct(), "names"), NAME)
+    rarest = stage(rarest_keys(asked, names, **salting), "rarest-keys")
+    filed = stage(postings(names, rarest), "postings")
+    found = sized_join(filed, rarest, POSTING, ["n_country", "m_name"], ["p_country", "p_name"], task_pairs)
+    pairs = stage(found.where(like("m_name", "p_name") & like("n_country", "p_country")).select(*NAME, "p_country", "p_name"), "name-pairs")
+    here = stage(sized_join(rows, pairs, NAME, ["geoid"], ["p_country", "p_name"], task_pairs), "pattern-places")
+    by_name, pattern = ["m_tier", "p_country", "p_name"], F.contains("p_admin1", F.lit("*"))
+    literal = places.where(~pattern).withColumnRenamed("p_admin1", "n_admin1")
+    inside = sized_join(here, literal, [*by_name, "n_admin1"], ["geoid"], ["loc"], task_pairs)
+    around = sized_join(here, places.where(pattern), by_name, ["geoid"], ["loc"], task_pairs).where(like("n_admin1", "p_admin1"))
     score = WILDCARD + F.when(like("n_admin2", "p_admin2"), 0.0).otherwise(PER_PART)
-    by_gram = places.select("loc", score.alias("score"), *CANDIDATE_FIELDS)
-    return best_each(by_gram.unionByName(wildcard_by_lead(wild.where(F.size("grams") == 0).drop("grams"), rows, **salting)))
+    hits = [df.select("loc", score.alias("score"), *CANDIDATE_FIELDS) for df in (inside, around)]
+    return best_each(hits[0].unionByName(hits[1]).unionByName(wildcard_by_lead(wild.where("grams = 0").drop("grams"), rows, **salting)))
 
 
 def wildcard_by_lead(wild: DataFrame, rows: DataFrame, **salting) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.workspace import stage
@@ -49,3 +49,40 @@ def salted_join(
         "_salt", F.explode(F.when(F.col("_salts") > 1, F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0))))
     ).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+#: Pairs that one task of a join makes, or rows it reads, where a few rows of either side may make very many.
+TASK_PAIRS = 100_000
+MOST_TASKS = 20_000
+
+
+def dealt_out(staged: DataFrame, on: list[str], task_rows: int = TASK_PAIRS // 5) -> DataFrame:
+    """A staged table of small rows in as many tasks as its rows need, for work that makes many rows of each."""
+    return staged.repartition(max(1, -(-staged.count() // task_rows)), *on)
+
+
+def sized_join(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], table_spread: list[str], task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Inner join that is dealt out by the pairs it makes, not by the bytes it reads, which tell nothing of them.
+
+    ``spread`` and ``table_spread`` name columns that tell rows of either side apart. The key counts of both sides give the pairs of each
+    key: their sum is the number of tasks, and a key of more than one task's pairs is cut, its larger side into parts, its smaller side
+    copied to each. Both sides are read twice, so they should be staged. What comes to the driver is two numbers.
+    """
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("_rows")).join(table.groupBy(*on).agg(F.count("*").alias("_others")), on, "full")
+    sizes = sizes.select(*on, F.coalesce("_rows", F.lit(0)).alias("_rows"), F.coalesce("_others", F.lit(0)).alias("_others"))
+    pairs = F.col("_rows") * F.col("_others")
+    work, top = sizes.agg(F.sum(F.greatest(pairs, F.col("_rows") + F.col("_others"))), F.max(pairs)).first()
+    most = max(task_pairs, -(-int(work or 0) // MOST_TASKS))
+    tasks = max(1, -(-int(work or 0) // most))
+    if (top or 0) <= most:
+        return rows.repartition(tasks, *on).join(table.repartition(tasks, *on), on)
+    salts = F.ceil(pairs / most).cast("int")
+    hot = stage(sizes.where(pairs > most).select(*on, salts.alias("_salts"), (F.col("_rows") >= F.col("_others")).alias("_cut_rows")), "hot-pairs")
+    part = lambda columns: F.array(F.pmod(F.xxhash64(*columns), F.col("_salts")).cast("int"))
+    every, only = F.sequence(F.lit(0), F.col("_salts") - 1), F.array(F.lit(0))
+
+    def dealt(side: DataFrame, columns: list[str], cut: Column) -> DataFrame:
+        salt = F.when(F.col("_salts").isNull(), only).when(cut, part(columns)).otherwise(every)
+        return side.join(hot, on, "left").withColumn("_salt", F.explode(salt)).drop("_salts", "_cut_rows").repartition(tasks, *on, "_salt")
+
+    return dealt(rows, spread, F.col("_cut_rows")).join(dealt(table, table_spread, ~F.col("_cut_rows")), [*on, "_salt"]).drop("_salt")

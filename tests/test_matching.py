@@ -387,3 +387,25 @@ def test_pointers_that_lead_to_one_id_are_spread(spark):
     frame = spark.createDataFrame(names, "file STRING, id STRING, name STRING")
     got = {r.id: r.name for r in people.resolve_pointers(frame, hot_rows=10).collect()}
     assert got == {"@I1@": "Ann /Lee/", "@X@": None} | {f"@F{i}@": "Ann /Lee/" for i in range(200)}
+
+
+def test_long_literal_ends_of_patterns_narrow_the_names_down(spark):
+    names = [f"place#{i:05d}" for i in range(2000)]
+    rows = spark.createDataFrame([(f"g{i:05d}", n, "x", s, "") for i, n in enumerate(names) for s in ("east", "west")], "geoid STRING, m_name STRING, n_country STRING, n_admin1 STRING, n_admin2 STRING")
+    rows = rows.withColumn("m_tier", F.lit(3)).select("*", *[F.lit(None).cast("string").alias(c) for c in match.CANDIDATE_FIELDS if c != "geoid"])
+    locs = spark.createDataFrame([(f"{p}|{a}", 3, "x", a, "", p) for p in ("place#0012*", "*1234", "pl*7*99") for a in ("east", "*st")], "loc STRING, m_tier INT, n_country STRING, n_admin1 STRING, n_admin2 STRING, m_name STRING")
+    asked = locs.select("m_tier", F.col("n_country").alias("p_country"), F.col("m_name").alias("p_name")).distinct().withColumn("keys", match.pattern_keys(F.col("p_name")))
+    asked = asked.select("m_tier", "p_country", "p_name", F.col("p_country").alias("g_country"), F.size("keys").alias("all"), F.explode("keys").alias("gram"))
+    kept = {r.p_name: r.gram for r in match.rarest_keys(asked, rows.select(*match.NAME).distinct()).collect()}
+    assert kept["place#0012*"] == "<^place#0012" and kept["*1234"] == ">1234$"  # 10 names and 1; runs of three have more
+    want = sorted((loc.loc, r.geoid) for loc in locs.collect() for r in rows.collect() if re.fullmatch(loc.m_name.replace("*", ".*"), r.m_name) and re.fullmatch(loc.n_admin1.replace("*", ".*"), r.n_admin1))
+    for limit in (20, 1 << 20):
+        got = match.wildcard_match(locs, rows, task_pairs=limit).collect()
+        assert sorted({(r.loc, r.geoid) for r in got}) == sorted(set(want))
+
+
+def test_patterns_with_one_star_need_no_regular_expression(spark):
+    parts, patterns = ["aba", "ab", "a", "", "a.b", "xaby"], ["a*a", "*", "*b", "a*", "ab", "a*b*", "*a*", "a.*"]
+    both = spark.createDataFrame([(t, p) for t in parts for p in patterns], "t STRING, p STRING")
+    for r in both.select("t", "p", match.like("t", "p").alias("found")).collect():
+        assert r.found == bool(re.fullmatch(re.escape(r.p).replace(r"\*", ".*"), r.t)), r

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placewright.operators.running import carry_last, number_rows
-from placewright.operators.skew import SHARE, hot_keys, salted_join
+from placewright.operators.skew import SHARE, hot_keys, salted_join, sized_join
 
 
 def ordered(df):
@@ -62,3 +62,13 @@ def test_hot_list_is_bounded_by_partitions_and_leaves_none_out(spark):
     assert set(hot) == set(range(9)) and len(hot) <= most
     total = sum(10_000 + k for k in range(9)) + 991 * 10
     assert all((10_000 + k) / salts <= total / most + 1 for k, salts in hot.items())
+
+
+def test_joins_that_make_many_pairs_of_few_rows_are_dealt_out(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(300)] + [("b", i) for i in range(5)] + [("c", 0), (None, 1)], "k STRING, i INT")
+    table = spark.createDataFrame([("a", j) for j in range(40)] + [("b", j) for j in range(900)] + [("d", 0), (None, 2)], "k STRING, j INT")
+    for limit in (500, 1 << 20):
+        joined = sized_join(rows, table, ["k"], ["i"], ["j"], limit)
+        assert ordered(joined.select("k", "i", "j")) == ordered(rows.join(table, "k").select("k", "i", "j"))
+    tasks = sized_join(rows, table, ["k"], ["i"], ["j"], 500).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(tasks) > 12 and max(r.n for r in tasks) < 5 * 500
