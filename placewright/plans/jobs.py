@@ -72,6 +72,7 @@ def resolve_locations(
     staged, since the next stage and the result both read it; a stage that nothing is left for is passed over. Candidate rows are worked out for listings only. Where locations have a
     ``year``, names in use in it come first among equal candidates, in every stage.
     """
+    locations = stage(locations, "locations")
     years = locations.select("loc", "year") if "year" in locations.columns else None
     supported = F.col("support").isNull()
     checked = match.country_support(locations, countries)
@@ -205,7 +206,7 @@ def review_listing(settled: Settled, queue: DataFrame, rules: Column | None = No
 
     Names not yet in use in the year of the event are flagged; a key without a candidate has one row that says so.
     """
-    asked = queue.select("key", "place_text", "event_year", "candidates").join(settled.keys.select("key", "loc"), "key")
+    asked = stage(queue.select("key", "place_text", "event_year", "candidates").join(settled.keys.select("key", "loc"), "key"), "queued")
     offered = salted_join(settled.candidates, asked, ["loc"], spread=["geoid"], how="inner")
     city = F.when(F.col("tier") >= CITY, F.col("name")).otherwise("")
     name = tx.long_name(city, *[F.coalesce(F.col(n), F.lit("")) for n in ("admin2_name", "admin1_name", "country_name")])
