@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,12 +26,26 @@ _ONE = {c: form for c, form in _FORMS.items() if len(form) == 1}
 _SEVERAL = {c: form for c, form in _FORMS.items() if len(form) > 1 and not "\uac00" <= c <= "\ud7a3"}
 ACCENTED = "".join(_ONE) + UNDECOMPOSED
 BASE = "".join(_ONE.values()) + THEIR_BASE
-COMPOSED = "\uac00-\ud7a3" + "".join(_SEVERAL)
+
+
+def _class_of(letters: Iterable[str]) -> str:
+    """Regular expression of one of these letters. A class is tried range by range, so neighbours are one, and letters before the first are turned away at once."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, letters)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return f"[{chr(runs[0][0])}-{chr(runs[-1][1])}&&[{''.join(chr(a) if a == b else f'{chr(a)}-{chr(b)}' for a, b in runs)}]]"
+
+
+COMPOSED = _class_of([*_SEVERAL, *map(chr, range(0xAC00, 0xD7A4))])
 PARTS = max(map(len, _SEVERAL.values()))
 
 
 # Accents that are characters of their own go like those that are part of a letter; the marks of other scripts stay.
 DROPPED = r"[.'’`\"\u0300-\u036F]"
+DROPPED_LETTERS = ".'’`\"" + "".join(map(chr, range(0x300, 0x370)))
 BLANKED = r"[^\p{L}\p{M}\p{N},*#_&/-]+"
 
 # A letter run with the possessive or contraction tails that stay lower case, or a run of anything else.
@@ -57,21 +72,31 @@ def decomposed(text: Column) -> Column:
     letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     spelt = F.transform(letters, lambda c: F.when(c.between("\uac00", "\ud7a3"), _syllable(c)).when(
         _nth_part(c, 0) != c, F.concat(*[_nth_part(c, n) for n in range(PARTS)])).otherwise(c))
-    return F.when(F.rlike(text, F.lit(f"[{COMPOSED}]")), F.array_join(spelt, "")).otherwise(text)
+    return F.when(F.rlike(text, F.lit(COMPOSED)), F.array_join(spelt, "")).otherwise(text)
+
+
+def cleaned(text: Column) -> Column:
+    """Lower-case text without accents and full stops, any run of other characters a blank: what both forms of a key are made from."""
+    lower = F.lower(text)
+    folded = F.translate(decomposed(lower), ACCENTED + DROPPED_LETTERS, BASE)  # accents and full stops go in the same pass
+    t = F.when(F.octet_length(text) == F.length(text), F.regexp_replace(lower, DROPPED, "")).otherwise(folded)  # ASCII needs no folding
+    return F.regexp_replace(t, BLANKED, " ")
+
+
+def key_of(clean: Column, remove_commas: bool = False) -> Column:
+    """Key text from what :func:`cleaned` gives."""
+    if remove_commas:
+        return F.trim(F.regexp_replace(clean, "[ ,]+", " "))
+    return F.trim(F.regexp_replace(clean, " *, *", ","))
 
 
 def normalize(text: Column, remove_commas: bool = False) -> Column:
     """Canonical key text: lower case, no accents or full stops, single blanks, commas kept unless asked otherwise.
 
-    A letter gives the same key whether it is one character or a base letter with marks after it.
+    A letter gives the same key whether it is one character or a base letter with marks after it. Where both forms of a long text are
+    wanted, let a column hold :func:`cleaned` and take :func:`key_of` of it twice: Spark works shared texts out once for each form.
     """
-    lower = F.lower(text)
-    t = F.when(F.octet_length(text) == F.length(text), lower).otherwise(F.translate(decomposed(lower), ACCENTED, BASE))  # ASCII needs no folding
-    t = F.regexp_replace(t, DROPPED, "")
-    t = F.regexp_replace(t, BLANKED, " ")
-    if remove_commas:
-        return F.trim(F.regexp_replace(t, "[ ,]+", " "))
-    return F.trim(F.regexp_replace(t, " *, *", ","))
+    return key_of(cleaned(text), remove_commas)
 
 
 def capwords(text: Column) -> Column:

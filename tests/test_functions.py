@@ -1,4 +1,5 @@
 import random
+import re
 import string
 
 from hypothesis import given, settings
@@ -165,3 +166,18 @@ def test_marks_in_keys(spark):
     cases = {"Orle\u0301ans": "orleans", "Orléans": "orleans", "İzmir": "izmir", "दिल्ली": "दिल्ली", "A\u030Angstro\u0308m, Sverige": "angstrom,sverige"}
     rows = spark.createDataFrame([(k,) for k in cases], "t STRING")
     assert {r.t: r.n for r in rows.select("t", normalize(F.col("t")).alias("n")).collect()} == cases
+
+
+def test_letters_before_the_first_composed_one_are_turned_away_at_once():
+    assert len(text.COMPOSED) < len(text._SEVERAL) + 20  # neighbours are one range
+    first, last, several = re.fullmatch(r"\[(.)-(.)&&\[(.*)\]\]", text.COMPOSED).groups()
+    held = {chr(c) for a, b in re.findall(r"(.)(?:-(.))?", several) for c in range(ord(a), ord(b or a) + 1)}
+    assert held == {*text._SEVERAL, *map(chr, range(0xAC00, 0xD7A4))} and min(held) == first > "Ԁ" and max(held) == last
+
+
+def test_both_forms_of_a_key_come_from_one_cleaned_text(spark):
+    frame = spark.createDataFrame([("Ổ Łódź, ’s .,  x",), ("A.B's , c",), ("각 ড়, ́e",), (None,), ("",)], "t STRING")
+    got = frame.select("t", text.cleaned(F.col("t")).alias("c")).select(
+        text.normalize(F.col("t")).alias("a"), text.key_of(F.col("c")).alias("b"), text.normalize(F.col("t"), True).alias("d"), text.key_of(F.col("c"), True).alias("e"))
+    rows = got.collect()
+    assert all(r.a == r.b and r.d == r.e for r in rows) and rows[0].a == "o lodz,s,x" and rows[1].d == "abs c"
