@@ -146,7 +146,8 @@ def person_pointer_names(spark, d):
 def place_people(spark, d):
     lines = _lines(spark, d)
     names = stage(people.person_names(lines), "names")
-    return people.with_person(context.places(lines), names).select("rec", "pos", "person")
+    placed = context.places(lines).select("file", "rec", "pos", "record_id", "person")  # with_person stages them
+    return people.with_person(placed, names).select("rec", "pos", "person")
 
 
 # --- writing ---------------------------------------------------------------------------------------------------------

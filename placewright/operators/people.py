@@ -55,7 +55,11 @@ def display_name(resolved, current):
 
 
 def with_person(places: DataFrame, names: DataFrame, spread: tuple[str, ...] = ("rec", "pos"), **salting) -> DataFrame:
-    """Replace ``person`` of each place (file, record_id, person) by the name its record id leads to."""
+    """Replace ``person`` of each place (file, record_id, person) by the name its record id leads to.
+
+    Places are staged: the join counts them before it reads them, and working out their context is most of the work.
+    """
+    places = stage(places, "placed")
     table = resolve_pointers(names).select("file", F.col("id").alias("record_id"), F.col("name").alias("_name"))
     return salted_join(places, table, ["file", "record_id"], spread=list(spread), **salting).withColumn(
         "person", display_name(F.col("_name"), F.col("person"))

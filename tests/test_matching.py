@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from placewright.operators import hierarchy, lookup, match, spelling
+from placewright.operators import hierarchy, lookup, match, people, spelling
 from placewright.plans import jobs
 from placewright.schemas import RESULTS
 from test_functions import osa
@@ -409,3 +409,18 @@ def test_patterns_with_one_star_need_no_regular_expression(spark):
     both = spark.createDataFrame([(t, p) for t in parts for p in patterns], "t STRING, p STRING")
     for r in both.select("t", "p", match.like("t", "p").alias("found")).collect():
         assert r.found == bool(re.fullmatch(re.escape(r.p).replace(r"\*", ".*"), r.t)), r
+
+
+def test_places_are_worked_out_once_for_their_people(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def record(i):
+        worked.add(1)
+        return f"@I{i}@"
+
+    names = spark.createDataFrame([("f", "@I1@", "Ann /Lee/")], "file STRING, id STRING, name STRING")
+    rows = spark.createDataFrame([("f", i % 3, i) for i in range(30)], "file STRING, rec LONG, pos LONG")
+    got = people.with_person(rows.select("*", record("rec").alias("record_id"), F.lit("nobody").alias("person")), names, hot_rows=3).collect()
+    assert sorted({(r.rec, r.person) for r in got}) == [(0, "nobody"), (1, "Ann Lee"), (2, "nobody")] and len(got) == 30
+    assert worked.value == 30
